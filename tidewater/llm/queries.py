@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, quality, sharding
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
     "op5_shard": sharding.op5_shard,
+    "op9_quality": quality.op9_quality,
 }
 
 ORACLES = {
     "op1_mix": mixing.ORACLE,
+    "op9_quality": quality.ORACLE,
 }

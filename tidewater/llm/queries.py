@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, sharding
+from . import mixing, quality, secrets, sharding, urls
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
+    "op4_secrets": secrets.op4_secrets,
     "op5_shard": sharding.op5_shard,
+    "op8_urls": urls.op8_urls,
     "op9_quality": quality.op9_quality,
 }
 
 ORACLES = {
     "op1_mix": mixing.ORACLE,
+    "op4_secrets": secrets.ORACLE,
     "op9_quality": quality.ORACLE,
 }

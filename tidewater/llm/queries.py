@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, secrets, sharding, urls
+from . import media, mixing, pieces, quality, secrets, sharding, urls
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
+    "op2_media": media.op2_media,
+    "op3_pieces": pieces.op3_pieces,
     "op4_secrets": secrets.op4_secrets,
     "op5_shard": sharding.op5_shard,
     "op8_urls": urls.op8_urls,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, mixing, pieces, quality, secrets, sharding, urls
+from . import media, mixing, pieces, quality, secrets, sharding, simhash, urls
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_pieces": pieces.op3_pieces,
     "op4_secrets": secrets.op4_secrets,
     "op5_shard": sharding.op5_shard,
+    "op6_simhash": simhash.op6_simhash,
     "op8_urls": urls.op8_urls,
     "op9_quality": quality.op9_quality,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, mixing, pieces, quality, secrets, sharding, simhash, urls
+from . import media, mixing, ngram, pieces, quality, secrets, sharding, simhash, urls
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_secrets": secrets.op4_secrets,
     "op5_shard": sharding.op5_shard,
     "op6_simhash": simhash.op6_simhash,
+    "op7_ngram": ngram.op7_ngram,
     "op8_urls": urls.op8_urls,
     "op9_quality": quality.op9_quality,
 }

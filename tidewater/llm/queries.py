@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, mixing, ngram, pieces, quality, secrets, sharding, simhash, urls
+from . import media, mixing, ngram, pieces, quality, repeats, secrets, sharding, simhash, urls
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_ngram": ngram.op7_ngram,
     "op8_urls": urls.op8_urls,
     "op9_quality": quality.op9_quality,
+    "op10_repeats": repeats.op10_repeats,
 }
 
 ORACLES = {

@@ -1,8 +1,8 @@
 """Near-duplicates by SimHash, linked through BK-trees.
 
 Fingerprints are made in Arrow batches. Equal fingerprints fall together first (a group-by), so copies cost
-nothing later. Two fingerprints at most RADIUS bits apart agree in one of RADIUS + 1 bands of their bits; each
-band value is a shard, and in every shard a BK-tree (children keyed by the integer Hamming distance to their parent) is
+nothing later. Two fingerprints at most RADIUS bits apart agree in one of RADIUS + 1 bands of their bits (in `agree` of
+RADIUS + agree); each value of a band is a shard, and in every shard a BK-tree (children keyed by the integer Hamming distance to their parent) is
 built and queried with all its fingerprints, following only the edges within the radius of the distance to the
 node. A shard gives the links of a spanning forest, so a dense ball of near copies yields as many rows as it has
 fingerprints, and no connection is lost. Trees of shards meet their queries through a shuffle: what a broadcast
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -147,9 +147,12 @@ def forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """Distinct fingerprints (fp) to links (a, b) of a forest in every shard."""
-    parts = bands(list(range(64)), radius + 1)
+def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD, agree: int = 1) -> DataFrame:
+    """Distinct fingerprints (fp) to links (a, b) of a forest in every shard.
+
+    agree: bands that two fingerprints must share to meet in a shard, of radius + agree; with more of them shards are
+    smaller and each fingerprint is in more of them."""
+    parts = [sorted(sum(p, [])) for p in combinations(bands(list(range(64)), radius + agree), agree)]
     keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), masked(F.col("fp"), p).alias("value")) for i, p in enumerate(parts)])).alias("k")).select("fp", F.col("k.band").alias("band"), F.col("k.value").alias("value"))
     sizes = written(keyed.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1"), "simhash-shards")
     large = sizes.filter(F.col("n") > shard)
@@ -187,22 +190,39 @@ def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame
     return small.unionByName(cut).repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "a bigint, b bigint")
 
 
-def grouped(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+def grouped(rows: DataFrame, radius: int = RADIUS, agree: int = 1) -> DataFrame:
     """Rows with fp (a written table) to (fp, component_id: the least doc_id linked to it, n: the rows of the component)."""
     fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-fps")
-    roots = written(components(links(fps.select("fp"), radius)), "simhash-roots")
+    roots = written(components(links(fps.select("fp"), radius, agree=agree)), "simhash-roots")
     named = fps.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_rows"))
     return named.select("fp", "root").join(least, "root").select(F.col("fp").alias("__fp"), "component_id", "component_rows", F.col("root").alias("component"))
 
 
-def clustered(docs: DataFrame, radius: int = RADIUS, carry: list[str] | None = None) -> DataFrame:
-    """One row a document: doc_id, fp, component_id, component_rows, component; and the columns of carry as __in_."""
-    rows = written(fingerprints(docs, carry=carry), "simhash-rows")
-    groups = written(grouped(rows, radius), "simhash-groups")
+def clustered(docs: DataFrame, radius: int = RADIUS, agree: int = 1) -> DataFrame:
+    """One row a document: doc_id, fp, component_id, component_rows and component (one of its fingerprints)."""
+    rows = written(fingerprints(docs), "simhash-rows")
+    groups = written(grouped(rows, radius, agree), "simhash-groups")
     return rows.join(groups, F.col("fp") == F.col("__fp")).drop("__fp")
 
 
+#: For removing documents: a radius of 4 of 64 bits still has no chance links to speak of (some 4e-14 a pair) and
+#: finds copies with a few words changed. 35 keys of 27 bits keep shards small.
+DROP_RADIUS, DROP_AGREE = 4, 3
+
+
+def deduplicated(docs: DataFrame, radius: int = DROP_RADIUS, agree: int = DROP_AGREE) -> DataFrame:
+    """One document of each component, with its columns: the one with the least id (null last), of rows with one id the
+    first stored. The choice is a minimum from partial aggregates, so a large component is no large task."""
+    rows = fingerprints(docs, carry=docs.columns).withColumn("row", F.monotonically_increasing_id())
+    rows = written(rows, "dedup-rows")
+    groups = written(grouped(rows, radius, agree), "dedup-groups")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    alone = rows.select("fp", "doc_id", "row").groupBy("fp").agg(F.min(rank).alias("best"))
+    best = alone.join(groups, F.col("fp") == F.col("__fp")).groupBy("component").agg(F.min("best").alias("best")).select(F.col("best.row").alias("__row"))
+    return rows.join(written(best, "dedup-kept"), F.col("row") == F.col("__row"), "left_semi").select(*[F.col(f"__in_{c}").alias(c) for c in docs.columns])
+
+
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
     """All documents with their fingerprint and component."""
     out = clustered(spark.read.parquet(f"{sf_dir}/documents.parquet"))

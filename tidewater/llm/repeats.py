@@ -2,15 +2,18 @@
 
 Texts are sequences of words. Of all suffixes, only those at minimisers are retained: positions whose GRAM words have
 the least hash in some window of WINDOW positions. Any two passages of LENGTH words that are equal hold the same
-minimiser among their first WINDOW positions, with at least LENGTH - WINDOW + 1 = PREFIX words behind it, so the sparse
-suffixes are compared by their first PREFIX words: sorted by (a 64-bit hash of) that prefix, equal neighbours are seeds. Seeds
-are then extended left and right: every window of LENGTH words that belongs to a seed (whose minimiser it is) is
-compared by a 128-bit hash, so passages of LENGTH words or more are found exactly and shorter ones are not
-reported, also where a third document shares the words behind the seed but not those before it. Matched windows that follow
-one another make a span.
+minimiser among their first WINDOW positions, with at least LENGTH - WINDOW + 1 words behind it, the prefix by which the
+sparse suffixes are sorted and compared (as a 64-bit hash of it): equal neighbours in different documents are seeds.
 
-A seed is kept or dropped by counts from partial aggregates, so neither a passage in a third of all documents
-nor a large group of copies gathers in one task; texts are shuffled once, to meet their seeds.
+Seeds are extended left and right in two steps. If all the words that the windows of a seed cover (the windows of LENGTH words
+whose minimiser it is) are the same in another document, all these windows repeat; copies and the inside of long
+passages end here, one row a seed. Where other words surround the seed elsewhere, its windows are compared one
+by one by a 128-bit hash; two documents stand for all that agree around a seed. So passages of LENGTH words or more
+are found exactly, shorter ones are not reported, and a third document that shares only one side of a passage can't
+hide it. Matched windows that touch make a span.
+
+Every comparison is a count with partial aggregates, so neither a passage in a third of all documents nor a large group
+of copies gathers in one task; texts are shuffled once, to meet the seeds whose windows are compared.
 
 Cases: null and empty texts have no words and no spans; rows equal in id and text are one document; a passage that only
 repeats within one document is not reported; null ids are told apart by text; an empty table gives an empty
@@ -27,16 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 LENGTH = 50
-WINDOW = 25
+WINDOW = 35
 GRAM = 4
 #: Words of whose hash a worker keeps a table.
 TABLE = 400_000
 _FIND = re.compile(r"[^\x20\x09-\x0D]+").findall
 _ITER = re.compile(r"[^\x20\x09-\x0D]+").finditer
-_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _HASHES: dict[str, int] = {}
 
 
@@ -57,43 +60,51 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def rolled(h: np.ndarray, n: int, base: np.uint64) -> np.ndarray:
-    """A hash of each run of n words: the polynomial of base, by doubling (so no inverses are needed)."""
-    if len(h) < n:
-        return np.empty(0, np.uint64)
-    out, done, run, size, rest = None, 0, h.copy(), 1, n
-    while rest:
-        if rest & 1:  # out covers `done` words, run covers `size` words
-            if out is None:
-                out, done = run.copy(), size
-            else:
-                scale = np.uint64(pow(int(base), size, 1 << 64))
-                out = out[: len(run) - done] * scale + run[done : done + len(out)]
-                done += size
-        rest >>= 1
-        if rest:
-            run = run[:-size] * np.uint64(pow(int(base), size, 1 << 64)) + run[size:]
-            size *= 2
-    return mix(out[: len(h) - n + 1])
-
-
-def minimisers(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
-    """For each window of positions, the position of its least gram (the leftmost of equal ones)."""
-    g = rolled(h, gram, _BASES[0])
-    if len(g) < window:
-        return np.empty(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(g, window)
-    return np.argmin(view, axis=1) + np.arange(len(view))
-
-
-def owners(h: np.ndarray, length: int) -> np.ndarray:
-    """For each start of a window of `length` words, its minimiser."""
-    return minimisers(h)[: max(0, len(h) - length + 1)]
-
-
-def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """One row a span: doc_id, start_word, end_word (exclusive), n_words, start_char, end_char (code points), first
-    (whether no document with a smaller key has any part of it: the copy to keep) and uid.
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base ** i and base ** -i modulo 2 ** 64 for i up to n."""
+    if base not in _POWERS or len(_POWERS[base][0]) <= n:
+        size = max(1 << 14, 1 << (n + 1).bit_length())
+        up = lambda b: np.cumprod(np.r_[np.uint64(1), np.full(size - 1, b, np.uint64)], dtype=np.uint64)
+        _POWERS[base] = up(base), up(pow(base, -1, 1 << 64))
+    return _POWERS[base]
+
+
+class Runs:
+    """Hashes of runs of words, from running sums of hash times power."""
+
+    def __init__(self, h: np.ndarray, base: int):
+        up, self.down = powers(base, len(h))
+        self.sums = np.r_[np.uint64(0), np.cumsum(h * up[: len(h)], dtype=np.uint64)]
+
+    def __call__(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return mix((self.sums[high] - self.sums[low]) * self.down[low])
+
+    def every(self, n: int) -> np.ndarray:
+        """Of all runs of n words."""
+        k = max(0, len(self.sums) - n)
+        return mix((self.sums[n:] - self.sums[:k]) * self.down[:k])
+
+
+def owned(h: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Runs]:
+    """The minimisers of a text, and for each the first and the last start of a window of `length` words that is its own."""
+    one = Runs(h, BASES[0])
+    grams = one.every(GRAM)
+    starts = len(h) - length + 1
+    if starts <= 0:
+        none = np.empty(0, np.int64)
+        return none, none, none, one
+    least = np.argmin(np.lib.stride_tricks.sliding_window_view(grams, WINDOW)[:starts], axis=1) + np.arange(starts)
+    first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+    return least[first], first, np.r_[first[1:], starts] - 1, one
+
+
+def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, chars: bool = True) -> DataFrame:
+    """One row a span: doc_id, start_word, end_word (exclusive), n_words, first (whether no document with a smaller key has
+    any part of it: the copy to keep), uid and, with chars, start_char and end_char (code points), for which texts are
+    read once more.
 
     length: the least number of words; more than WINDOW + GRAM."""
     prefix = length - WINDOW + 1
@@ -102,61 +113,81 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            uids, keys = [], []
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
             for uid, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 h = hashed(_FIND(text.as_py()))
-                at = np.unique(owners(h, length))
+                at, a, b, one = owned(h, length)
                 if len(at):
-                    keys.append(rolled(h, prefix, _BASES[1])[at].view(np.int64))
-                    uids.append(np.full(len(at), uid))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(uids)), pa.array(np.concatenate(keys))], ["uid", "key"])
-
-    sparse = written(rows.select("uid", "text").mapInArrow(suffixes, "uid bigint, key bigint"), "repeat-suffixes")
-    across = lambda: (F.min("uid") != F.max("uid")).alias("shared")
-    seeds = sparse.groupBy("key").agg(across()).filter("shared").select("key")
-    kept = written(sparse.join(seeds, "key", "left_semi").groupBy("uid").agg(F.collect_set("key").alias("keys")), "repeat-seeds")
-    meeting = rows.join(kept.withColumnRenamed("uid", "__uid"), F.col("uid") == F.col("__uid"))
+                    keys = Runs(h, BASES[1])(at, at + prefix)
+                    # all the words that the seed's windows cover, and where the seed and they lie
+                    around = mix(one(a, b + length) + ((at - a) << 32 | (b - a)).astype(np.uint64))
+                    for o, v in zip(out, (np.full(len(at), uid), keys.view(np.int64), around.view(np.int64), a.astype(np.int32), b.astype(np.int32)), strict=True):
+                        o.append(v)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["uid", "key", "around", "a", "b"])
+
+    sparse = written(rows.select("uid", "text").mapInArrow(suffixes, "uid bigint, key bigint, around bigint, a int, b int"), "repeat-suffixes")
+    lo_hi = lambda lo, hi: (F.min(lo).alias("lo"), F.max(hi).alias("hi"))
+    contexts = written(sparse.groupBy("key", "around").agg(*lo_hi("uid", "uid")), "repeat-contexts")
+    discard(docs.sparkSession)
+    keys = contexts.groupBy(F.col("key").alias("__key")).agg(*[c.alias(f"__{n}") for n, c in zip(("lo", "hi"), lo_hi("lo", "hi"), strict=True)], F.count("*").alias("n")).filter("__lo <> __hi")
+    # whole: the same words around the seed in another document, so all its windows repeat; windows: the key has
+    # other words around it elsewhere, so its windows are compared one by one (of equal contexts, two stand for all)
+    judged = contexts.join(keys, F.col("key") == F.col("__key")).select(F.col("key").alias("__k"), F.col("around").alias("__around"), "lo", "hi", (F.col("lo") != F.col("hi")).alias("whole"), (F.col("n") > 1).alias("mixed"))
+    judged = written(judged, "repeat-judged")
+    discard(docs.sparkSession, contexts)
+    seeds = sparse.join(judged, (F.col("key") == F.col("__k")) & (F.col("around") == F.col("__around")))
+    sent = F.col("mixed") & (~F.col("whole") | (F.col("uid") == F.col("lo")) | (F.col("uid") == F.col("hi")))
+    seeds = written(seeds.select("uid", "a", "b", "whole", sent.alias("sent"), (F.col("whole") & (F.col("uid") == F.col("lo"))).alias("first")), "repeat-seeds")
+    discard(docs.sparkSession, sparse, judged)
+    ranges = seeds.filter("sent").groupBy(F.col("uid").alias("__uid")).agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[], [], [], []]
-            for uid, text, keys in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            out: list[list[np.ndarray]] = [[], [], [], []]
+            for uid, text, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 h = hashed(_FIND(text.as_py()))
-                own = owners(h, length)
-                seed = np.isin(rolled(h, prefix, _BASES[1]).view(np.int64), keys.values.to_numpy())
-                at = np.flatnonzero(seed[own])
-                if len(at):
-                    for o, v in zip(out, (np.full(len(at), uid), at.astype(np.int32), rolled(h, length, _BASES[0])[at].view(np.int64), rolled(h, length, _BASES[1])[at].view(np.int64)), strict=True):
-                        o.append(v)
+                a, b = own.values.field("a").to_numpy(), own.values.field("b").to_numpy()
+                at = np.unique(np.concatenate([np.arange(x, y + 1) for x, y in zip(a, b, strict=True)]))
+                for o, v in zip(out, (np.full(len(at), uid), at.astype(np.int32), Runs(h, BASES[0])(at, at + length).view(np.int64), Runs(h, BASES[1])(at, at + length).view(np.int64)), strict=True):
+                    o.append(v)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["uid", "at", "h1", "h2"])
 
-    every = written(meeting.select("uid", "text", "keys").mapInArrow(windows, "uid bigint, at int, h1 bigint, h2 bigint"), "repeat-windows")
-    shared = every.groupBy("h1", "h2").agg(across(), F.min("uid").alias("least")).filter("shared").select("h1", "h2", "least")
-    matched = every.join(shared, ["h1", "h2"]).groupBy("uid").agg(F.array_sort(F.collect_set(F.struct("at", (F.col("least") == F.col("uid")).alias("first")))).alias("marks"))
-    matched = written(matched, "repeat-marks").withColumnRenamed("uid", "__uid")
+    meeting = rows.join(ranges, F.col("uid") == F.col("__uid")).select("uid", "text", "ranges")
+    every = written(meeting.mapInArrow(windows, "uid bigint, at int, h1 bigint, h2 bigint"), "repeat-windows")
+    discard(docs.sparkSession)
+    shared = every.groupBy("h1", "h2").agg(*lo_hi("uid", "uid")).filter("lo <> hi").select("h1", "h2", "lo")
+    single = every.join(shared, ["h1", "h2"]).select("uid", F.col("at").alias("a"), F.col("at").alias("b"), (F.col("uid") == F.col("lo")).alias("first"))
+    marks = seeds.filter("whole").select("uid", "a", "b", "first").unionByName(single)
+    marks = marks.groupBy(F.col("uid").alias("__uid")).agg(F.array_sort(F.collect_list(F.struct("a", "b", "first"))).alias("marks"))
+    marks = written(marks, "repeat-marks")
+    discard(docs.sparkSession, every, seeds)
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "start_word", "end_word", "n_words", "start_char", "end_char", "first", "uid"]
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, uid, text, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                at = marks.values.field("at").to_numpy()
-                first = marks.values.field("first").to_numpy(zero_copy_only=False)
-                cut = np.flatnonzero(np.r_[True, at[1:] > at[:-1] + length])  # windows that touch or overlap are one span
-                ends = np.r_[cut[1:], len(at)]
-                place = [m.span() for m in _ITER(text.as_py())]
-                for a, b in zip(cut.tolist(), ends.tolist(), strict=True):
-                    low, high = int(at[a]), int(at[b - 1]) + length
-                    out.append((doc_id, low, high, high - low, place[low][0], place[high - 1][1], bool(first[a:b].all()), uid))
+            texts = batch.column(3) if chars else [None] * batch.num_rows
+            for doc_id, uid, own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), texts, strict=True):
+                a, b = own.values.field("a").to_numpy(), own.values.field("b").to_numpy()
+                first = own.values.field("first").to_numpy(zero_copy_only=False)
+                ends = np.maximum.accumulate(b)
+                cut = np.flatnonzero(np.r_[True, a[1:] > ends[:-1] + length])  # windows that touch or overlap are one span
+                place = [m.span() for m in _ITER(text.as_py())] if chars else None
+                for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(a)], strict=True):
+                    low, high = int(a[x]), int(ends[y - 1]) + length
+                    out.append((doc_id, uid, low, high, high - low, bool(first[x:y].all()), *((place[low][0], place[high - 1][1]) if chars else ())))
             if out:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
+                names = ["doc_id", "uid", "start_word", "end_word", "n_words", "first", "start_char", "end_char"]
+                cols = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=False)], names[: len(cols)])
 
-    return rows.join(matched, F.col("uid") == F.col("__uid")).select("doc_id", "uid", "text", "marks").mapInArrow(merged, "doc_id bigint, start_word bigint, end_word bigint, n_words bigint, start_char bigint, end_char bigint, first boolean, uid bigint")
+    kind = "doc_id bigint, uid bigint, start_word bigint, end_word bigint, n_words bigint, first boolean" + ", start_char bigint, end_char bigint" * chars
+    needed = ["doc_id", "uid", "marks", *["text"] * chars]
+    return rows.select("doc_id", "uid", *["text"] * chars).join(marks, F.col("uid") == F.col("__uid")).select(*needed).mapInArrow(merged, kind)
 
 
 def op10_repeats(spark, sf_dir: str) -> DataFrame:
     """Passages of LENGTH words or more that occur in two or more documents, in all documents."""
-    return spans(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("uid")
+    return spans(spark.read.parquet(f"{sf_dir}/documents.parquet"), chars=False).drop("uid")

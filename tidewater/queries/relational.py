@@ -126,8 +126,8 @@ def latest_row_per_key(spark, d):
 
 
 @query(f"""{R}, p AS (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON a.nation = b.nation AND a.industry = b.industry AND a.attribute = 'H' AND b.attribute = 'H' AND a.id <> b.id),
-k AS (SELECT id AS a, id + 25 AS b FROM c)
-SELECT a, b FROM p WHERE a < b AND NOT EXISTS (SELECT 1 FROM k WHERE least(k.a, k.b) = least(p.a, p.b) AND greatest(k.a, k.b) = greatest(p.a, p.b))""")
+kn AS (SELECT id AS a, id + 25 AS b FROM c)
+SELECT a, b FROM p WHERE a < b AND NOT EXISTS (SELECT 1 FROM kn WHERE least(kn.a, kn.b) = least(p.a, p.b) AND greatest(kn.a, kn.b) = greatest(p.a, p.b))""")
 def pair_unordered_anti(spark, d):
     h = customers(spark, d).filter("attribute = 'H'")
     pairs = h.select(C("id").alias("a"), "nation", "industry").join(h.select(C("id").alias("b"), "nation", "industry"), ["nation", "industry"]).filter("a < b").select("a", "b")

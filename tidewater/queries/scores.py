@@ -19,13 +19,13 @@ def content_hash_id(spark, d):
     return table(spark, d, "orders").select("o_orderkey", text.content_hash_id(C("o_orderkey").cast("string"), C("o_orderpriority"), F.date_format("o_orderdate", "yyyy-MM-dd")).alias("id"))
 
 
-@query("SELECT event_id, strftime(to_timestamp(epoch_ms(ts) / 1000.0) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS at, epoch_ms(ts) AS ms FROM events")
+@query("SELECT event_id, strftime(make_timestamp(epoch_us(ts) // 1000 * 1000), '%Y-%m-%d %H:%M:%S') AS at, epoch_us(ts) // 1000 AS ms FROM events")
 def epoch_times(spark, d):
     ms = F.unix_millis(C("ts").cast("timestamp"))
     return table(spark, d, "events").select("event_id", F.date_format(F.timestamp_millis(ms).cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss").alias("at"), ms.alias("ms"))
 
 
-@query(f"SELECT event_id, epoch(ts)::BIGINT AS none, trunc(epoch({NOW}) - epoch(ts))::BIGINT AS seconds, floor((epoch({NOW}) - floor(epoch(ts))) / 86400)::BIGINT AS days FROM events".replace("epoch(ts)::BIGINT AS none, ", ""))
+@query(f"SELECT event_id, trunc(epoch({NOW}) - epoch(ts))::BIGINT AS seconds, floor((epoch({NOW}) - floor(epoch(ts))) / 86400)::BIGINT AS days FROM events")
 def seconds_between(spark, d):
     return table(spark, d, "events").select("event_id", F.timestamp_diff("SECOND", C("ts"), as_of()).alias("seconds"), scoring.days_since(as_of(), C("ts")).alias("days"))
 

@@ -38,7 +38,7 @@ def nl_share_of_total(spark, d):
 
 @query(f"{R} SELECT industry, count(CASE WHEN attribute = 'H' THEN 1 END) AS heavy, count(CASE WHEN attribute = 'N' THEN 1 END) AS normal FROM c GROUP BY 1")
 def nl_crosstab(spark, d):
-    return customers(spark, d).groupBy("industry").pivot("attribute", ["H", "N"]).agg(F.count("*")).select("industry", F.coalesce("H", F.lit(0)).alias("heavy"), F.coalesce("N", F.lit(0)).alias("normal"))
+    return customers(spark, d).groupBy("industry").pivot("attribute", ["H", "N"]).agg(F.count(F.lit(1))).select("industry", F.coalesce("H", F.lit(0)).alias("heavy"), F.coalesce("N", F.lit(0)).alias("normal"))
 
 
 @query(f"{R} SELECT user_id, " + ", ".join(f"count(CASE WHEN event_time >= {NOW} - INTERVAL {n} DAY THEN 1 END) AS n{n}" for n in (7, 30, 90)) + " FROM i GROUP BY 1")

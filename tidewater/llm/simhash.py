@@ -6,8 +6,8 @@ RADIUS + agree); each value of a band is a shard, and in every shard a BK-tree (
 built and queried with all its fingerprints, following only the edges within the radius of the distance to the
 node. A shard gives the links of a spanning forest, so a dense ball of near copies yields as many rows as it has
 fingerprints, and no connection is lost. Trees of shards meet their queries through a shuffle: what a broadcast
-would have to carry grows with the corpus. A shard of more than SHARD fingerprints is cut by the bands of its remaining
-bits, which again miss no pair.
+would have to carry grows with the corpus. A shard of more than SHARD fingerprints is passed on as it streams in and cut by the bands
+of its remaining bits, which again miss no pair.
 
 Cases: a null text has no words and the fingerprint zero, linked like any other; fewer than three words are one
 shingle; repeated rows and null ids are rows like any other (the component of rows that all lack ids is null);
@@ -153,41 +153,56 @@ def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD, agree: int =
     agree: bands that two fingerprints must share to meet in a shard, of radius + agree; with more of them shards are
     smaller and each fingerprint is in more of them."""
     parts = [sorted(sum(p, [])) for p in combinations(bands(list(range(64)), radius + agree), agree)]
-    keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), masked(F.col("fp"), p).alias("value")) for i, p in enumerate(parts)])).alias("k")).select("fp", F.col("k.band").alias("band"), F.col("k.value").alias("value"))
-    sizes = written(keyed.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1"), "simhash-shards")
-    large = sizes.filter(F.col("n") > shard)
-    small = keyed.join(sizes.filter(F.col("n") <= shard).select("band", "value"), ["band", "value"], "left_semi").select("fp", F.xxhash64("band", "value").alias("shard"))
-    cut = None
-    for i, p in enumerate(parts):  # within a large shard the band's bits agree, so the rest is cut again
-        rest = bands([b for b in range(64) if b not in p], radius + 1)
-        again = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), masked(F.col("fp"), r).alias("v")) for j, r in enumerate(rest)]))
-        one = keyed.filter(F.col("band") == i).join(large.filter(F.col("band") == i).select("value"), "value", "left_semi").withColumn("again", again).select("fp", F.xxhash64("band", "value", "again.j", "again.v").alias("shard"))
-        cut = one if cut is None else cut.unionByName(one)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held = None, []
-
-        def flush() -> pa.RecordBatch | None:
-            values = np.unique(np.concatenate(held)) if held else np.empty(0, np.uint64)
-            pairs = forest(values, radius) if len(values) > 1 else []
-            if not pairs:
-                return None
-            ends = values.view(np.int64)[np.array(pairs)]
-            return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
-
-        for batch in batches:
-            shards, values = batch.column("shard").to_numpy(zero_copy_only=False), batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            cuts = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1]]) if len(shards) else []
-            for low, high in zip(cuts, [*cuts[1:], len(shards)], strict=True):
-                if shards[low] != held_key:
-                    if out := flush():
-                        yield out
-                    held_key, held = shards[low], []
-                held.append(values[low:high])
-        if out := flush():
-            yield out
-
-    return small.unionByName(cut).repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "a bigint, b bigint")
+    rests = [bands([b for b in range(64) if b not in p], radius + 1) for p in parts]
+    keys = F.explode(F.array(*[F.struct(F.xxhash64(F.lit(i), masked(F.col("fp"), p)).alias("shard"), F.lit(i).alias("band")) for i, p in enumerate(parts)]))
+    keyed = fps.select("fp", keys.alias("k")).select("fp", "k.shard", "k.band")
+
+    def again(values: np.ndarray, band: int) -> pa.RecordBatch:
+        """Keys of fingerprints of a large shard by the bands of the bits in which they can differ."""
+        out = []
+        for j, bits in enumerate(rests[band]):
+            part = values & np.uint64(sum(1 << b for b in bits))
+            h = (part ^ np.uint64(hash((band, j)) & 0xFFFFFFFF)) * np.uint64(0x9E3779B97F4A7C15)
+            out.append((h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(band * 64 + j))
+        n = len(values) * len(out)
+        return pa.RecordBatch.from_arrays([pa.array(np.tile(values, len(out)).view(np.int64)), pa.array(np.concatenate(out).view(np.int64)), pa.array(np.full(n, band, np.int32)), pa.array(np.ones(n, bool))], ["a", "b", "band", "large"])
+
+    def search(cut: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, held, size, large = None, [], 0, False
+
+            def pairs() -> pa.RecordBatch | None:
+                values = np.unique(np.concatenate(held)) if size > 1 else ()
+                found = forest(values, radius) if len(values) > 1 else []
+                if not found:
+                    return None
+                ends = values.view(np.int64)[np.array(found)]
+                return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1]), pa.array(np.zeros(len(ends), np.int32)), pa.array(np.zeros(len(ends), bool))], ["a", "b", "band", "large"])
+
+            for batch in batches:
+                shards, values, of = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("shard", "fp", "band"))
+                values = values.view(np.uint64)
+                cuts = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1]]) if len(shards) else []
+                for low, high in zip(cuts, [*cuts[1:], len(shards)], strict=True):
+                    if shards[low] != key:
+                        if not large and (out := pairs()):
+                            yield out
+                        key, held, size, large = shards[low], [], 0, False
+                    held.append(values[low:high])
+                    size += high - low
+                    if cut and size > shard:  # passed on, as it comes
+                        yield again(np.concatenate(held), int(of[low]))
+                        held, large = [], True
+            if not large and (out := pairs()):
+                yield out
+
+        return run
+
+    kind = "a bigint, b bigint, band int, large boolean"
+    met = lambda rows, cut: rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(search(cut), kind)
+    first = written(met(keyed, True), "simhash-links")
+    second = met(first.filter("large").select(F.col("a").alias("fp"), F.col("b").alias("shard"), "band"), False)
+    return first.filter("NOT large").select("a", "b").unionByName(second.select("a", "b"))
 
 
 def grouped(rows: DataFrame, radius: int = RADIUS, agree: int = 1) -> DataFrame:

@@ -28,10 +28,11 @@ def hashed_vector(name: Column, size: int = 64) -> Column:
     """A vector of character n-grams (2 to 4) hashed to size places, of length 1; the same in every run."""
     chars = F.split(name, "")
     grams = F.flatten(F.transform(F.array(*map(F.lit, (2, 3, 4))), lambda n: F.when(F.size(chars) >= n, F.transform(F.sequence(F.lit(0), F.size(chars) - n), lambda i: F.array_join(F.slice(chars, i + 1, n), ""))).otherwise(F.array().cast("array<string>"))))
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))  # noqa: E731  evaluated once, not once an element
     places = F.transform(grams, lambda g: F.pmod(F.xxhash64(g), F.lit(size)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(places, lambda x: x == k)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    counts = let(places, lambda p: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(p, lambda x: x == k)).cast("double")))
+    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    return let(F.struct(counts.alias("v")), lambda c: let(length(c["v"]), lambda n: F.transform(c["v"], lambda x: F.when(n > 0, x / n).otherwise(0.0))))
 
 
 def exact_pairs(names: DataFrame) -> DataFrame:

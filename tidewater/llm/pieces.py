@@ -28,7 +28,9 @@ from pyspark.sql import DataFrame
 
 MARK = "▁"
 #: Words in each of the two generations of the table.
-TABLE = 150_000
+TABLE = 80_000
+#: Pairs of tokens whose compatibility is kept.
+PAIRS = 250_000
 
 
 class Pieces:
@@ -51,7 +53,7 @@ class Pieces:
         self.rank = {i: r for r, i in enumerate(sorted(normal, key=lambda i: -self.score[i]))}
         self.name = {i: p for p, i in self.ids.items()}
         self.split: dict[int, tuple[int, int] | None] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         automaton = ahocorasick.Automaton()
         words = [p for p in self.ids if p[:2] != MARK * 2]
         for p in sorted(words, key=len):
@@ -145,11 +147,12 @@ class Pieces:
             if p is None:  # a character outside the vocabulary
                 last[i], size[i] = t, length
                 continue
-            ok = fits.get((p, t))
+            pair = p << 20 | t
+            ok = fits.get(pair)
             if ok is None:
-                if len(fits) > 1_000_000:
+                if len(fits) > PAIRS:
                     fits.clear()
-                ok = fits[p, t] = compatible(p, t)
+                ok = fits[pair] = compatible(p, t)
             if ok:
                 last[i], size[i] = t, length
         out, i = [], n

@@ -224,6 +224,8 @@ def clustered(docs: DataFrame, radius: int = RADIUS, agree: int = 1) -> DataFram
 #: For removing documents: a radius of 4 of 64 bits still has no chance links to speak of (some 4e-14 a pair) and
 #: finds copies with a few words changed. 35 keys of 27 bits keep shards small.
 DROP_RADIUS, DROP_AGREE = 4, 3
+#: Rows that go (8 bytes each) are broadcast up to this number.
+GONE_ROWS = 1_000_000
 
 
 def deduplicated(docs: DataFrame, radius: int = DROP_RADIUS, agree: int = DROP_AGREE) -> DataFrame:
@@ -235,7 +237,11 @@ def deduplicated(docs: DataFrame, radius: int = DROP_RADIUS, agree: int = DROP_A
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     alone = rows.select("fp", "doc_id", "row").groupBy("fp").agg(F.min(rank).alias("best"))
     best = alone.join(groups, F.col("fp") == F.col("__fp")).groupBy("component").agg(F.min("best").alias("best")).select(F.col("best.row").alias("__row"))
-    return rows.join(written(best, "dedup-kept"), F.col("row") == F.col("__row"), "left_semi").select(*[F.col(f"__in_{c}").alias(c) for c in docs.columns])
+    gone = written(rows.select("row").join(best, F.col("row") == F.col("__row"), "left_anti").select(F.col("row").alias("__gone")), "dedup-gone")
+    # texts stay where they are unless more rows go than a broadcast may have
+    few = gone.count() <= GONE_ROWS
+    kept = rows.join(F.broadcast(gone) if few else gone, F.col("row") == F.col("__gone"), "left_anti")
+    return kept.select(*[F.col(f"__in_{c}").alias(c) for c in docs.columns])
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.llm import components, media, ngram, pieces, repeats, simhash
+from tidewater.llm import components, media, near, ngram, pieces, repeats, simhash
 from tidewater.llm.common import shared_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+").findall
@@ -167,6 +167,60 @@ def test_one_of_each_group_stays(docs_of):
     assert sorted(r.doc_id for r in simhash.deduplicated(docs).collect()) == [1, 3]
 
 
+def brute_near(rows):
+    """Least id of each component of pairs with a Jaccard similarity of 4/5 or more on five-word shingles."""
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := WORD(lower(t or ""))) else frozenset() for _, t in rows]
+    up = list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    for i, j in links:
+        a, b = root(i), root(j)
+        up[max(a, b)] = min(a, b)
+    least = {}
+    for i, (k, _) in enumerate(rows):
+        least[root(i)] = min(least.get(root(i), k), k)
+    return set(least.values()), links
+
+
+@pytest.mark.parametrize("often", [1, 3])
+def test_near_copies_like_brute_force(docs_of, monkeypatch, often):
+    """All pairs at 0.8 or more are found, none below; whatever counts as frequent."""
+    monkeypatch.setattr(near, "OFTEN", often)
+    monkeypatch.setattr(near, "SAMPLE", 2)
+    rnd = random.Random(7)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for base in range(50):
+        n = rnd.choice([3, 5, 9, 14, 60, 200, 400])
+        words = [f"w{rnd.randint(0, 5000)}" for _ in range(n)]
+        if rnd.random() < 0.5:
+            words[n // 2 : n // 2] = passage
+        for _ in range(4):
+            new = list(words)
+            for _ in range(rnd.randint(0, max(1, n // 30))):
+                new[rnd.randrange(len(new))] = f"x{rnd.randint(0, 10**6)}"
+            new = new[: len(new) - rnd.choice([0, 0, n // 20, n // 6])]
+            rows.append((len(rows), " ".join(new)))
+    # exactly 4/5: 9 shingles, 8 of them in both, of 10
+    edge = [f"e{i}" for i in range(13)]
+    rows += [(900, " ".join(edge)), (901, " ".join([*edge[:-1], "other"])), (902, " ".join(edge[:12])), (903, "")]
+    want, links = brute_near(rows)
+    fps = {k: fingerprint(t) for k, t in rows}
+    assert sum((fps[rows[i][0]] ^ fps[rows[j][0]]).bit_count() > simhash.DROP_RADIUS for i, j in links) > 20
+    assert {r.doc_id for r in simhash.deduplicated(docs_of([(k, t, "en", "a") for k, t in rows])).collect()} == want
+
+
+def test_near_copies_of_the_corpus(corpus, odd):
+    want, _ = brute_near([(r.doc_id, r.text) for r in corpus.select("doc_id", "text").collect()])
+    assert {r.doc_id for r in simhash.deduplicated(corpus).collect()} == want
+    assert sorted(str(r.doc_id) for r in simhash.deduplicated(odd).collect()) == ["1", "3", "5", "7", "None"] and simhash.deduplicated(odd.limit(0)).count() == 0
+
+
 def test_ngram_like_brute_force(corpus, odd):
     for docs in (corpus, odd):
         rows = docs.select("doc_id", "text").collect()

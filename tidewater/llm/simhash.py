@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from . import near
+from .common import discard, written
 from .components import components
 
 RADIUS = 2
@@ -221,27 +222,27 @@ def clustered(docs: DataFrame, radius: int = RADIUS, agree: int = 1) -> DataFram
     return rows.join(groups, F.col("fp") == F.col("__fp")).drop("__fp")
 
 
-#: For removing documents: a radius of 4 of 64 bits still has no chance links to speak of (some 4e-14 a pair) and
-#: finds copies with a few words changed. 35 keys of 27 bits keep shards small.
-DROP_RADIUS, DROP_AGREE = 4, 3
-#: Rows that go (8 bytes each) are broadcast up to this number.
-GONE_ROWS = 1_000_000
+#: Of 64 bits; links of this radius are those of copies with a few words changed. The stage that removes documents
+#: doesn't go by it: at a similarity of 0.8 most pairs are further apart.
+DROP_RADIUS = 4
 
 
-def deduplicated(docs: DataFrame, radius: int = DROP_RADIUS, agree: int = DROP_AGREE) -> DataFrame:
-    """One document of each component, with its columns: the one with the least id (null last), of rows with one id the
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """One document of each component of links between documents at least 4/5 alike (exact Jaccard similarity of
+    five-word shingles, see near), with its columns: the one with the least id (null last), of rows with one id the
     first stored. The choice is a minimum from partial aggregates, so a large component is no large task."""
-    rows = fingerprints(docs, carry=docs.columns).withColumn("row", F.monotonically_increasing_id())
+    rows = near.signed(docs, docs.columns).withColumn("row", F.monotonically_increasing_id())
     rows = written(rows, "dedup-rows")
-    groups = written(grouped(rows, radius, agree), "dedup-groups")
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    alone = rows.select("fp", "doc_id", "row").groupBy("fp").agg(F.min(rank).alias("best"))
-    best = alone.join(groups, F.col("fp") == F.col("__fp")).groupBy("component").agg(F.min("best").alias("best")).select(F.col("best.row").alias("__row"))
-    gone = written(rows.select("row").join(best, F.col("row") == F.col("__row"), "left_anti").select(F.col("row").alias("__gone")), "dedup-gone")
-    # texts stay where they are unless more rows go than a broadcast may have
-    few = gone.count() <= GONE_ROWS
-    kept = rows.join(F.broadcast(gone) if few else gone, F.col("row") == F.col("__gone"), "left_anti")
-    return kept.select(*[F.col(f"__in_{c}").alias(c) for c in docs.columns])
+    best = rows.groupBy("sig").agg(F.min(rank).alias("best")).select(F.col("best.row").alias("__row"))
+    copies = written(rows.select("row").join(best, F.col("row") == F.col("__row"), "left_anti").select(F.col("row").alias("__gone")), "dedup-copies")
+    firsts = written(near.among(rows, copies, "left_anti"), "dedup-firsts")
+    discard(docs.sparkSession, rows)
+    roots = written(components(near.links(firsts.select("row", "sig", F.col("__in_text").alias("text")))), "dedup-roots")
+    members = written(roots.join(firsts.select("row", "doc_id"), F.col("node") == F.col("row")).select("row", "doc_id", "root"), "dedup-members")
+    stay = members.groupBy("root").agg(F.min(rank).alias("best")).select(F.col("best.row").alias("__row"))
+    gone = written(members.select("row").join(stay, F.col("row") == F.col("__row"), "left_anti").select(F.col("row").alias("__gone")), "dedup-gone")
+    return near.among(firsts, gone, "left_anti").select(*[F.col(f"__in_{c}").alias(c) for c in docs.columns])
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

@@ -123,6 +123,21 @@ def test_secret_kinds_and_redaction(docs_of):
     assert clean[10] == samples[10] and clean[2] == "😀 [secret]" and clean[12] == "[secret] and [secret]" and clean[9] == "https[secret]host/x"
 
 
+def test_whole_keys_and_long_logins_go(docs_of):
+    body = [("Ab3+/" * 13)[:64]] * 30 + ["Zz9/q="]
+    key = lambda end, nl="\n", kind="RSA ": nl.join([f"-----BEGIN {kind}PRIVATE KEY-----", *body, *([f"-----END {kind}PRIVATE KEY-----"] if end else [])])
+    headed = key(True).replace("KEY-----\n", "KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n", 1)
+    secret = [key(True), key(True, "\r\n", ""), key(True, "\\n", "EC "), key(True, " "), headed, key(False), key(False, "\\n"), key(False, " "), headed.rpartition("\n")[0], key(True, "\n> "), "-----BEGIN PRIVATE KEY-----\n" + "short\nlines\nAbc="]
+    secret += ["://" + "u" * 65 + ":" + "p" * 300 + "@", "://u:" + "p" * 65 + "@"]
+    docs = docs_of([(i, f"before {t}\nafter it, all stays", "en", "a") for i, t in enumerate(secret)])
+    assert {r.doc_id: r.text for r in secrets.redacted(docs).collect()} == {i: "before [secret]\nafter it, all stays" for i in range(len(secret))}
+    spans = {r.doc_id: [tuple(s) for s in r.spans if secrets.RULES[s["kind"]].kind in ("pem", "login")] for r in secrets.scanned(docs).collect()}
+    assert all([(a, b) for a, _, b in spans[i]] == [(7, 7 + len(t))] for i, t in enumerate(secret))
+    # two keys, the first without an end; a long text after a line of its own
+    text = f"{key(False)}\nsome words here\n{key(True)}\n" + "-x - y " * 200_000
+    assert secrets.redacted(docs_of([(1, text, "en", "a")])).first().text == "[secret]\nsome words here\n[secret]\n" + "-x - y " * 200_000
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("[0-9a-f]+") == []
     assert secrets.trigram_query("AKIA[A-Z0-9]+") == [[frozenset({"aki", "kia"})]]

@@ -34,20 +34,30 @@ class Rule:
     group: int = 0
     least: int = 1
     base: bool = field(default=False)
+    #: The pattern in the SQL, if that is an older one.
+    sql: str = ""
 
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+#: A key from its BEGIN line to the END line, with all that is between them but another run of five dashes; if there is
+#: no END, header lines and base64: long runs, whole lines, and what follows an escaped line end or ends in "=".
+#: Loops are possessive, so a long text takes no stack.
+PEM = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*+(?:-{1,4}+[^-]++)*+-----END [A-Z ]*PRIVATE KEY-----"
+    r"|(?:[\r\n]++[A-Za-z-]++:[^\r\n]*+)*+"
+    r"(?:(?:\s|\\[nr])++[A-Za-z0-9+/=]{24,}+|\s*+(?<=[\r\n])[A-Za-z0-9+/=]++(?=[\x20\t]*(?:[\r\n]|$))|(?:\\[nr])++[A-Za-z0-9+/=]++|\x20[A-Za-z0-9+/]++={1,2}+)*+)"
+)
 RULES = (
     Rule("assign", ASSIGN, 2, 12, True),
     Rule("access", "AKIA[A-Z0-9]+", 0, 18, True),
     Rule("hex", "[0-9a-f]+", 0, 16, True),
-    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", PEM, sql="-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
     Rule("forge", "(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36,}"),
     Rule("chat", "xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("cloud", "AIza[0-9A-Za-z_-]{35}"),
     Rule("pay", "(?:sk|rk)_live_[0-9A-Za-z]{16,}"),
-    Rule("login", r"://[^/\x20\x09-\x0D:@]{1,64}:[^/\x20\x09-\x0D:@]{1,64}@"),
+    Rule("login", r"://[^/\x20\x09-\x0D:@]+:[^/\x20\x09-\x0D:@]+@", sql=r"://[^/\x20\x09-\x0D:@]{1,64}:[^/\x20\x09-\x0D:@]{1,64}@"),
 )
 #: Up to so many distinct strings are followed side by side through an expression.
 WIDE = 16
@@ -209,9 +219,10 @@ def op4_secrets(spark, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
+    """The SQL finds only the BEGIN line of a key, and logins of up to 64 characters a part: on others op4 finds more."""
     parts = []
     for i, r in enumerate(RULES):
-        p = r.pattern.replace("'", "''")
+        p = (r.sql or r.pattern).replace("'", "''")
         parts.append(
             f"SELECT uid, {i} AS kind, '{r.kind}' AS name, string_split_regex(text, '{p}') AS gaps, regexp_extract_all(text, '{p}') AS m, "
             + (f"regexp_extract_all(text, '{p}', {r.group})" if r.group else "m") + f" AS g, {r.least} AS least FROM d WHERE regexp_matches(text, '{p}')"

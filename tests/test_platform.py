@@ -142,6 +142,17 @@ def test_review(spark):
     assert values(spark, [("Acme", "Acme Ltd", False, True)], "a string, b string, x boolean, y boolean", dedup.primary(C("a"), C("b"), C("x"), C("y"))) == ["Acme Ltd"]
 
 
+def test_duplicates_of_all_companies(spark):
+    """Equal and similar names are candidates wherever the companies are; others are not, nor are known pairs."""
+    companies = spark.createDataFrame([(1, "Blue River Foods Ltd", "DE", "food"), (2, "blue river foods", "FR", "retail"), (3, "Blue River Food", "JP", "food"), (4, "Quantum Xylo", "DE", "food"), (5, None, "DE", "food")], "id int, name string, nation string, industry string")
+    contacts = spark.createDataFrame([(c, "phone", str(v)) for c in (1, 3, 4) for v in range(5)], "company int, kind string, value string")
+    got = {(r.a, r.b): (r.similarity, r.shared, r.status) for r in dedup.run(companies, contacts, None).collect()}
+    assert set(got) == {(1, 2), (1, 3), (2, 3)}
+    assert got[1, 2] == (0.98, 0, "need_review") and got[1, 3][1:] == (5, "auto_merged") and 0.7 <= got[2, 3][0] < 1
+    known = spark.createDataFrame([(2, 1)], "a int, b int")
+    assert {(r.a, r.b) for r in dedup.run(companies, contacts, known).collect()} == {(1, 3), (2, 3)}
+
+
 def test_serving_pages(spark, sf_dir):
     t = load_tables(spark, sf_dir)
     out = etl.run_full(t, as_of(), spark)

@@ -13,6 +13,8 @@ from .merge import latest, without_known_pairs
 
 #: Similarity of pairs whose normalised names are equal.
 EXACT = 0.98
+#: Least similarity of the vectors of other pairs.
+SIMILAR = 0.70
 
 
 def universe(sources: list[tuple[str, DataFrame]]) -> DataFrame:
@@ -75,10 +77,19 @@ def scored(pairs: DataFrame) -> DataFrame:
     return out.withColumn("status", scoring.triage(F.col("match_score")))
 
 
-def run(companies: DataFrame, contacts: DataFrame, known: DataFrame | None, block: Column) -> DataFrame:
+def candidate_pairs(names: DataFrame, threshold: float = SIMILAR) -> DataFrame:
+    """(a, b, norm_a, norm_b, similarity) of names (id, name, norm), each pair of all companies once: equal normal forms, and
+    names whose hashed vectors are at least threshold alike."""
+    vectors = names.select("id", hashed_vector(F.lower("name")).alias("v"))
+    pairs = exact_pairs(names).unionByName(similar_pairs(vectors, threshold)).groupBy("a", "b").agg(F.max_by("similarity", F.col("similarity") == EXACT).alias("similarity"))
+    of = lambda c: names.select(F.col("id").alias(f"__{c}"), F.col("norm").alias(f"norm_{c}"))
+    return pairs.join(of("a"), F.col("a") == F.col("__a")).join(of("b"), F.col("b") == F.col("__b")).select("a", "b", "norm_a", "norm_b", "similarity")
+
+
+def run(companies: DataFrame, contacts: DataFrame, known: DataFrame | None, threshold: float = SIMILAR) -> DataFrame:
     """From companies (id, name) to the review candidates that known lacks."""
-    names = companies.select("id", normalize_name(F.col("name")).alias("norm")).filter("norm <> ''")
-    pairs = blocked_pairs(names, block)
+    names = companies.select("id", F.coalesce("name", F.lit("")).alias("name"), normalize_name(F.col("name")).alias("norm"))
+    pairs = candidate_pairs(names, threshold)
     out = scored(evidence(pairs, contacts)).filter("status IS NOT NULL")
     return without_known_pairs(out, known, "a", "b") if known is not None else out
 

@@ -4,22 +4,54 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Has Spark remove the shuffle files of a query once it is over.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a new folder where it is unset (local runs)."""
+    """spark.checkpoint.dir. Where it is unset, a new folder on a local master, and an error on a cluster, whose machines share none."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tidewater-")
         sc.setCheckpointDir(at)
     return at.rstrip("/")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def cleaned_up(spark: SparkSession) -> Iterator[None]:
+    """Queries in it leave no shuffle files behind."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, so that what follows starts from there."""
-    at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    """df as a Parquet table in the shared folder: lineage ends there, so a lost executor costs no recomputation."""
+    at = shared_path(df.sparkSession, name)
+    with cleaned_up(df.sparkSession):
+        df.write.parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out.stored_at = at
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

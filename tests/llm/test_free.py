@@ -221,35 +221,54 @@ def test_near_copies_of_the_corpus(corpus, odd):
     assert sorted(str(r.doc_id) for r in simhash.deduplicated(odd).collect()) == ["1", "3", "5", "7", "None"] and simhash.deduplicated(odd.limit(0)).count() == 0
 
 
-def test_ngram_like_brute_force(corpus, odd):
+def brute_ngram(rows, order, prune):
+    """Modified Kneser-Ney written out plainly: what test_ngram_like_brute_force compares with."""
+    t = [[*WORD(lower(r.text or "")), "\n"] for r in rows]
+    held = [zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 7 == 2 for r in rows]
+    train = [x for x, h in zip(t, held, strict=True) if not h]
+    c = Counter(w for x in train for w in x)
+    total, v = sum(c.values()), len(c)
+    padded = lambda x, k: [("",) * max(0, k - 1 - i) + tuple(x[max(0, i - k + 1) : i + 1]) for i in range(len(x))]
+    levels = {order: Counter(g for x in train for g in padded(x, order))}
+    for k in range(order - 1, 0, -1):  # an n-gram that starts a text keeps its count, others count the words before them
+        levels[k] = Counter()
+        for g, n in levels[k + 1].items():
+            levels[k][g[1:]] += n if g[1] == "" else 1
+    d = {k: ngram.discounts([Counter(of.values())[j] for j in (1, 2, 3, 4)]) for k, of in levels.items()}
+    behind = {k: defaultdict(list) for k in levels}
+    for k, of in levels.items():
+        for g, n in of.items():
+            behind[k][g[:-1]].append(n)
+    gone = lambda n, k: n if prune and k == order and n == 1 else d[k][min(n, 3) - 1]
+    sums = {k: {h: (sum(x), sum(gone(n, k) for n in x)) for h, x in of.items()} for k, of in behind.items()}
+    rest = sum(d[1][min(n, 3) - 1] for n in levels[1].values()) / sums[1][()][0]
+
+    def p(g):
+        """Of the last word of g behind the others."""
+        k = len(g)
+        n = levels[k][g]
+        if k == 1:
+            return (n - d[1][min(n, 3) - 1] if n else 0) / sums[1][()][0] + rest / (v + 1)
+        if g[:-1] not in sums[k]:
+            return p(g[1:])
+        total, all_gone = sums[k][g[:-1]]
+        return (n - gone(n, k) if n else 0) / total + all_gone / total * p(g[1:])
+
+    for h in [("",) * (order - 1), next(iter(levels[order]))[:-1], *[g[1:] for g in list(levels[order])[50:53] if g[-1] != "\n"]]:
+        assert sum(p((*h, w)) for w in c) + p((*h, "unseen word")) == pytest.approx(1)
+    out = defaultdict(list)
+    for r, x, h in zip(rows, t, held, strict=True):
+        base = math.fsum(math.log10((c[w] + 1) / (total + v + 1)) for w in x)
+        out[r.doc_id].append((len(x), sum(w in c for w in x), h, total, base, math.fsum(math.log10(p(g)) for g in padded(x, order))))
+    return out
+
+
+@pytest.mark.parametrize(("order", "prune"), [(2, False), (3, False), (3, True), (4, False)])
+def test_ngram_like_brute_force(corpus, odd, order, prune):
     for docs in (corpus, odd):
-        rows = docs.select("doc_id", "text").collect()
-        t = [[*WORD(lower(r.text or "")), "\n"] for r in rows]
-        held = [zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 7 == 2 for r in rows]
-        train = [x for x, h in zip(t, held, strict=True) if not h]
-        c = Counter(w for x in train for w in x)
-        total, v = sum(c.values()), len(c)
-        pairs = Counter(p for x in train for p in zip(["", *x], x, strict=False))
-        follow, before, seen = defaultdict(lambda: [0, 0, 0]), Counter(), Counter()
-        for (p, w), n in pairs.items():
-            follow[p][min(n, 3) - 1] += 1
-            before[w] += 1
-            seen[p] += n
-        many = lambda of: [Counter(of.values())[k] for k in (1, 2, 3, 4)]
-        d, dc = ngram.discounts(many(pairs)), ngram.discounts(many(before))
-        rest = sum(dc[min(k, 3) - 1] for k in before.values()) / len(pairs)
-
-        def p(h, w, d=d, dc=dc, rest=rest, pairs=pairs, before=before, seen=seen, follow=follow, v=v):
-            k, n = before[w], pairs[h, w]
-            low = (k - dc[min(k, 3) - 1]) / len(pairs) * (k > 0) + rest / (v + 1)
-            return low if not seen[h] else ((n - d[min(n, 3) - 1]) if n else 0) / seen[h] + sum(a * b for a, b in zip(d, follow[h], strict=True)) / seen[h] * low
-
-        assert sum(p("", w) for w in c) + p("", "unseen word") == pytest.approx(1)
-        want = defaultdict(list)
-        for r, x, h in zip(rows, t, held, strict=True):
-            want[r.doc_id].append((len(x), sum(w in c for w in x), h, total, math.fsum(math.log10((c[w] + 1) / (total + v + 1)) for w in x), math.fsum(math.log10(p(a, w)) for a, w in zip(["", *x], x, strict=False))))
+        want = brute_ngram(docs.select("doc_id", "text").collect(), order, prune)
         got = defaultdict(list)
-        for r in ngram.score(docs).collect():
+        for r in ngram.score(docs, order=order, prune=prune).collect():
             got[r.doc_id].append((r.n_tokens, r.n_known, r.held_out, r.train_tokens, r.base_score, r.score))
         assert got.keys() == want.keys()
         for k in want:
@@ -258,12 +277,31 @@ def test_ngram_like_brute_force(corpus, odd):
 
 
 def test_ngram_in_many_shards(corpus, monkeypatch):
+    """Some 300 shards of words and as many of n-grams, with most words hot."""
     want = sorted((r.doc_id, r.n_known, round(r.score, 6)) for r in ngram.score(corpus).collect())
-    monkeypatch.setattr(ngram, "WORDS_SHARD", 500)
-    monkeypatch.setattr(ngram, "PAIRS_SHARD", 5000)
+    monkeypatch.setattr(ngram, "WORDS_SHARD", 15)
+    monkeypatch.setattr(ngram, "GRAMS_SHARD", 120)
+    assert corpus.agg(F.sum(F.octet_length("text"))).first()[0] // (6 * 120) > 300
     assert sorted((r.doc_id, r.n_known, round(r.score, 6)) for r in ngram.score(corpus).collect()) == want
 
 
+def test_ngram_shards_are_even():
+    """A word that is a third of all is dealt by whole n-grams."""
+    rng = np.random.default_rng(5)
+    layout = ngram.Layout(1 << 20, 100, np.array([7, 1 << 20]))
+    middle = np.where(rng.random(300_000) < 1 / 3, 7, rng.integers(0, 1 << 20, 300_000))
+    gram = [rng.integers(0, 1 << 20, 300_000), middle, rng.integers(0, 1 << 20, 300_000)]
+    many = np.bincount(layout.shards_of(gram, ngram.keys_of(gram)), minlength=100)
+    assert many.max() < 1.2 * many.mean()
+
+
+def test_columns_as_bytes():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 1000):
+        cols = [np.sort(rng.integers(0, 1 << 40, n)), rng.integers(0, 3, n), np.zeros(n, np.int64), rng.integers(0, 1 << 62, n)]
+        assert all((a == b).all() for a, b in zip(cols, ngram.unpack(ngram.pack(cols), 4), strict=True))
+
+
 def test_ngram_without_training(spark, docs_of):
     held = next(i for i in range(1000) if zlib.crc32(str(i).encode()) % 7 == 2)
     r = ngram.score(docs_of([(held, "a b", "en", "a")])).first()

@@ -1,14 +1,15 @@
-"""What the training-data operators share: word rules, the shared folder, written tables, checked joins."""
+"""What the training-data operators share: word rules, written tables (of the sources package), checked joins."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import dropped, shared_path
+from ..sources.shared import stored as written
+
+__all__ = ["BROADCAST_ROWS", "SPACE", "WORD", "dropped", "join_small", "n_words", "seeded", "shared_path", "text_of", "written"]
+
 #: White space is these six characters and nothing else; words are runs of anything else.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
@@ -18,40 +19,6 @@ BROADCAST_ROWS = 50_000
 SALTS = 64
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (local runs)."""
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="tidewater-")
-        sc.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there, so a lost executor costs no recomputation."""
-    at = shared_path(df.sparkSession, name)
-    df.write.parquet(at)
-    out = df.sparkSession.read.schema(df.schema).parquet(at)
-    out.written_at = at
-    return out
-
-
-def discard(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes written tables that nothing reads any more, and lets Spark remove the shuffle files of queries that are
-    over: it does so when the driver's handles to them are collected."""
-    jvm = spark.sparkContext._jvm
-    for t in tables:
-        path = jvm.org.apache.hadoop.fs.Path(t.written_at)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    jvm.System.gc()
-
-
 def text_of(col: str | Column) -> Column:
     """Null texts count as empty ones."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import dropped, written
 
 LENGTH = 50
 WINDOW = 35
@@ -129,17 +129,16 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     sparse = written(rows.select("uid", "text").mapInArrow(suffixes, "uid bigint, key bigint, around bigint, a int, b int"), "repeat-suffixes")
     lo_hi = lambda lo, hi: (F.min(lo).alias("lo"), F.max(hi).alias("hi"))
     contexts = written(sparse.groupBy("key", "around").agg(*lo_hi("uid", "uid")), "repeat-contexts")
-    discard(docs.sparkSession)
     keys = contexts.groupBy(F.col("key").alias("__key")).agg(*[c.alias(f"__{n}") for n, c in zip(("lo", "hi"), lo_hi("lo", "hi"), strict=True)], F.count("*").alias("n")).filter("__lo <> __hi")
     # whole: the same words around the seed in another document, so all its windows repeat; windows: the key has
     # other words around it elsewhere, so its windows are compared one by one (of equal contexts, two stand for all)
     judged = contexts.join(keys, F.col("key") == F.col("__key")).select(F.col("key").alias("__k"), F.col("around").alias("__around"), "lo", "hi", (F.col("lo") != F.col("hi")).alias("whole"), (F.col("n") > 1).alias("mixed"))
     judged = written(judged, "repeat-judged")
-    discard(docs.sparkSession, contexts)
+    dropped(contexts)
     seeds = sparse.join(judged, (F.col("key") == F.col("__k")) & (F.col("around") == F.col("__around")))
     sent = F.col("mixed") & (~F.col("whole") | (F.col("uid") == F.col("lo")) | (F.col("uid") == F.col("hi")))
     seeds = written(seeds.select("uid", "a", "b", "whole", sent.alias("sent"), (F.col("whole") & (F.col("uid") == F.col("lo"))).alias("first")), "repeat-seeds")
-    discard(docs.sparkSession, sparse, judged)
+    dropped(sparse, judged)
     ranges = seeds.filter("sent").groupBy(F.col("uid").alias("__uid")).agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,13 +155,12 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
 
     meeting = rows.join(ranges, F.col("uid") == F.col("__uid")).select("uid", "text", "ranges")
     every = written(meeting.mapInArrow(windows, "uid bigint, at int, h1 bigint, h2 bigint"), "repeat-windows")
-    discard(docs.sparkSession)
     shared = every.groupBy("h1", "h2").agg(*lo_hi("uid", "uid")).filter("lo <> hi").select("h1", "h2", "lo")
     single = every.join(shared, ["h1", "h2"]).select("uid", F.col("at").alias("a"), F.col("at").alias("b"), (F.col("uid") == F.col("lo")).alias("first"))
     marks = seeds.filter("whole").select("uid", "a", "b", "first").unionByName(single)
     marks = marks.groupBy(F.col("uid").alias("__uid")).agg(F.array_sort(F.collect_list(F.struct("a", "b", "first"))).alias("marks"))
     marks = written(marks, "repeat-marks")
-    discard(docs.sparkSession, every, seeds)
+    dropped(every, seeds)
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

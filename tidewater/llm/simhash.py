@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import near
-from .common import discard, written
+from .common import dropped, written
 from .components import components
 
 RADIUS = 2
@@ -237,7 +237,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     best = rows.groupBy("sig").agg(F.min(rank).alias("best")).select(F.col("best.row").alias("__row"))
     copies = written(rows.select("row").join(best, F.col("row") == F.col("__row"), "left_anti").select(F.col("row").alias("__gone")), "dedup-copies")
     firsts = written(near.among(rows, copies, "left_anti"), "dedup-firsts")
-    discard(docs.sparkSession, rows)
+    dropped(rows)
     roots = written(components(near.links(firsts.select("row", "sig", F.col("__in_text").alias("text")))), "dedup-roots")
     members = written(roots.join(firsts.select("row", "doc_id"), F.col("node") == F.col("row")).select("row", "doc_id", "root"), "dedup-members")
     stay = members.groupBy("root").agg(F.min(rank).alias("best")).select(F.col("best.row").alias("__row"))

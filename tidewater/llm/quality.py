@@ -1,21 +1,25 @@
 """Quality rules with thresholds that adapt to each language and source.
 
-Signals are integers per document. For each (language, source), each language and the whole corpus a mergeable
-quantile sketch holds, per signal, counts of values rounded down to SIGNIFICANT bits: a group-by with partial
-sums builds it, adding counts merges it, any quantile is off by less than 1 part in 64, and a rerun gives the
-same sketch whatever the order of merging. Fences lie FENCE times the middle spread beyond the quartiles, with
-a least spread for signals that hardly vary, so a clean group loses nothing and no fixed share of a group goes.
-A group of fewer than MIN_GROUP documents uses the sketch of its language, or of the corpus.
+Signals are counts in a document (symbols, repeated lines, words in repeated windows, characters of words) over its
+words or lines. For each (language, source), each language and the whole corpus a mergeable quantile sketch holds
+the rates, rounded down to SIGNIFICANT bits: a group-by with partial sums builds it, adding counts merges it, any
+quantile is off by less than 1 part in 64, and a rerun gives the same sketch whatever the order of merging.
+
+The rate that a group allows comes from its sketch alone: of symbols, lines and repeats the ninth decile, but where that
+is more than SKEWED times the median (a group in which junk is common), no more than the language allows, and of a language
+in the same way no more than the corpus; of characters a word, REACH times the way from the median to the outer
+deciles beyond it, the longer way counting at most double the shorter. A document goes if a count of it is so far beyond
+that rate that chance would bring it there in about one of exp(EVIDENCE / 2) documents (Bernstein's bound, with signals that
+come in bursts counted by the burst). So a few symbols in a clean group are no evidence, however clean it is, and
+no fixed share of a group goes. A group of fewer than MIN_GROUP documents uses the sketch of its language, or of the corpus.
 
 Cases: a null text has no words and fails the base rules; null languages and sources are groups of their own;
 repeated rows and ties count and are judged alike; an empty table gives an empty result; other columns are
-carried untouched by `judged`.
+carried untouched by `judged`, whatever their names.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,13 +28,17 @@ from .common import SPACE, WORD, join_small, text_of, written
 
 MIN_GROUP = 200
 SIGNIFICANT = 7
-#: signal: (numerator, denominator, scale), times of the spread below and above the quartiles, least spread.
+#: Rates are per so many words or lines.
+SCALE = 100_000
+SKEWED, REACH, EVIDENCE = 4, 4, 18
+#: signal: (count, of what, how many of them come together).
 SIGNALS = {
-    "symbols": ("n_symbols", "n_words", 1000, None, 3, 40),
-    "length": ("word_chars", "n_words", 100, 6, 6, 25),
-    "lines": ("n_dup_lines", "n_lines", 1000, None, 3, 150),
-    "repeats": ("n_repeat_words", "n_words", 1000, None, 3, 130),
+    "symbols": ("n_symbols", "n_words", 3),
+    "lines": ("n_dup_lines", "n_lines", 1),
+    "repeats": ("n_repeat_words", "n_words", 6),
+    "length": ("word_chars", "n_words", 2),
 }
+BOUNDS = ("symbols_high", "lines_high", "repeats_high", "length_high", "length_low")
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -73,9 +81,33 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumn("base_failed", failed).drop("words", "lines", "windows")
 
 
-def signal(name: str) -> Column:
-    top, bottom, scale, *_ = SIGNALS[name]
-    return F.expr(f"{scale} * {top} DIV greatest({bottom}, 1)")
+def signal(name: str) -> str:
+    """The rate of a document."""
+    count, of, _ = SIGNALS[name]
+    return f"({SCALE} * {count}) DIV greatest({of}, 1)"
+
+
+def beyond(bound: str) -> str:
+    """Whether a document's count is far beyond a bound, in SQL that Spark and DuckDB read alike."""
+    name, side = bound.split("_")
+    count, of, burst = SIGNALS[name]
+    allowed = f"(CAST({bound} AS DOUBLE) * {of})"
+    over = f"(CAST({count} AS DOUBLE) * {SCALE} - {allowed})" if side == "high" else f"({allowed} - CAST({count} AS DOUBLE) * {SCALE})"
+    # the chance of falling short has the thinner tail
+    room = f"({allowed} + {over} / 3)" if side == "high" else allowed
+    return f"({over} > 0 AND {over} * {over} > {EVIDENCE * burst * SCALE} * {room})"
+
+
+def spread(name: str, longer: str, shorter: str) -> str:
+    return f"{REACH} * least({longer.format(name)}, 2 * ({shorter.format(name)}))"
+
+
+UP, DOWN = "{0}_9 - {0}_5", "{0}_5 - {0}_1"
+#: The bounds of a sketch by its deciles; of counts, to be held against the level above.
+OWN = {
+    "length_high": f"length_5 + {spread('length', UP, DOWN)}",
+    "length_low": f"length_5 - {spread('length', DOWN, UP)}",
+}
 
 
 def rounded(v: str) -> Column:
@@ -86,7 +118,7 @@ def rounded(v: str) -> Column:
 
 def sketches(rows: DataFrame) -> DataFrame:
     """(level, lang, source, signal, value, n): level 0 for each language and source, 1 for each language, 2 for all."""
-    pairs = F.array(*[F.struct(F.lit(s).alias("signal"), signal(s).alias("__v")) for s in SIGNALS])
+    pairs = F.array(*[F.struct(F.lit(s).alias("signal"), F.expr(signal(s)).alias("__v")) for s in SIGNALS])
     values = rows.filter("NOT base_failed").select("lang", "source", F.explode(pairs).alias("p")).select("lang", "source", "p.signal", "p.__v")
     own = values.groupBy("lang", "source", "signal", rounded("__v").alias("value")).agg(F.count("*").alias("n"))
     level = F.explode(F.array(*map(F.lit, range(3))))
@@ -98,42 +130,46 @@ def sketches(rows: DataFrame) -> DataFrame:
 
 
 def fences(rows: DataFrame) -> DataFrame:
-    """(lang, source, <signal>_low, <signal>_high, level): for each group of rows the bounds that hold there.
+    """(__lang, __source, level, <bounds>): for each group of rows the rates that hold there.
     A sketch has a bounded number of values, so ordering one is a small task."""
     sketch = written(sketches(rows), "quality-sketches")
-    keys = ("level", "lang", "source", "signal")
-    w = Window.partitionBy(*keys)
-    run = sketch.withColumn("run", F.sum("n").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(w))
-    quartile = lambda k: F.min(F.when(4 * F.col("run") >= k * F.col("all"), F.col("value")))
-    q = run.groupBy(*keys).agg(quartile(1).alias("q1"), quartile(3).alias("q3"), F.max("all").alias("n"))
-    bounds = []
-    for s, (_, _, _, below, above, least) in SIGNALS.items():
-        spread = F.greatest(F.col("q3") - F.col("q1"), F.lit(least))
-        is_s = F.col("signal") == s
-        bounds.append(F.max(F.when(is_s, F.col("q3") + above * spread)).alias(f"{s}_high"))
-        if below:
-            bounds.append(F.max(F.when(is_s, F.col("q1") - below * spread)).alias(f"{s}_low"))
-    by = written(q.groupBy("level", "lang", "source").agg(F.max("n").alias("n"), *bounds), "quality-bounds")
-    own = by.filter("level = 0")
-    names = [c for c in by.columns if c.endswith(("_high", "_low"))]
+    keys = ("level", "lang", "source")
+    w = Window.partitionBy(*keys, "signal")
+    running = F.sum("n").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    run = sketch.withColumn("run", running).withColumn("all", F.sum("n").over(w))
+    decile = lambda s, k: F.min(F.when((F.col("signal") == s) & (10 * F.col("run") >= k * F.col("all")), F.col("value"))).alias(f"{s}_{k}")
+    deciles = run.groupBy(*keys).agg(F.max("all").alias("n"), *[decile(s, k) for s in SIGNALS for k in (1, 5, 9)])
+    by = written(deciles.withColumns({b: F.expr(OWN.get(b, b.replace("_high", "_9"))) for b in BOUNDS}), "quality-deciles")
+    counts = [b for b in BOUNDS if b not in OWN]
+
+    def held(b: str, above: Column) -> Column:
+        return F.least(F.col(b), F.greatest(SKEWED * F.col(b.replace("_high", "_5")), above))
+
     whole = by.filter("level = 2").first()  # one row: the corpus
-    up = by.filter("level = 1").select(F.col("lang").alias("lang1"), F.col("n").alias("n1"), *[F.col(c).alias(f"{c}1") for c in names])
-    joined = own.join(up, F.col("lang").eqNullSafe(F.col("lang1")))
+    of_all = lambda b: F.lit(whole[b] if whole else None).cast("long")
+    languages = by.filter("level = 1").withColumns({b: held(b, of_all(b)) for b in counts})
+    up = languages.select(F.col("lang").alias("lang1"), F.col("n").alias("n1"), *[F.col(b).alias(f"{b}1") for b in BOUNDS])
+    joined = by.filter("level = 0").join(up, F.col("lang").eqNullSafe(F.col("lang1"))).withColumns({b: held(b, F.col(f"{b}1")) for b in counts})
     level = F.when(F.col("n") >= MIN_GROUP, 0).when(F.col("n1") >= MIN_GROUP, 1).otherwise(2)
-    pick = lambda c: F.when(level == 0, F.col(c)).when(level == 1, F.col(f"{c}1")).otherwise(F.lit(whole[c] if whole else None).cast("long")).alias(c)
-    return joined.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), level.alias("level"), *map(pick, names))
+    pick = lambda b: F.when(level == 0, F.col(b)).when(level == 1, F.col(f"{b}1")).otherwise(of_all(b)).alias(b)
+    return joined.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), level.alias("level"), *map(pick, BOUNDS))
+
+
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: list[str] | None = None, prefix: str = "") -> DataFrame:
-    """One row a document: doc_id, the signals, base_failed and kept, and the columns of carry after prefix."""
-    text = "__text"
-    named = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias(text), *[F.col(c).alias(f"__in_{c}") for c in carry or []])
-    rows = written(measured(named, text).drop(text), "quality-rows")
+    """One row a document: doc_id, the measures, base_failed, kept and level, and the columns of carry after prefix."""
+    carried = [F.col(c).alias(f"__in_{c}") for c in carry or []]
+    texts = [F.col(c).cast("string").alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"))]
+    named = docs.select(F.col(id_col).alias("doc_id"), *texts, F.col(text_col).alias("__text"), *carried)
+    rows = written(measured(named, "__text").drop("__text"), "quality-rows")
     bounds = written(fences(rows), "quality-fences")
-    joined = join_small(rows, bounds, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), F.xxhash64("doc_id"), "left")
-    within = [signal(s) <= F.col(f"{s}_high") for s in SIGNALS] + [signal(s) >= F.col(f"{s}_low") for s, x in SIGNALS.items() if x[3]]
-    kept = ~F.col("base_failed") & F.coalesce(reduce(lambda a, b: a & b, within), F.lit(True))
-    return joined.withColumn("kept", kept).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "level", *[F.col(f"__in_{c}").alias(f"{prefix}{c}") for c in carry or []])
+    same = F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source"))
+    joined = join_small(rows, bounds, same, F.xxhash64("doc_id"), "left")
+    far = F.coalesce(F.expr(" OR ".join(map(beyond, BOUNDS))), F.lit(False))
+    out = joined.withColumn("kept", ~F.col("base_failed") & ~far)
+    return out.select("doc_id", *MEASURES, "base_failed", "kept", "level", *[F.col(f"__in_{c}").alias(f"{prefix}{c}") for c in carry or []])
 
 
 def filtered(docs: DataFrame) -> DataFrame:
@@ -147,16 +183,22 @@ def op9_quality(spark, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    r = "(({0} >> greatest(0, length(bin({0})) - {1})) << greatest(0, length(bin({0})) - {1}))"
-    sig = {s: f"({scale} * {top} // greatest({bottom}, 1))::BIGINT" for s, (top, bottom, scale, *_) in SIGNALS.items()}
-    names = [f"{s}_high" for s in SIGNALS] + [f"{s}_low" for s, x in SIGNALS.items() if x[3]]
-    spread = lambda s: f"greatest(q3 - q1, {SIGNALS[s][5]})"
-    bounds = ", ".join([f"max(CASE WHEN signal = '{s}' THEN q3 + {SIGNALS[s][4]} * {spread(s)} END) AS {s}_high" for s in SIGNALS] + [f"max(CASE WHEN signal = '{s}' THEN q1 - {x[3]} * {spread(s)} END) AS {s}_low" for s, x in SIGNALS.items() if x[3]])
-    pick = ", ".join(f"CASE WHEN a.n >= {MIN_GROUP} THEN a.{c} WHEN b.n >= {MIN_GROUP} THEN b.{c} ELSE c.{c} END AS {c}" for c in names)
-    ok = " AND ".join([f"{sig[s]} <= {s}_high" for s in SIGNALS] + [f"{sig[s]} >= {s}_low" for s, x in SIGNALS.items() if x[3]])
+    spare = f"greatest(0, length(bin(v)) - {SIGNIFICANT})"
+    rate = lambda s: signal(s).replace("DIV", "//")
+    values = " UNION ALL ".join(f"SELECT lang, source, '{s}' AS signal, ({rate(s)})::BIGINT AS v FROM f WHERE NOT base_failed" for s in SIGNALS)
+    deciles = ", ".join(f"min(CASE WHEN signal = '{s}' AND 10 * run >= {k} * total THEN value END) AS {s}_{k}" for s in SIGNALS for k in (1, 5, 9))
+    own = ", ".join(f"{OWN.get(b, b.replace('_high', '_9'))} AS {b}" for b in BOUNDS)
+    # what a level allows, held against the one above
+    held = lambda b, of, above: f"{of}.{b}" if b in OWN else f"least({of}.{b}, greatest({SKEWED} * {of}.{b.replace('_high', '_5')}, {above}))"
+    language = {b: held(b, "b", f"c.{b}") for b in BOUNDS}
+    pick = ", ".join(
+        f"CASE WHEN a.n >= {MIN_GROUP} THEN {held(b, 'a', language[b])} WHEN b.n >= {MIN_GROUP} THEN {language[b]} ELSE c.{b} END AS {b}"
+        for b in BOUNDS
+    )
     blank = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
     return rf"""
-WITH d AS (SELECT row_number() OVER () AS uid, doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, lang, source, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
 win AS (SELECT uid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT uid, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
 rep AS (SELECT uid, i FROM (SELECT uid, i, count(*) OVER (PARTITION BY uid, g) AS k FROM win) WHERE k > 1),
@@ -165,14 +207,16 @@ m AS (SELECT d.uid, doc_id, lang, source, len(w)::BIGINT AS n_words, length(tran
     (length(text) - length(translate(text, '{SYMBOLS}', '')))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
     len(lines)::BIGINT AS n_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN cov USING (uid)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
-v AS ({" UNION ALL ".join(f"SELECT lang, source, '{s}' AS signal, {sig[s]} AS v FROM f WHERE NOT base_failed" for s in SIGNALS)}),
-x AS (SELECT *, {r.format("v", SIGNIFICANT)} AS value FROM v),
+v AS ({values}),
+x AS (SELECT *, ((v >> {spare}) << {spare}) AS value FROM v),
 lv AS (SELECT 0 AS level, lang, source, signal, value FROM x UNION ALL SELECT 1, lang, NULL, signal, value FROM x UNION ALL SELECT 2, NULL, NULL, signal, value FROM x),
-run AS (SELECT level, lang, source, signal, value, row_number() OVER (PARTITION BY level, lang, source, signal ORDER BY value) AS run, count(*) OVER (PARTITION BY level, lang, source, signal) AS total FROM lv),
-q AS (SELECT level, lang, source, signal, min(CASE WHEN 4 * run >= total THEN value END) AS q1, min(CASE WHEN 4 * run >= 3 * total THEN value END) AS q3, max(total) AS n FROM run GROUP BY ALL),
-b AS (SELECT level, lang, source, max(n) AS n, {bounds} FROM q GROUP BY level, lang, source),
+run AS (SELECT level, lang, source, signal, value, row_number() OVER (PARTITION BY level, lang, source, signal ORDER BY value) AS run,
+    count(*) OVER (PARTITION BY level, lang, source, signal) AS total FROM lv),
+q AS (SELECT level, lang, source, max(total) AS n, {deciles} FROM run GROUP BY level, lang, source),
+b AS (SELECT *, {own} FROM q),
 p AS (SELECT a.lang, a.source, {pick} FROM b a JOIN b ON b.level = 1 AND a.lang IS NOT DISTINCT FROM b.lang JOIN b c ON c.level = 2 WHERE a.level = 0)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({ok}, true) AS kept
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND NOT coalesce({" OR ".join(map(beyond, BOUNDS))}, false) AS kept
 FROM f LEFT JOIN p ON f.lang IS NOT DISTINCT FROM p.lang AND f.source IS NOT DISTINCT FROM p.source
 """
 

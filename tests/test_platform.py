@@ -68,6 +68,55 @@ def test_scalars(spark):
     assert values(spark, [("ＡＢＣ（é",)], "c string", text.collation_key(C("c"))) == ["abc(e"]
 
 
+def test_words_roles_and_reasons(spark):
+    words = ["QQ群", "Email", " E-MAIL ", "我的IM", "官网访问", "fax", "会"]
+    assert values(spark, [(w,) for w in words], "c string", text.channel_of_words(C("c"))) == ["wechat", "email", "email", "wechat", "web", "fax", "event"]
+    roles = ["拍板人", "决策层", "技术把关", "评估者", "采购", "推动者", "其他", None]
+    assert values(spark, [(r,) for r in roles], "c string", text.key_role(C("c"))) == ["拍板者", "决策者", "评估者", "评估者", "采购推动者", "采购推动者", None, None]
+    rows = [(["拍板者", "技术"], "部分"), ([], "全"), (["其他", None], "全"), (["决策"], "全"), (None, None)]
+    got = values(spark, rows, "a array<string>, k string", text.missing_roles(F.coalesce(C("a"), F.array().cast("array<string>")), C("k")))
+    assert got == [["决策者", "采购推动者"], [], [], ["拍板者", "评估者", "采购推动者"], ["拍板者", "决策者", "评估者", "采购推动者"]]
+    reasons = [None, "", "预算和价格", "评价不高", "输给友商", "联系人离职", "代理", "废标", "太慢"]
+    want = ["—", "—", "预算不足", "价格竞争", "竞品影响", "关键人缺失", "渠道问题", "流标 / 废标", "其他"]
+    assert values(spark, [(r,) for r in reasons], "c string", text.loss_reason(C("c"))) == want
+    won = [(None, None, None, None), (1.0, None, None, None), (None, 100.0, None, None), (0.0, 30.0, "赢单", None), (None, None, "", "成交"), (None, None, "谈判", "成交")]
+    got = values(spark, won, "a double, r double, s string, f string", text.is_won(C("a"), C("r"), C("s"), C("f")))
+    assert got == [False, True, True, True, True, False]
+
+
+def test_hashed_vectors_plainly(spark):
+    import math
+
+    import xxhash
+
+    names = ["blue river", "é腾讯", "a", ""]
+    for name, got in zip(names, values(spark, [(n,) for n in names], "n string", dedup.hashed_vector(C("n"))), strict=True):
+        v = [0.0] * 64
+        for k in (2, 3, 4):
+            for i in range(len(name) - k + 1):
+                h = xxhash.xxh64_intdigest(name[i : i + k].encode(), 42)
+                v[(h - (1 << 64) if h >> 63 else h) % 64] += 1
+        norm = math.sqrt(sum(x * x for x in v))
+        assert got == pytest.approx([x / norm if norm else 0.0 for x in v])
+
+
+def test_key_customers_and_coverage(spark):
+    """A key customer is matched by its own name and brings its owner; coverage is of the row before that."""
+    t = {
+        "zhique_contact": spark.createDataFrame([(1, "Acme", "Ann", "1"), (2, "Beta", "Bob", "2")], "id long, related_company string, contact_name string, mobile string"),
+        "crm_contact": spark.createDataFrame([(1, "Cid", "Acme", "3", "food", "S1")], "id long, contact_name string, customer_name string, mobile string, industry string, sales_name string"),
+        "key_customer": spark.createDataFrame([(1, "Acme", None, "KEY", None), (2, "Beta", "Kim", "KEY", "North"), (3, "New", "Lee", "KEY", "South"), (4, "", "Nobody", "KEY", "x")], "id long, key_customer_name string, customer_name string, industry_category string, department_level3 string"),
+        "marketing_lead": spark.createDataFrame([(1, "Acme", "Dan", "9", "Head of IT")], "id long, final_company_name string, customer_name string, contact_phone string, lead_function string"),
+        "tianrun_session": spark.createDataFrame([(1, "网页", "Guest", "7"), (2, "", "Guest", "7")], "id long, customer_name string, visitor_name string, visitor_mobile_phone string"),
+    }
+    out = etl.run_full(t, as_of(), spark)
+    rows = {r.customer_name: r for r in out["customer_360"].collect()}
+    assert {k: (r.owner_name, r.industry, r.region) for k, r in rows.items()} == {"Acme": ("S1", "KEY", None), "Beta": ("Kim", "KEY", "North"), "New": ("Lee", "KEY", "South")}
+    assert tuple(rows["Acme"].data_coverage) == (True, False, True, False) and tuple(rows["Beta"].data_coverage) == (False, False, False, False) and rows["New"].data_coverage is None
+    mapping = {(r.customer_name, r.contact_name): (r.mobile, r.position) for r in out["contact_mapping"].collect()}
+    assert mapping["Acme", "Dan"] == ("9", "Head of IT") and mapping["网页", "Guest"] == (None, None) and ("", "Guest") not in mapping
+
+
 def test_first_wins_and_upsert(spark):
     kind = "k string, m string, v string"
     a, b = spark.createDataFrame([("Acme", "1", "zhique")], kind), spark.createDataFrame([("Acme", "1", "crm"), ("Acme", None, "x"), ("Acme", None, "y")], kind)
@@ -124,7 +173,12 @@ def test_filters(spark):
     assert rows.filter(p.both(p.attribute_is(C("attribute"), "non_heavy"))).count() == 2
     assert rows.filter(p.name_is(C("customer_name"), "Acme One")).count() == 1 and rows.filter(p.name_is(C("customer_name"), "eta")).count() == 1
     assert p.date_window(C("x"), "nothing", None) == []
-    assert p.table_for({"content": "x"}, "") == "interaction_detail" and p.table_for({}, "张先生的手机") == "contact_360"
+    asked = [({"content": "x"}, ""), ({"channel": "web"}, ""), ({"is_high_value": 1}, ""), ({"mobile": "1"}, ""), ({"role_category": "x"}, ""), ({"email": "x", "customer_id": 1}, ""), ({"position": "x"}, "Interaction_Count 多少")]
+    asked += [({}, "张先生的手机"), ({}, "最近的直播"), ({}, "李总"), ({}, "哪些客户")]
+    tables = ["interaction_detail"] * 3 + ["contact_mapping"] * 2 + ["contact_360"] * 3 + ["interaction_detail", "contact_360", "customer_360"]
+    assert [p.table_for(*a) for a in asked] == tables
+    times = spark.sql("SELECT CAST(t AS TIMESTAMP_NTZ) AS t FROM VALUES ('2024-01-30 12:00:00'), ('2024-01-31 10:00:00'), ('2024-01-31 13:00:00'), ('2024-02-01 00:00:00') AS v(t)")
+    assert [times.filter(p.both(p.text_window(C("t"), s, e))).count() for s, e in ((None, "2024-01-31"), ("2024-01-31", "2024-01-31 12:30:00"), ("2024-01-31 11:00:00", None), (None, "soon"))] == [3, 1, 2, 0]
 
 
 def test_search(spark):
@@ -153,6 +207,26 @@ def test_duplicates_of_all_companies(spark):
     assert {(r.a, r.b) for r in dedup.run(companies, contacts, known).collect()} == {(1, 3), (2, 3)}
 
 
+def test_pairs_of_vectors_like_brute_force(spark):
+    """Block by block all pairs are found; by random projections at least nine in ten, and none that are not."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((40, 24))
+    v = np.concatenate([centres + rng.standard_normal((40, 24)) * s for s in (0.2, 0.4, 0.6, 0.8)] + [np.zeros((1, 24))])
+    u = v / np.maximum(np.linalg.norm(v, axis=1), 1e-300)[:, None]
+    want = {(i, int(j)) for i in range(len(v)) for j in np.flatnonzero(u[i] @ u.T >= 0.7) if i < j}
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    for block in (2000, 17):
+        got = {(r.a, r.b): r.similarity for r in dedup.similar_pairs(df, 0.7, block).collect()}
+        assert set(got) == want and all(s == pytest.approx(u[a] @ u[b]) for (a, b), s in got.items())
+        near = {(r.a, r.b) for r in dedup.nearest_pairs(df, 0.7, block=block).collect()}
+        assert near <= want and len(near) >= 0.95 * len(want)
+        three = {(r.a, r["rank"]): r.b for r in dedup.neighbours(df, 3, block).collect()}
+        assert all([three[i, k] for k in (1, 2, 3)] == [int(j) for j in sorted(range(len(v)), key=lambda j: (-round(u[i] @ u[j], 9), j)) if j != i][:3] for i in range(0, 160, 7))
+    assert dedup.nearest_pairs(df.limit(0), 0.7).count() == 0 and dedup.similar_pairs(df.limit(0), 0.7).count() == 0
+
+
 def test_serving_pages(spark, sf_dir):
     t = load_tables(spark, sf_dir)
     out = etl.run_full(t, as_of(), spark)

@@ -36,13 +36,21 @@ BEHAVIOUR_CHANNELS = {
     "下载资料": "web", "单页面表单提交": "web", "访问落地页": "web",
 }
 SESSION_CHANNELS = {"网页": "web", "企微客服": "wechat", "百度营销": "web"}
-#: What users call a channel, in order of the search.
+#: What users call a channel, in order of the search, which tells upper and lower case apart.
 CHANNEL_WORDS = {
-    "email": ("email", "邮件", "邮箱", "e-mail", "e_mail"),
-    "web": ("web", "官网", "网站", "网页", "线上官网", "网页端", "互联网", "website"),
-    "wechat": ("wechat", "微信", "qq", "钉钉", "im", "聊天", "社交", "即时通讯", "企微", "企业微信"),
+    "email": ("email", "邮件", "邮箱", "e-mail", "e_mail", "E-mail", "Email", "EMAIL", "E-MAIL"),
+    "web": ("web", "官网", "网站", "网页", "WEB", "Web", "线上官网", "网页端", "互联网", "website"),
+    "wechat": ("wechat", "微信", "qq", "QQ", "钉钉", "im", "IM", "聊天", "社交", "即时通讯", "企微", "企业微信", "WeChat"),
     "event": ("event", "活动", "线下", "展会", "沙龙", "研讨会", "会议", "峰会", "路演", "培训会", "线下活动"),
 }
+#: Roles of a buying centre, each with what its texts contain; asked in this order.
+KEY_ROLES = {"拍板者": ("拍板",), "决策者": ("决策",), "评估者": ("评估", "技术"), "采购推动者": ("采购", "推动")}
+ALL_ROLES = "全"
+#: Why an opportunity was lost, by the first pattern that its reason contains; no reason, and any other one.
+LOSS_REASONS = (("预算", "预算不足"), ("价|报价|价格", "价格竞争"), ("竞品|友商|竞争", "竞品影响"), ("关键|联系人|决策", "关键人缺失"), ("渠道|代理", "渠道问题"), ("流标|废标|招标", "流标 / 废标"))
+NO_REASON, OTHER_REASON = "—", "其他"
+#: Stages that mean that an opportunity was won.
+WON = ("成交", "赢单", "100%")
 COLLOQUIAL = (
     ("帮我找", "查找"), ("帮我看", "查询"), ("帮我看看", "查询"), ("我想找", "查找"), ("我要找", "查找"), ("有没有", "是否存在"),
     ("有哪些", "列出"), ("是多少", "的数值"), ("怎么样", "的情况"), ("如何", "怎样"), ("为啥", "为什么"), ("咋", "怎么"),
@@ -104,8 +112,8 @@ def normalize_channel(c: Column) -> Column:
 
 
 def channel_of_words(c: Column) -> Column:
-    """The channel code of a user's word for it: the lower-case word, else the first word of the list that contains it or
-    that it contains, else the word itself."""
+    """The channel code of a user's word for it: the lower-case word, else, of the word as it stands, the first word of the
+    list that contains it or that it contains, else the word itself."""
     low = F.lower(F.trim(c))
     exact = loose = None
     for code, words in CHANNEL_WORDS.items():
@@ -219,8 +227,34 @@ def clicked(behaviour: Column, content: Column) -> Column:
 
 def key_role(role: Column) -> Column:
     """The buying-centre role that a role text names, if any."""
-    has = lambda *w: reduce(lambda a, b: a | b, [role.contains(x) for x in w])
-    return F.when(has("拍板", "决策"), "决策者").when(has("评估", "技术"), "技术评估者").when(has("采购", "推动"), "采购推动者")
+    out = None
+    for name, words in KEY_ROLES.items():
+        hit = reduce(lambda a, b: a | b, [role.contains(w) for w in words])
+        out = F.when(hit, name) if out is None else out.when(hit, name)
+    return out
+
+
+def missing_roles(texts: Column, key_roles: Column) -> Column:
+    """Of an array of role texts, the buying-centre roles that none names; none is missing where no text names one and
+    the customer's own coverage says that all are there."""
+    covered = F.array_compact(F.array_distinct(F.transform(texts, key_role)))
+    every = F.array(*map(F.lit, KEY_ROLES))
+    all_there = (F.size(covered) == 0) & F.coalesce(key_roles == ALL_ROLES, F.lit(False))
+    return F.when(all_there, F.array().cast("array<string>")).otherwise(F.array_except(every, covered))
+
+
+def loss_reason(reason: Column) -> Column:
+    """The class of the reason why an opportunity was lost."""
+    out = F.when(filled(reason).isNull(), NO_REASON)
+    for pattern, name in LOSS_REASONS:
+        out = out.when(reason.rlike(pattern), name)
+    return out.otherwise(OTHER_REASON)
+
+
+def is_won(order_amount: Column, win_rate: Column, *stages: Column) -> Column:
+    """An order amount, a win rate of 100, or a label of success in the first of the stages that is not empty."""
+    label = F.coalesce(*[F.nullif(s, F.lit("")) for s in stages], win_rate.cast("string"), F.lit(""))
+    return (F.coalesce(order_amount, F.lit(0)) > 0) | (F.coalesce(win_rate, F.lit(0)) >= 100) | label.isin(*WON)
 
 
 def number_in_stage(stage: Column) -> Column:

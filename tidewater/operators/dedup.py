@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..functions.text import normalize_name
-from .merge import latest, without_known_pairs
+from .merge import latest, top, without_known_pairs
 
 #: Similarity of pairs whose normalised names are equal.
 EXACT = 0.98
@@ -43,15 +43,131 @@ def exact_pairs(names: DataFrame) -> DataFrame:
     return names.filter("norm <> ''").join(right, F.col("norm") == F.col("n2")).filter(F.col("id") < F.col("b")).select(F.col("id").alias("a"), "b", F.lit(EXACT).alias("similarity"))
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, blocks: int = 8) -> DataFrame:
-    """(a, b, similarity) of vectors (id, v) at least threshold alike, exactly. Every pair of blocks of rows meets in one
-    group, so the work is spread over blocks squared tasks and each row is sent blocks times, not to every row."""
-    n = F.lit(blocks)
-    left = vectors.select(F.col("id").alias("a"), F.col("v").alias("va"), F.pmod(F.xxhash64("id"), n).alias("x"))
-    right = vectors.select(F.col("id").alias("b"), F.col("v").alias("vb"), F.pmod(F.xxhash64("id"), n).alias("y"))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    met = left.withColumn("y", every).join(right.withColumn("x", every), ["x", "y"]).filter(F.col("a") < F.col("b"))
-    return met.withColumn("similarity", scoring.cosine(F.col("va"), F.col("vb"))).filter(F.col("similarity") >= threshold).select("a", "b", "similarity")
+#: Rows of a block of vectors; two blocks meet in one group.
+BLOCK = 2000
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(a, b, similarity) of vectors (id, v) at least threshold alike, exactly: every pair of blocks of about `block` rows meets
+    in one group, where their cosines are one matrix product of rows of length 1. A vector of zeros is like no other.
+
+    All pairs are compared, so the work grows with the square of the rows; nearest_pairs compares those that are likely."""
+    blocks = max(1, -(-vectors.count() // block))
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("x")
+    rows = vectors.select("id", unit(F.col("v")).alias("v"), own, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("y"))
+    rows = rows.select("id", "v", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), (F.col("x") > F.col("y")).alias("side"))
+    return rows.groupBy("x", "y").applyInPandas(_products(threshold), _pair_type(vectors))
+
+
+def unit(v: Column) -> Column:
+    """v at length 1; zeros stay zeros."""
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))  # noqa: E731  evaluated once
+    length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    return let(length, lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
+
+
+def _pair_type(vectors: DataFrame) -> str:
+    kind = vectors.schema["id"].dataType.simpleString()
+    return f"a {kind}, b {kind}, similarity double"
+
+
+def _products(threshold: float):
+    """Of a group of unit vectors (id, v, x, y, side): pairs of both sides, or all pairs if there is one block only."""
+
+    def run(key, group):
+        import numpy as np
+        import pandas as pd
+
+        group = group.sort_values("id")
+        alone = key[0] == key[1]
+        left = group if alone else group[~group["side"]]
+        right = group if alone else group[group["side"]]
+        found = []
+        if len(left) and len(right):
+            v = np.stack(right["v"].to_numpy())
+            for low in range(0, len(left), 512):
+                s = np.stack(left["v"].to_numpy()[low : low + 512]) @ v.T
+                i, j = np.nonzero(s >= threshold)
+                found.append((left["id"].to_numpy()[low + i], right["id"].to_numpy()[j], s[i, j]))
+        if not found:
+            return pd.DataFrame({"a": [], "b": [], "similarity": []})
+        a, b, s = (np.concatenate(c) for c in zip(*found, strict=True))
+        keep = (a < b) if alone else np.ones(len(a), bool)
+        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": s[keep]})
+
+    return run
+
+
+def neighbours(vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """(a, b, similarity, rank): of each vector (id, v) the k most alike, exactly, ties by id; cosines to nine digits. Every block of
+    queries meets every block of vectors in one group, of which only the best k of each query go on."""
+    blocks = max(1, -(-vectors.count() // block))
+    own, every = F.pmod(F.xxhash64("id"), F.lit(blocks)), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    rows = vectors.select("id", unit(F.col("v")).alias("v"), own.alias("own"), every.alias("other"))
+    asked = rows.select("id", "v", F.col("own").alias("x"), F.col("other").cast("bigint").alias("y"), F.lit(True).alias("asked"))
+    met = asked.unionByName(rows.select("id", "v", F.col("other").cast("bigint").alias("x"), F.col("own").alias("y"), F.lit(False).alias("asked")))
+
+    def run(group):
+        import numpy as np
+        import pandas as pd
+
+        left, right = group[group["asked"]], group[~group["asked"]]
+        found = []
+        if len(left) and len(right):
+            v, ids = np.stack(right["v"].to_numpy()), right["id"].to_numpy()
+            for low in range(0, len(left), 512):
+                one = left["id"].to_numpy()[low : low + 512]
+                s = np.round(np.stack(left["v"].to_numpy()[low : low + 512]) @ v.T, 9)
+                s[one[:, None] == ids] = -2
+                least = np.partition(s, -min(k, s.shape[1]), axis=1)[:, -min(k, s.shape[1])]
+                i, j = np.nonzero((s >= least[:, None]) & (s > -2))
+                found.append((one[i], ids[j], s[i, j]))
+        cols = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [[], [], []]
+        return pd.DataFrame(dict(zip(("a", "b", "similarity"), cols, strict=True)))
+
+    best = met.groupBy("x", "y").applyInPandas(run, _pair_type(vectors))
+    return top(best, ["a"], [F.col("similarity").desc(), F.col("b")], k)
+
+
+#: Of nearest_pairs: sign bits of a bucket key, and buckets that each vector is in. Two vectors at a cosine of 0.7 share a sign with
+#: probability 0.75, and so one of the buckets with 0.99.
+BITS, TABLES = 8, 48
+
+
+def nearest_pairs(vectors: DataFrame, threshold: float = SIMILAR, k: int = 50, bits: int = BITS, tables: int = TABLES, block: int = BLOCK) -> DataFrame:
+    """(a, b, similarity): of each vector the k most alike at threshold or more (either of the two may be among the other's), from
+    vectors that share a bucket: the signs of `bits` random projections, the same in every run, in one of `tables`. Crowded
+    buckets are cut into blocks that meet two by two, so no group is large and no row is left out."""
+    first = vectors.select(F.size("v").alias("n")).first()
+    if first is None:
+        return vectors.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("similarity")).limit(0)
+    n = first["n"]
+    rows = vectors.select("id", unit(F.col("v")).alias("v"))
+
+    def keyed(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        planes = np.random.default_rng(20240131).standard_normal((n, bits * tables))
+        weights = 1 << np.arange(bits)
+        for batch in batches:
+            v = np.stack(batch.column("v").to_pandas().to_numpy()) if batch.num_rows else np.zeros((0, n))
+            signs = ((v @ planes) > 0).reshape(len(v), tables, bits) @ weights + np.arange(tables) * (1 << bits)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(list(signs), pa.list_(pa.int64()))], ["id", "v", "keys"])
+
+    kind = vectors.schema["id"].dataType.simpleString()
+    placed = rows.mapInArrow(keyed, f"id {kind}, v array<double>, keys array<bigint>").select("id", "v", F.explode("keys").alias("key"))
+    sizes = placed.groupBy(F.col("key").alias("__key")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    placed = placed.join(F.broadcast(sizes), F.col("key") == F.col("__key"))  # at most 2 ** bits * tables rows
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).alias("own")
+    placed = placed.select("id", "v", "key", own, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    side = (F.col("own") > F.col("with")).alias("side")
+    placed = placed.select("id", "v", "key", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), side)
+    products = _products(threshold)
+    found = placed.groupBy("x", "y", "key").applyInPandas(products, _pair_type(vectors)).dropDuplicates(["a", "b"])
+    ends = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    best = top(ends, ["a"], [F.col("similarity").desc(), F.col("b")], k)
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").dropDuplicates(["a", "b"])
 
 
 def blocked_pairs(names: DataFrame, block: Column) -> DataFrame:
@@ -77,19 +193,20 @@ def scored(pairs: DataFrame) -> DataFrame:
     return out.withColumn("status", scoring.triage(F.col("match_score")))
 
 
-def candidate_pairs(names: DataFrame, threshold: float = SIMILAR) -> DataFrame:
+def candidate_pairs(names: DataFrame, threshold: float = SIMILAR, exact: bool = False) -> DataFrame:
     """(a, b, norm_a, norm_b, similarity) of names (id, name, norm), each pair of all companies once: equal normal forms, and
-    names whose hashed vectors are at least threshold alike."""
+    names whose hashed vectors are at least threshold alike, of each the nearest. exact: all pairs are compared and kept."""
     vectors = names.select("id", hashed_vector(F.lower("name")).alias("v"))
-    pairs = exact_pairs(names).unionByName(similar_pairs(vectors, threshold)).groupBy("a", "b").agg(F.max_by("similarity", F.col("similarity") == EXACT).alias("similarity"))
+    near = similar_pairs(vectors, threshold) if exact else nearest_pairs(vectors, threshold)
+    pairs = exact_pairs(names).unionByName(near).groupBy("a", "b").agg(F.max_by("similarity", F.col("similarity") == EXACT).alias("similarity"))
     of = lambda c: names.select(F.col("id").alias(f"__{c}"), F.col("norm").alias(f"norm_{c}"))
     return pairs.join(of("a"), F.col("a") == F.col("__a")).join(of("b"), F.col("b") == F.col("__b")).select("a", "b", "norm_a", "norm_b", "similarity")
 
 
-def run(companies: DataFrame, contacts: DataFrame, known: DataFrame | None, threshold: float = SIMILAR) -> DataFrame:
-    """From companies (id, name) to the review candidates that known lacks."""
+def run(companies: DataFrame, contacts: DataFrame, known: DataFrame | None, threshold: float = SIMILAR, exact: bool = False) -> DataFrame:
+    """From companies (id, name) to the review candidates that known lacks: candidates, shared contacts, scores, triage."""
     names = companies.select("id", F.coalesce("name", F.lit("")).alias("name"), normalize_name(F.col("name")).alias("norm"))
-    pairs = candidate_pairs(names, threshold)
+    pairs = candidate_pairs(names, threshold, exact)
     out = scored(evidence(pairs, contacts)).filter("status IS NOT NULL")
     return without_known_pairs(out, known, "a", "b") if known is not None else out
 

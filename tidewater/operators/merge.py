@@ -15,9 +15,9 @@ def first_wins(sources: list[DataFrame], key: list[str], ties: list[str]) -> Dat
     parts = [s.withColumn("__priority", F.lit(i)) for i, s in enumerate(sources)]
     every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     lacks = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in key])
-    own = every.withColumn("__own", F.when(lacks, F.monotonically_increasing_id()))  # a key of its own for such a row
-    w = Window.partitionBy(*key, "__own").orderBy("__priority", *[F.col(t).asc_nulls_last() for t in ties])
-    return own.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n", "__own", "__priority")
+    w = Window.partitionBy(*key).orderBy("__priority", *[F.col(t).asc_nulls_last() for t in ties])
+    first = every.filter(~lacks).withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    return first.unionByName(every.filter(lacks)).drop("__priority")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], columns: list[str], order: list[Column] | None = None) -> DataFrame:

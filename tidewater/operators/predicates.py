@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from datetime import date, datetime, timedelta
 from functools import reduce
@@ -57,6 +58,22 @@ def date_window(c: Column, start: str | None, end: str | None) -> list[Column]:
     return parts
 
 
+def text_window(c: Column, start: str | None, end: str | None) -> list[Column]:
+    """From start, as it stands, to the end of the day end; an end that isn't a plain date is taken as it stands, too. What is no
+    time at all is after nothing and before nothing."""
+    at = lambda text: F.lit(text).try_cast("timestamp_ntz")
+    parts = []
+    if start:
+        parts.append(c >= at(start))
+    if end:
+        try:
+            day = datetime.strptime(end, "%Y-%m-%d").date() + timedelta(days=1)
+            parts.append(c < at(day.isoformat()))
+        except ValueError:
+            parts.append(c < at(end))
+    return parts
+
+
 def _day(text: str | None) -> date | None:
     try:
         return datetime.strptime((text or "")[:10], "%Y-%m-%d").date()
@@ -180,7 +197,7 @@ def compile_filter(asked: dict[str, Any], table: str, as_of: Column) -> Compiled
     asked = dict(asked)
     least, distinct = asked.pop("interaction_min", None), asked.pop("_distinct_customer", False)
     start, end = asked.pop("event_time_start", None), asked.pop("event_time_end", None)
-    window = date_window(F.col("event_time"), start, end)
+    window = text_window(F.col("event_time"), start, end)
     inner = None
     if distinct and table == "interaction_detail":
         fields = FIELDS[table]
@@ -205,17 +222,23 @@ def run_filter(tables: dict[str, DataFrame], asked: dict[str, Any], table: str,
     return rows.orderBy(*c.order) if c.order else rows
 
 
+# What tells the table that a question is about -------------------------------------------------
+INTERACTION_KEYS = ("channel", "behavior_type", "content", "is_high_value", "event_time", "event_time_start", "event_time_end")
+CONTACT_KEYS = ("contact_name", "mobile", "email", "department", "position", "purchase_role", "role_category")
+INTERACTION_WORDS = ("互动", "行为", "访问", "点击", "邮件", "直播", "活动", "渠道", "邮箱互动", "邮件互动", "官网访问", "web互动")
+CONTACT_WORDS = ("联系人", "手机号", "邮箱", "决策人", "采购角色", "部门", "职位", "电话", "手机", "电话号码", "联系方式")
+TITLES = r"\w+(经理|总|先生|女士|姐|哥)"
+# ---------------------------------------------------------------------------------------------------------
+
+
 def table_for(asked: dict[str, Any], question: str) -> str:
     """Which table a question is about: by its fields, then by words, then by a name with a title."""
-    import re
-
-    keys = set(asked)
-    if keys & {"behavior_type", "content", "event_time_start", "event_time_end"}:
+    if any(k in asked for k in INTERACTION_KEYS):
         return "interaction_detail"
-    if keys & {"activity_level", "position", "department"}:
-        return "contact_360"
-    if any(w in question for w in ("互动", "行为", "打开", "点击", "访问")):
+    if any(k in asked for k in CONTACT_KEYS):
+        return "contact_360" if "customer_id" in asked or "interaction_count" in question.lower() else "contact_mapping"
+    if any(w in question for w in INTERACTION_WORDS):
         return "interaction_detail"
-    if any(w in question for w in ("联系人", "手机", "邮箱")) or re.search("[一-鿿](先生|女士|总|经理)", question):
+    if any(w in question for w in CONTACT_WORDS) or re.search(TITLES, question):
         return "contact_360"
     return "customer_360"

@@ -7,6 +7,8 @@ marketing_lead, linkflow_contacts, linkflow_events, tianrun_session, key_custome
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,8 +70,17 @@ def _mapped(df: DataFrame, source_table: str, **cols: Column) -> DataFrame:
     return df.select(*[(cols.get(c, F.lit(source_table) if c == "source_table" else F.lit(None)).cast(kinds.get(c, "string"))).alias(c) for c in MAPPING])
 
 
-def contact_mapping(t: Tables, spark) -> DataFrame:
-    """One row for each customer and mobile, from the first source that has it; contacts without a mobile all stay."""
+def _only(df: DataFrame, only: DataFrame | None) -> DataFrame:
+    """The rows of the customers in only (customer_name), if that is given."""
+    if only is None:
+        return df
+    names = only.select(F.col("customer_name").alias("only_name"))
+    return df.join(names, F.col("customer_name") == F.col("only_name"), "left_semi")
+
+
+def contact_mapping(t: Tables, spark, only: DataFrame | None = None) -> DataFrame:
+    """One row for each customer and mobile, from the first source that has it; contacts without a mobile all stay. only: the
+    customers to compute."""
     zhique, crm = source(t, "zhique_contact", spark), source(t, "crm_contact", spark)
     icp, c = anchor(zhique), F.col
     own = _mapped(zhique.filter(is_filled(c("related_company"))), "zhique", customer_name=c("related_company"), contact_name=c("contact_name"), mobile=c("mobile"), email=c("email"), department=c("department"), position=c("position"))
@@ -83,12 +94,13 @@ def contact_mapping(t: Tables, spark) -> DataFrame:
     from_crm = _mapped(marked, "crm", customer_name=c("customer_name"), contact_name=c("contact_name"), mobile=c("mobile"), email=c("email"), department=c("department"), position=c("position"), purchase_role=c("purchase_role"), role_category=text.role_category(c("purchase_role")))
     lead = source(t, "marketing_lead", spark)
     company = F.coalesce("final_company_name", "customer_company", "opp_customer_name")
-    leads = _mapped(lead.withColumn("company", company).filter(is_filled(c("company"))), "marketing", customer_name=c("company"), contact_name=c("customer_name"), mobile=c("contact_phone"), email=c("email")).distinct()
+    leads = _mapped(lead.withColumn("company", company).filter(is_filled(c("company"))), "marketing", customer_name=c("company"), contact_name=c("customer_name"), mobile=c("contact_phone"), email=c("email"), position=c("lead_function")).distinct()
     web = web_contacts(source(t, "linkflow_contacts", spark), crm)
     from_web = _mapped(web, "linkflow", customer_name=c("customer_name"), contact_name=c("name"), mobile=c("mobile_phone"), email=c("email"), department=c("department"), position=c("title"), linkflow_contact_id=c("contact_id"))
     chats = source(t, "tianrun_session", spark).filter(is_filled(c("customer_name")) & is_filled(c("visitor_name")))
-    from_chat = _mapped(chats.join(icp.withColumnRenamed("customer_name", "icp_name"), c("customer_name") == c("icp_name"), "left_semi"), "tianrun", customer_name=c("customer_name"), contact_name=c("visitor_name"), mobile=c("visitor_mobile_phone"), email=c("visitor_email")).distinct()
-    return first_wins([own, from_crm, leads, from_web, from_chat], ["customer_name", "mobile"], ["contact_name", "email", "department", "position"])
+    from_chat = _mapped(chats, "tianrun", customer_name=c("customer_name"), contact_name=c("visitor_name")).distinct()
+    parts = [_only(df, only) for df in (own, from_crm, leads, from_web, from_chat)]
+    return first_wins(parts, ["customer_name", "mobile"], ["contact_name", "email", "department", "position"])
 
 
 DETAIL = ("customer_name", "contact_name", "mobile", "source_table", "channel", "behavior_type", "content", "event_time", "is_high_value", "source_id")
@@ -100,8 +112,8 @@ def _detail(df: DataFrame, source_table: str, **cols: Column) -> DataFrame:
     return df.select(*[(cols.get(c, F.lit(source_table) if c == "source_table" else F.lit(None)).cast(kinds.get(c, "string"))).alias(c) for c in DETAIL])
 
 
-def interaction_detail(t: Tables, spark) -> DataFrame:
-    """One row for each source and id of it, of all sources."""
+def interaction_detail(t: Tables, spark, only: DataFrame | None = None) -> DataFrame:
+    """One row for each source and id of it, of all sources. only: the customers to compute."""
     c, zhique, crm = F.col, source(t, "zhique_contact", spark), source(t, "crm_contact", spark)
     icp = anchor(zhique).withColumnRenamed("customer_name", "icp_name")
     by_mobile = crm.filter(is_filled(c("customer_name")) & is_filled(c("mobile"))).groupBy(c("mobile").alias("crm_mobile")).agg(F.min("customer_name").alias("customer_name"))
@@ -117,7 +129,8 @@ def interaction_detail(t: Tables, spark) -> DataFrame:
     lead = _detail(leads, "crm_lead", customer_name=filled(c("company")), contact_name=filled(c("person")), mobile=filled(c("phone")), channel=F.coalesce(filled(c("source_class")), F.lit("crm")), behavior_type=F.lit("线索"), content=F.coalesce(filled(c("activity")), filled(c("source_kind")), F.lit("")), event_time=c("obtained"), source_id=text.content_hash_id(c("lead_code"), c("company"), c("person"), c("phone"), day(c("obtained")), c("activity")))
     opps = source(t, "crm_opportunity_data", spark).filter(filled(c("customer")).isNotNull() & c("created").isNotNull())
     opp = _detail(opps, "crm_opportunity", customer_name=filled(c("customer")), contact_name=filled(c("owner")), channel=F.coalesce(filled(c("origin")), F.lit("crm")), behavior_type=F.lit("商机"), content=F.coalesce(filled(c("opp_name")), F.lit("")), event_time=c("created"), source_id=text.content_hash_id(c("opp_code"), c("customer"), c("opp_name"), day(c("created")), c("origin")))
-    return first_wins([own, chat, visit, lead, opp], ["source_table", "source_id"], ["customer_name", "event_time", "contact_name", "content"])
+    parts = [_only(df, only) for df in (own, chat, visit, lead, opp)]
+    return first_wins(parts, ["source_table", "source_id"], ["customer_name", "event_time", "contact_name", "content"])
 
 
 def customer_360(t: Tables, mapping: DataFrame, detail: DataFrame, as_of: Column, spark, only: DataFrame | None = None) -> DataFrame:
@@ -146,30 +159,59 @@ def customer_360(t: Tables, mapping: DataFrame, detail: DataFrame, as_of: Column
         )
     )
     out = (
-        out.withColumn("data_coverage", F.struct((c("interaction_count_total") > 0).alias("interaction"), (c("contact_count") > 0).alias("crm"), (c("funnel_opp_count") + c("active_opp_count") > 0).alias("opportunity")))
+        out.withColumn(
+            "data_coverage",
+            F.struct(
+                c("industry").isNotNull().alias("has_crm"),
+                (c("active_opp_count") > 0).alias("has_opp"),
+                (c("contact_count") > 0).alias("has_contacts"),
+                (c("interaction_count_total") > 0).alias("has_interactions"),
+            ),
+        )
         .withColumn("intent_score", scoring.intent_score(c("interaction_count_30d"), c("active_opp_count"), c("contact_count")))
         .withColumn("intent_level", scoring.intent_level(c("interaction_count_30d"), c("interaction_count_total"), c("active_opp_count")))
     )
-    key = source(t, "key_customer", spark).filter(is_filled(c("customer_name"))).select("customer_name", c("industry_category").alias("industry"), c("department_level3").alias("region"), "attribute", "id")
+    # key customers are matched by their own name; customer_name there is who is in charge of them
+    key = (
+        source(t, "key_customer", spark)
+        .filter(is_filled(c("key_customer_name")))
+        .select(
+            c("key_customer_name").alias("customer_name"),
+            c("customer_name").alias("owner_name"),
+            c("industry_category").alias("industry"),
+            c("department_level3").alias("region"),
+            "attribute",
+            "id",
+        )
+    )
+    filled_in = ["owner_name", "industry", "region", "attribute"]
     if only is not None:
         key = key.join(names, c("customer_name") == c("only_name"), "left_semi")
-    out = update_join(out, key, "customer_name", ["industry", "region", "attribute", "id"], ties=["id"]).drop("id")
-    first = key.groupBy("customer_name").agg(F.min_by("industry", "id").alias("industry"), F.min_by("region", "id").alias("region"), F.min_by("attribute", "id").alias("attribute"))
+    out = update_join(out, key, "customer_name", [*filled_in, "id"], ties=["id"]).drop("id")
+    first = key.groupBy("customer_name").agg(*[F.min_by(n, "id").alias(n) for n in filled_in])
     missing = first.withColumns({n: F.lit(0) for n in ("interaction_count_30d", "interaction_count_total", "contact_count", "mobile_count", "active_opp_count", "funnel_opp_count", "intent_score")})
     out = insert_missing(out, conform(missing, out.schema), "customer_name", keys=icp)
     return conform(out, TABLES["customer_360"])
 
 
-def contact_360(mapping: DataFrame, detail: DataFrame, customers: DataFrame, icp: DataFrame, as_of: Column) -> DataFrame:
-    """A row for each customer in scope and mobile; interactions match on the contact's name and, null-safe, the mobile."""
+def contact_360(mapping: DataFrame, detail: DataFrame, customers: DataFrame, icp: DataFrame, as_of: Column, keys: DataFrame | None = None) -> DataFrame:
+    """A row for each customer in scope and mobile; interactions match on the contact's name and, null-safe, the mobile.
+    keys (contact_name, mobile): the contacts to compute."""
     c = F.col
     recent = c("event_time") >= as_of - F.expr("INTERVAL 30 DAYS")
-    seen = detail.groupBy(c("contact_name").alias("d_name"), c("mobile").alias("d_mobile")).agg(F.count("*").cast("int").alias("interaction_count"), F.count_if(recent).cast("int").alias("interaction_count_30d"), F.max("event_time").alias("last_interaction_time"))
-    scope = mapping.join(icp.select(c("customer_name").alias("icp_name")), c("customer_name") == c("icp_name"), "left_semi").join(customers.select(c("customer_name").alias("c_name")), c("customer_name") == c("c_name"), "left_semi")
+    scope = mapping.join(icp.select(c("customer_name").alias("icp_name")), c("customer_name") == c("icp_name"), "left_semi")
+    scope = scope.join(customers.select(c("customer_name").alias("c_name")), c("customer_name") == c("c_name"), "left_semi")
     rows = first_wins([scope], ["customer_name", "mobile"], ["source_table", "contact_name", "email"])
+    if keys is not None:
+        one = keys.select(c("contact_name").alias("k_name"), c("mobile").alias("k_mobile")).distinct()
+        detail, rows = (df.join(one, c("contact_name").eqNullSafe(c("k_name")) & c("mobile").eqNullSafe(c("k_mobile")), "left_semi") for df in (detail, rows))
+    seen = detail.groupBy(c("contact_name").alias("d_name"), c("mobile").alias("d_mobile")).agg(
+        F.count("*").cast("int").alias("interaction_count"), F.count_if(recent).cast("int").alias("interaction_count_30d"), F.max("event_time").alias("last_interaction_time")
+    )
     out = rows.join(seen, (c("contact_name") == c("d_name")) & c("mobile").eqNullSafe(c("d_mobile")), "left")
     n, n30 = F.coalesce("interaction_count", F.lit(0)), F.coalesce("interaction_count_30d", F.lit(0))
-    return conform(out.withColumns({"interaction_count": n, "interaction_count_30d": n30, "activity_level": scoring.activity_level(n30, n), "source_tables": F.array("source_table")}), TABLES["contact_360"])
+    new = {"interaction_count": n, "interaction_count_30d": n30, "activity_level": scoring.activity_level(n30, n), "source_tables": F.array("source_table")}
+    return conform(out.withColumns(new), TABLES["contact_360"])
 
 
 def run_full(t: Tables, as_of: Column, spark) -> Tables:
@@ -180,30 +222,55 @@ def run_full(t: Tables, as_of: Column, spark) -> Tables:
     return {"contact_mapping": mapping, "interaction_detail": detail, "customer_360": customers, "contact_360": contacts}
 
 
-def affected(old: Tables, new: Tables) -> DataFrame:
-    """Customers whose row can differ between two versions of the source tables' results."""
-    names = None
-    for t in ("contact_mapping", "interaction_detail"):
-        more = new[t].exceptAll(old[t].select(*new[t].columns)).select("customer_name").unionByName(old[t].select(*new[t].columns).exceptAll(new[t]).select("customer_name"))
-        names = more if names is None else names.unionByName(more)
-    return names.distinct()
-
-
-def run_incremental(before: Tables, batch: Tables, t: Tables, as_of: Column, spark) -> Tables:
-    """before: the four tables; t: the sources with the batch in them. The customer rows that the batch can reach are
-    computed anew by the functions of the full load and replace the old ones; contacts are rebuilt."""
+def affected(before: Tables, batch: Tables, t: Tables, spark) -> DataFrame:
+    """(customer_name) of the customers whose rows a batch of source rows can change: those it names, and those that its
+    mobiles or web contacts lead to, now or before. Only the batch's own keys are looked up in the large tables."""
     c = F.col
-    mapping, detail = contact_mapping(t, spark), interaction_detail(t, spark)
-    names = affected(before, {"contact_mapping": mapping, "interaction_detail": detail})
-    for name, key in (("crm_contact", "customer_name"), ("crm_opportunity", "customer_name"), ("zhique_contact", "related_company"), ("key_customer", "customer_name")):
-        if name in batch:
-            names = names.unionByName(batch[name].select(c(key).alias("customer_name")))
-    names = names.filter(is_filled(c("customer_name"))).distinct()
-    fresh = customer_360(t, mapping, detail, as_of, spark, only=names)
-    kept = before["customer_360"].join(names.select(c("customer_name").alias("n")), c("customer_name") == c("n"), "left_anti")
-    customers = kept.unionByName(fresh)
-    contacts = contact_360(mapping, detail, customers, anchor(source(t, "zhique_contact", spark)), as_of)
-    return {"contact_mapping": mapping, "interaction_detail": detail, "customer_360": customers, "contact_360": contacts}
+    named = {
+        "zhique_contact": "related_company", "crm_contact": "customer_name", "crm_opportunity": "customer_name", "crm_lead": "company",
+        "crm_opportunity_data": "customer", "tianrun_session": "customer_name", "key_customer": "key_customer_name",
+    }
+    names = [source(batch, n, spark).select(F.trim(c(col)).alias("customer_name")) for n, col in named.items() if n in batch]
+    names += [source(batch, n, spark).select(c(col).alias("customer_name")) for n, col in named.items() if n in batch]
+    if "marketing_lead" in batch:
+        company = F.coalesce("final_company_name", "customer_company", "opp_customer_name")
+        names.append(source(batch, "marketing_lead", spark).select(company.alias("customer_name")))
+    phones = {"zhique_contact": "mobile", "crm_contact": "mobile", "zhique_behavior": "mobile_phone", "linkflow_contacts": "mobile_phone"}
+    mobiles = [source(batch, n, spark).select(c(col).alias("phone")) for n, col in phones.items() if n in batch]
+    if "linkflow_events" in batch:
+        visitors = source(batch, "linkflow_events", spark).select(c("contact_id").alias("visitor")).distinct()
+        web = source(t, "linkflow_contacts", spark).join(visitors, c("contact_id") == c("visitor"), "left_semi")
+        mobiles.append(web.select(c("mobile_phone").alias("phone")))
+    if mobiles:
+        phone = reduce(lambda a, b: a.unionByName(b), mobiles).filter(is_filled(c("phone"))).distinct()
+        for rows in (source(t, "crm_contact", spark), before["contact_mapping"], before["interaction_detail"]):
+            names.append(rows.join(phone, c("mobile") == c("phone"), "left_semi").select("customer_name"))
+    if not names:
+        return spark.createDataFrame([], "customer_name string")
+    return reduce(lambda a, b: a.unionByName(b), names).filter(is_filled(c("customer_name"))).distinct()
+
+
+def run_incremental(before: Tables, batch: Tables, t: Tables, as_of: Column, spark, names: DataFrame | None = None) -> Tables:
+    """before: the four tables (without contact_360: that is rebuilt); t: the sources with the batch in them. The rows of the
+    customers that the batch can reach are computed anew by the functions of the full load and replace the old ones; all
+    others stay as they are, with the counts of their last load. names: the affected customers, if they are stored already."""
+    c = F.col
+    names = affected(before, batch, t, spark) if names is None else names
+    there = names.select(c("customer_name").alias("n"))
+    kept = {k: before[k].join(there, c("customer_name") == c("n"), "left_anti") for k in before}
+    fresh = {"contact_mapping": contact_mapping(t, spark, names), "interaction_detail": interaction_detail(t, spark, names)}
+    fresh["customer_360"] = customer_360(t, fresh["contact_mapping"], fresh["interaction_detail"], as_of, spark, only=names)
+    out = {k: kept[k].unionByName(fresh[k].select(*before[k].columns)) for k in fresh}
+    icp = anchor(source(t, "zhique_contact", spark))
+    if "contact_360" not in before:
+        return out | {"contact_360": contact_360(out["contact_mapping"], out["interaction_detail"], out["customer_360"], icp, as_of)}
+    # contacts of the affected customers, and others that share a name and mobile with interactions that came or went
+    gone = {k: before[k].join(there, c("customer_name") == c("n"), "left_semi") for k in ("interaction_detail", "contact_mapping")}
+    keys = reduce(lambda a, b: a.unionByName(b), [x[k].select("contact_name", "mobile") for x in (gone, fresh) for k in gone]).distinct()
+    again = contact_360(out["contact_mapping"], out["interaction_detail"], out["customer_360"], icp, as_of, keys)
+    one = keys.select(c("contact_name").alias("k_name"), c("mobile").alias("k_mobile"))
+    same = c("contact_name").eqNullSafe(c("k_name")) & c("mobile").eqNullSafe(c("k_mobile"))
+    return out | {"contact_360": before["contact_360"].join(one, same, "left_anti").unionByName(again)}
 
 
 def validate(t: Tables) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass
 from typing import Any
 
@@ -68,13 +69,17 @@ class Store:
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
     def _write(self, name: str, text: str) -> None:
+        """The file is replaced by one rename, so there is always the old or the new one."""
         fs, path = self._files()
-        new, old = path(f"{self.path}/.{name}.new"), path(f"{self.path}/{name}")
+        new, old = path(f"{self.path}/.{name}.{uuid.uuid4().hex}"), path(f"{self.path}/{name}")
         out = fs.create(new, True)
         out.write(bytearray(text.encode()))
         out.close()
-        fs.delete(old, False)
-        fs.rename(new, old)
+        sc = self.spark.sparkContext
+        rename = sc._jvm.org.apache.hadoop.fs.Options.Rename
+        over = sc._gateway.new_array(rename, 1)
+        over[0] = rename.OVERWRITE
+        sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(old.toUri(), sc._jsc.hadoopConfiguration()).rename(new, old, over)
 
     def _read(self, name: str) -> str | None:
         fs, path = self._files()

@@ -62,6 +62,20 @@ def cosine_pairs_035(spark, d):
     return dedup.similar_pairs(v, 0.35).withColumn("similarity", F.round("similarity", 4))
 
 
+@query("""WITH s AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
+SELECT a, b, round(s, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b)::INT AS rank FROM s) WHERE rank <= 10""")
+def nearest_neighbours(spark, d):
+    """The ten vectors most like each, ten being the feature."""
+    v = table(spark, d, "embeddings").select(C("vec_id").alias("id"), C("embedding").alias("v"))
+    return dedup.neighbours(v, 10).withColumn("similarity", F.round("similarity", 6))
+
+
+@query()
+def lsh_candidates(spark, d):
+    """Pairs of names by random projections; which pairs share a bucket is not SQL, a test measures recall against all pairs."""
+    return dedup.nearest_pairs(names(spark, d).select("id", dedup.hashed_vector(C("norm")).alias("v")))
+
+
 _CON = "k AS (SELECT o_custkey AS company, 'phone' AS kind, (o_orderkey % 5000)::VARCHAR AS value FROM orders UNION SELECT o_custkey, 'email', o_orderpriority || (o_orderkey % 700) FROM orders)"
 _CP = "cp AS (SELECT a.c_custkey AS a, b.c_custkey AS b, lower(a.c_name) AS x0, lower(b.c_name) AS y0 FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey < b.c_custkey)"
 _EVID = f"WITH {_CON}, {_CP}, e AS (SELECT cp.a, cp.b, count(y.company) AS shared FROM cp LEFT JOIN (k x JOIN k y ON x.kind = y.kind AND x.value = y.value) ON x.company = cp.a AND y.company = cp.b GROUP BY 1, 2)"

@@ -25,13 +25,13 @@ _MAPPING = f"""{LOAD_SQL},
 icp AS (SELECT DISTINCT related_company AS customer_name FROM zhique_contact WHERE related_company <> ''), icp_m AS (SELECT DISTINCT mobile FROM zhique_contact WHERE mobile <> ''),
 wk AS (SELECT mobile, min(customer_name) AS customer_name FROM crm_contact WHERE customer_name <> '' AND mobile <> '' GROUP BY 1),
 web AS (SELECT w.contact_id, wk.customer_name, w.name, w.mobile_phone, w.email, w.title, w.department FROM linkflow_contacts w JOIN wk ON w.mobile_phone = wk.mobile),
-ld AS (SELECT DISTINCT coalesce(final_company_name, customer_company) AS company, customer_name, contact_phone, email FROM marketing_lead),
+ld AS (SELECT DISTINCT coalesce(final_company_name, customer_company) AS company, customer_name, contact_phone, email, lead_function FROM marketing_lead),
 mu AS (SELECT 0 AS pr, related_company AS customer_name, contact_name, mobile, email, department, NULL::VARCHAR AS position, NULL::VARCHAR AS role_category, 'zhique' AS source_table FROM zhique_contact WHERE related_company <> ''
 UNION ALL SELECT 1, customer_name, contact_name, mobile, email, NULL, NULL, {_ROLE}, 'crm' FROM crm_contact WHERE customer_name IN (SELECT customer_name FROM icp) OR mobile IN (SELECT mobile FROM icp_m)
-UNION ALL SELECT 2, company, customer_name, contact_phone, email, NULL, NULL, NULL, 'marketing' FROM ld WHERE company <> ''
+UNION ALL SELECT 2, company, customer_name, contact_phone, email, NULL, lead_function, NULL, 'marketing' FROM ld WHERE company <> ''
 UNION ALL SELECT 3, customer_name, name, mobile_phone, email, department, title, NULL, 'linkflow' FROM web
-UNION ALL SELECT DISTINCT 4, customer_name, visitor_name, visitor_mobile_phone, visitor_email, NULL, NULL, NULL, 'tianrun' FROM tianrun_session WHERE customer_name IN (SELECT customer_name FROM icp)),
-mapping AS (SELECT * EXCLUDE (pr, n) FROM (SELECT *, row_number() OVER (PARTITION BY customer_name, mobile ORDER BY pr, contact_name NULLS LAST, email NULLS LAST, department NULLS LAST) AS n FROM mu) WHERE n = 1 OR mobile IS NULL)"""
+UNION ALL SELECT DISTINCT 4, customer_name, visitor_name, NULL, NULL, NULL, NULL, NULL, 'tianrun' FROM tianrun_session WHERE customer_name <> '' AND visitor_name <> ''),
+mapping AS (SELECT * EXCLUDE (pr, n) FROM (SELECT *, row_number() OVER (PARTITION BY customer_name, mobile ORDER BY pr, contact_name NULLS LAST, email NULLS LAST, department NULLS LAST, position NULLS LAST) AS n FROM mu) WHERE n = 1 OR mobile IS NULL)"""
 _BCH = "CASE behavior_type WHEN '访问落地页' THEN 'web' WHEN '点击邮件链接' THEN 'email' WHEN '报名会议' THEN 'event' WHEN '下载资料' THEN 'web' ELSE 'other' END"
 _DETAIL = f"""{_MAPPING},
 bm AS (SELECT mobile AS m, min(customer_name) AS customer_name FROM crm_contact WHERE mobile <> '' GROUP BY 1),
@@ -60,9 +60,13 @@ ca AS (SELECT customer_name, max(industry) AS industry, max(sales_region) AS reg
 op AS (SELECT customer_name, max(customer_stage) AS purchase_stage, count(CASE WHEN is_active = 1 THEN 1 END) AS active_n, sum(CASE WHEN is_active = 1 THEN amount_10k * 10000 END)::DECIMAL(22, 2) AS active_amount, count(CASE WHEN is_funnel = '是' THEN 1 END) AS funnel_n, sum(order_amount_10k * 10000)::DECIMAL(22, 2) AS won FROM crm_opportunity GROUP BY 1),
 rc AS (SELECT customer_name, CASE WHEN max((role_category = '决策者')::INT) + max((role_category = '技术评估者')::INT) + max((role_category = '使用者')::INT) = 3 THEN '全' WHEN count(DISTINCT role_category) > 0 THEN '部分' ELSE '无' END AS role_coverage, string_agg(DISTINCT source_table, ',' ORDER BY source_table) AS sources FROM mapping GROUP BY 1),
 c0 AS (SELECT icp.customer_name, ca.industry, ca.region, ca.owner_name, ca.attribute, op.purchase_stage, coalesce(rc.role_coverage, '无') AS role_coverage, coalesce(n30, 0) AS n30, coalesce(total, 0) AS total, coalesce(contact_count, 0) AS contact_count, coalesce(mobile_count, 0) AS mobile_count,
-coalesce(active_n, 0) AS active_n, coalesce(active_amount, 0) AS active_amount, coalesce(funnel_n, 0) AS funnel_n, coalesce(won, 0) AS won, last_time, first_channel, coalesce(channels, '') AS channels, coalesce(sources, '') AS sources FROM icp LEFT JOIN sd USING (customer_name) LEFT JOIN ca USING (customer_name) LEFT JOIN op USING (customer_name) LEFT JOIN rc USING (customer_name)),
-c1 AS (SELECT c0.* REPLACE (coalesce(kc.industry_category, c0.industry) AS industry, coalesce(kc.attribute, c0.attribute) AS attribute), {_SCORE} AS intent_score, CASE WHEN n30 >= 10 AND active_n > 0 THEN '高' WHEN n30 >= 3 THEN '中' WHEN total > 0 THEN '低' ELSE '无' END AS intent_level FROM c0 LEFT JOIN key_customer kc ON kc.customer_name = c0.customer_name),
-c360 AS (SELECT * FROM c1 UNION ALL SELECT customer_name, industry_category, NULL, NULL, attribute, NULL, NULL, 0, 0, 0, 0, 0, NULL, 0, NULL, NULL, NULL, NULL, NULL, 0, NULL FROM key_customer WHERE customer_name NOT IN (SELECT customer_name FROM c1))"""
+coalesce(active_n, 0) AS active_n, coalesce(active_amount, 0) AS active_amount, coalesce(funnel_n, 0) AS funnel_n, coalesce(won, 0) AS won, last_time, first_channel, coalesce(channels, '') AS channels, coalesce(sources, '') AS sources,
+(industry IS NOT NULL)::INT || ',' || (coalesce(active_n, 0) > 0)::INT || ',' || (coalesce(contact_count, 0) > 0)::INT || ',' || (coalesce(total, 0) > 0)::INT AS coverage FROM icp LEFT JOIN sd USING (customer_name) LEFT JOIN ca USING (customer_name) LEFT JOIN op USING (customer_name) LEFT JOIN rc USING (customer_name)),
+c1 AS (SELECT c0.* REPLACE (coalesce(kc.customer_name, c0.owner_name) AS owner_name, coalesce(kc.department_level3, c0.region) AS region, coalesce(kc.industry_category, c0.industry) AS industry, coalesce(kc.attribute, c0.attribute) AS attribute), {_SCORE} AS intent_score, CASE WHEN n30 >= 10 AND active_n > 0 THEN '高' WHEN n30 >= 3 THEN '中' WHEN total > 0 THEN '低' ELSE '无' END AS intent_level FROM c0 LEFT JOIN key_customer kc ON kc.key_customer_name = c0.customer_name),
+c360 AS (SELECT * FROM c1 UNION ALL SELECT key_customer_name, industry_category, department_level3, customer_name, attribute, NULL, NULL, 0, 0, 0, 0, 0, NULL, 0, NULL, NULL, NULL, NULL, NULL, NULL, 0, NULL FROM key_customer WHERE key_customer_name NOT IN (SELECT customer_name FROM c1))"""
+
+
+COVERAGE = ("has_crm", "has_opp", "has_contacts", "has_interactions")
 
 
 def _shown(c):
@@ -70,6 +74,7 @@ def _shown(c):
         "customer_name", "industry", "region", "owner_name", "attribute", "purchase_stage", "role_coverage", C("interaction_count_30d").cast("long").alias("n30"), C("interaction_count_total").cast("long").alias("total"), C("contact_count").cast("long").alias("contact_count"),
         C("mobile_count").cast("long").alias("mobile_count"), C("active_opp_count").cast("long").alias("active_n"), C("active_opp_amount").cast("double").alias("active_amount"), C("funnel_opp_count").cast("long").alias("funnel_n"), C("won_amount").cast("double").alias("won"),
         F.date_format("last_interaction_time", "yyyy-MM-dd HH:mm:ss").alias("last_time"), C("last_interaction_channel").alias("first_channel"), F.array_join("top_channels", ",").alias("channels"), F.array_join("source_tables", ",").alias("sources"), "intent_score", "intent_level",
+        F.when(C("data_coverage").isNotNull(), F.concat_ws(",", *[C(f"data_coverage.{n}").cast("int") for n in COVERAGE])).alias("coverage"),
     )
 
 
@@ -88,19 +93,47 @@ FROM mapping m LEFT JOIN di ON m.contact_name = di.contact_name AND m.mobile IS
 
 @query(_K360)
 def contact_360_full(spark, d):
-    k = etl.run_full(load_tables(spark, d), as_of(), spark)["contact_360"]
+    return _contacts(etl.run_full(load_tables(spark, d), as_of(), spark)["contact_360"])
+
+
+def _contacts(k):
     return k.select("customer_name", "contact_name", "mobile", F.get("source_tables", F.lit(0)).alias("source_table"), C("interaction_count").cast("long").alias("interaction_count"), F.date_format("last_interaction_time", "yyyy-MM-dd HH:mm:ss").alias("last_time"), "activity_level")
 
 
-@query(f"{_C360} {_SHOW}")
-def incremental_equals_full(spark, d):
-    """Half of the behaviours, leads and opportunities first, the rest as a batch: the rows of a full load."""
+def _halves(spark, d):
+    """The four tables of a first load, a batch, all sources, and the customers that the batch can change."""
     t = load_tables(spark, d)
     late = {"zhique_behavior": "behavior_id % 4 = 1", "crm_lead": "hash(lead_code) % 2 = 0", "linkflow_events": "event_id % 4 = 0", "crm_opportunity": "id % 2 = 0"}
     first = t | {n: t[n].filter(f"NOT ({w})") for n, w in late.items()}
     before = etl.run_full(first, as_of(), spark)
-    before = {n: stored(before[n], n) for n in ("contact_mapping", "interaction_detail", "customer_360")}
-    return _shown(etl.run_incremental(before, {n: t[n].filter(w) for n, w in late.items()}, t, as_of(), spark)["customer_360"])
+    before = {n: stored(before[n], n) for n in before}
+    batch = {n: t[n].filter(w) for n, w in late.items()}
+    return before, batch, t, stored(etl.affected(before, batch, t, spark), "affected")
+
+
+@query(f"{_C360} {_SHOW}")
+def incremental_equals_full(spark, d):
+    """Half of the behaviours, leads, events and opportunities first, the rest as a batch: the rows of a full load."""
+    before, batch, t, names = _halves(spark, d)
+    return _shown(etl.run_incremental(before, batch, t, as_of(), spark, names)["customer_360"])
+
+
+@query(_K360)
+def incremental_contacts(spark, d):
+    """The contacts of the same two loads."""
+    before, batch, t, names = _halves(spark, d)
+    return _contacts(etl.run_incremental(before, batch, t, as_of(), spark, names)["contact_360"])
+
+
+@query(f"""{_DETAIL}, crm_of AS (SELECT mobile, customer_name FROM crm_contact)
+SELECT customer_name FROM (SELECT customer_name FROM tianrun_session WHERE start_time_sec > epoch(TIMESTAMP '1997-01-01 00:00:00')::BIGINT UNION SELECT customer_name FROM crm_of WHERE mobile IN (SELECT mobile_phone FROM zhique_behavior WHERE behavior_time > TIMESTAMP '2024-01-20 00:00:00')
+UNION SELECT customer_name FROM mapping WHERE mobile IN (SELECT mobile_phone FROM zhique_behavior WHERE behavior_time > TIMESTAMP '2024-01-20 00:00:00') UNION SELECT customer_name FROM detail WHERE mobile IN (SELECT mobile_phone FROM zhique_behavior WHERE behavior_time > TIMESTAMP '2024-01-20 00:00:00')) WHERE customer_name <> ''""")
+def affected_customers(spark, d):
+    """Customers that a batch past the marks of two sources can change."""
+    t = load_tables(spark, d)
+    before = {"contact_mapping": etl.contact_mapping(t, spark), "interaction_detail": etl.interaction_detail(t, spark)}
+    since = {"zhique_behavior": "2024-01-20 00:00:00", "tianrun_session": 852076800}
+    return etl.affected(before, {n: sync.past(t[n], sync.MARKS[n], v) for n, v in since.items()}, t, spark)
 
 
 @query("SELECT event_id, user_id FROM events WHERE ts > TIMESTAMP '2024-01-20 00:00:00'")

@@ -103,12 +103,12 @@ def left_null_anti(spark, d):
 
 
 @query(f"""{R}, m AS (SELECT contact_name, mobile, count(*) AS n, max(event_time) AS last_time FROM i GROUP BY 1, 2),
-r AS (SELECT DISTINCT contact_name, mobile, customer_name FROM i WHERE source_id % 5 = 0)
+r AS (SELECT DISTINCT contact_name, mobile, customer_name FROM i)
 SELECT r.contact_name, r.mobile, r.customer_name, m.n, strftime(m.last_time, '%Y-%m-%d %H:%M:%S') AS last_time FROM r LEFT JOIN m ON r.contact_name = m.contact_name AND r.mobile IS NOT DISTINCT FROM m.mobile""")
 def null_safe_join(spark, d):
     i = interactions(spark, d)
     m = i.groupBy(C("contact_name").alias("cn"), C("mobile").alias("mb")).agg(F.count("*").alias("n"), F.max("event_time").alias("last_time"))
-    r = i.filter("source_id % 5 = 0").select("contact_name", "mobile", "customer_name").distinct()
+    r = i.select("contact_name", "mobile", "customer_name").distinct()
     return r.join(m, (C("contact_name") == C("cn")) & C("mobile").eqNullSafe(C("mb")), "left").select("contact_name", "mobile", "customer_name", "n", F.date_format("last_time", "yyyy-MM-dd HH:mm:ss").alias("last_time"))
 
 
@@ -236,15 +236,23 @@ def pipeline_rollup(spark, d):
     return opportunities(spark, d).rollup("stage", "status").agg(F.count("*").alias("n"), F.round(F.sum("amount"), 2).alias("amount"), F.round(F.avg("amount"), 2).alias("mean"))
 
 
-@query(f"{R} SELECT CASE WHEN regexp_matches(stage, 'URGENT|HIGH') THEN '价格' WHEN regexp_matches(stage, 'MEDIUM') THEN '产品' ELSE '其他' END AS reason, count(*) AS n FROM o WHERE status = 'F' GROUP BY 1")
+_REASON = "CASE stage WHEN '1-URGENT' THEN '客户预算被砍，报价过高' WHEN '2-HIGH' THEN '报价过高' WHEN '3-MEDIUM' THEN '友商中标' WHEN '4-NOT SPECIFIED' THEN '' ELSE '决策人离职' END"
+_RATE = "CASE WHEN opp_id % 10 = 0 THEN 100 ELSE 30 END"
+
+
+@query(f"""{R} SELECT CASE WHEN coalesce(reason, '') = '' THEN '—' WHEN regexp_matches(reason, '预算') THEN '预算不足' WHEN regexp_matches(reason, '价|报价|价格') THEN '价格竞争' WHEN regexp_matches(reason, '竞品|友商|竞争') THEN '竞品影响' WHEN regexp_matches(reason, '关键|联系人|决策') THEN '关键人缺失'
+WHEN regexp_matches(reason, '渠道|代理') THEN '渠道问题' WHEN regexp_matches(reason, '流标|废标|招标') THEN '流标 / 废标' ELSE '其他' END AS reason, count(*) AS n FROM (SELECT {_REASON} AS reason FROM o) GROUP BY 1""")
 def loss_reason(spark, d):
-    reason = F.when(C("stage").rlike("URGENT|HIGH"), "价格").when(C("stage").rlike("MEDIUM"), "产品").otherwise("其他")
-    return opportunities(spark, d).filter("status = 'F'").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    return opportunities(spark, d).groupBy(text.loss_reason(F.expr(_REASON)).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query(f"{R} SELECT customer_id, round(avg(CASE WHEN status = 'F' THEN 100.0 ELSE 0 END), 2) AS win_rate FROM o GROUP BY 1")
+@query(f"""{R} SELECT customer_id, floor(avg(CASE WHEN status = 'F' AND amount > 200000 OR {_RATE} >= 100 OR stage = '成交' OR status = 'P' AND stage = '5-LOW' THEN 100.0 ELSE 0 END) + 0.5)::INT AS win_rate FROM o GROUP BY 1""")
 def win_rate(spark, d):
-    return opportunities(spark, d).groupBy("customer_id").agg(F.round(F.avg(F.when(C("status") == "F", 100.0).otherwise(0.0)), 2).alias("win_rate"))
+    """Won of all opportunities of a customer, in whole percent."""
+    amount = F.when((C("status") == "F") & (C("amount") > 200000), C("amount"))
+    stage = F.when((C("status") == "P") & (C("stage") == "5-LOW"), "赢单").otherwise(C("stage"))
+    won = text.is_won(amount, F.expr(_RATE), F.lit(""), stage)
+    return opportunities(spark, d).groupBy("customer_id").agg(F.floor(F.avg(F.when(won, 100.0).otherwise(0.0)) + 0.5).cast("int").alias("win_rate"))
 
 
 @query(f"{R} SELECT channel, count(*) AS n, strftime(max(event_time), '%Y-%m-%d %H:%M:%S') AS last_time FROM i GROUP BY 1")
@@ -313,8 +321,8 @@ def upsert_last_wins(spark, d):
     return merge.upsert(old, new.unionByName(more), ["k"], ["a", "b"])
 
 
-@query(f"{R} SELECT customer_name FROM i WHERE source_id % 97 = 0 UNION SELECT customer_name FROM c WHERE balance > 9500 UNION SELECT c.customer_name FROM o JOIN c ON c.id = o.customer_id WHERE amount > 495000")
+@query(f"{R} SELECT customer_name FROM i WHERE event_time > TIMESTAMP '2024-01-29 00:00:00' UNION SELECT customer_name FROM c WHERE balance > 9500 UNION SELECT c.customer_name FROM o JOIN c ON c.id = o.customer_id WHERE amount > 495000")
 def affected_keys(spark, d):
     c = customers(spark, d)
     big = opportunities(spark, d).filter("amount > 495000").join(c, C("customer_id") == C("id")).select("customer_name")
-    return interactions(spark, d).filter("source_id % 97 = 0").select("customer_name").union(c.filter("balance > 9500").select("customer_name")).union(big).distinct()
+    return interactions(spark, d).filter("event_time > TIMESTAMP_NTZ '2024-01-29 00:00:00'").select("customer_name").union(c.filter("balance > 9500").select("customer_name")).union(big).distinct()

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..operators.aggregates import role_coverage
 from ..operators.predicates import last_days, last_months
 from ..sources.roles import AS_OF_TEXT, ROLES_SQL, as_of, contacts, customers, interactions, opportunities, table
 from .registry import query
@@ -133,10 +132,10 @@ def customer_tags(spark, d):
     return base(spark, d).select("id", F.array_join(tags, "|").alias("tags"))
 
 
-@query(f"""{_B} SELECT id, '{{"interaction":' || (total > 0) || ',"crm":' || (contacts > 0) || ',"opportunity":' || (open_n + funnel_n > 0) || '}}' AS coverage FROM b""")
+@query(f"""{_B} SELECT id, '{{"has_crm":' || (industry IS NOT NULL) || ',"has_opp":' || (open_n > 0) || ',"has_contacts":' || (contacts > 0) || ',"has_interactions":' || (total > 0) || '}}' AS coverage FROM b""")
 def json_coverage(spark, d):
-    s = F.struct((C("total") > 0).alias("interaction"), (C("contacts") > 0).alias("crm"), (C("open_n") + C("funnel_n") > 0).alias("opportunity"))
-    return base(spark, d).select("id", F.to_json(s).alias("coverage"))
+    parts = {"has_crm": C("industry").isNotNull(), "has_opp": C("open_n") > 0, "has_contacts": C("contacts") > 0, "has_interactions": C("total") > 0}
+    return base(spark, d).select("id", F.to_json(F.struct(*[v.alias(k) for k, v in parts.items()])).alias("coverage"))
 
 
 @query("""WITH q AS (SELECT conv_id, turn, lag(CASE WHEN role = 'user' THEN conv_id || '-' || turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations)
@@ -149,8 +148,14 @@ def question_preprocess(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", text.preprocess_question(F.lit("  这些客户有哪些   a@  b "), F.lag(own).over(w)).alias("question"))
 
 
-@query(f"{R} SELECT user_id, CASE WHEN count(CASE WHEN role_category = '决策者' THEN 1 END) > 0 THEN 0 ELSE 1 END AS lacks_decider, count(DISTINCT role_category) AS roles FROM k GROUP BY 1")
+_ROLE_TEXTS = "CASE user_id % 4 WHEN 0 THEN '拍板人' WHEN 1 THEN '技术负责' WHEN 2 THEN '采购' ELSE '' END"
+
+
+@query(f"""{R}, r AS (SELECT user_id, role_category AS v FROM k UNION ALL SELECT user_id, {_ROLE_TEXTS} FROM k), n AS (SELECT user_id, bool_or(v LIKE '%拍板%') AS a, bool_or(v LIKE '%决策%' AND v NOT LIKE '%拍板%') AS b, bool_or(v LIKE '%评估%' OR v LIKE '%技术%') AS c, bool_or(v LIKE '%采购%' OR v LIKE '%推动%') AS e FROM r GROUP BY 1)
+SELECT user_id, CASE WHEN NOT (a OR b OR c OR e) AND user_id % 3 = 0 THEN '' ELSE concat_ws(',', CASE WHEN NOT a THEN '拍板者' END, CASE WHEN NOT b THEN '决策者' END, CASE WHEN NOT c THEN '评估者' END, CASE WHEN NOT e THEN '采购推动者' END) END AS missing FROM n""")
 def missing_roles(spark, d):
-    k = contacts(spark, d)
-    key = F.collect_set(text.key_role(C("role_category")))
-    return k.groupBy("user_id").agg(F.size(F.array_except(F.array(F.lit("决策者")), key)).alias("lacks_decider"), role_coverage(C("role_category"))["roles"].alias("roles"))
+    """Of the roles a buying centre needs, those that no contact of a customer has by either of its two role texts."""
+    k = contacts(spark, d).withColumn("purchase_role", F.expr(_ROLE_TEXTS))
+    texts = k.groupBy("user_id").agg(F.collect_set("role_category").alias("a"), F.collect_set("purchase_role").alias("b"))
+    own = F.when(C("user_id") % 3 == 0, "全").otherwise("部分")
+    return texts.select("user_id", F.array_join(text.missing_roles(F.concat("a", "b"), own), ",").alias("missing"))

@@ -153,7 +153,7 @@ def stage_words(spark, d):
     return table(spark, d, "orders").select(C("o_orderkey").alias("k"), s.alias("stage"), text.stage_text(s).alias("words"), text.number_in_stage(s).alias("number"))
 
 
-@query("SELECT o_orderkey AS k, CASE o_orderkey % 6 WHEN 0 THEN 'email' WHEN 1 THEN 'web' WHEN 2 THEN 'wechat' WHEN 3 THEN 'event' WHEN 4 THEN 'event' ELSE 'fax' END AS channel FROM orders")
+@query("SELECT o_orderkey AS k, CASE o_orderkey % 7 WHEN 0 THEN 'email' WHEN 1 THEN 'web' WHEN 2 THEN 'wechat' WHEN 3 THEN 'event' WHEN 4 THEN 'event' WHEN 5 THEN 'wechat' ELSE 'fax' END AS channel FROM orders")
 def channel_words(spark, d):
-    raw = F.element_at(F.array(*map(F.lit, ("E-Mail ", "公司官网", "企业微信", "线下沙龙活动", "展会", "fax"))), (C("o_orderkey") % 6 + 1).cast("int"))
+    raw = F.element_at(F.array(*map(F.lit, ("E-Mail ", "公司官网", "企业微信", "线下沙龙活动", "展会", "QQ群", "fax"))), (C("o_orderkey") % 7 + 1).cast("int"))
     return table(spark, d, "orders").select(C("o_orderkey").alias("k"), text.channel_of_words(raw).alias("channel"))

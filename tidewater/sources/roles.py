@@ -72,7 +72,7 @@ _SECONDS = "{seconds}"
 LOAD = {
     "zhique_contact": ("customer", "c_nationkey < 15", ("c_custkey AS id", "c_name AS related_company", "c_mktsegment AS industry", "CONCAT('Contact ', CAST(c_custkey AS STRING)) AS contact_name", f"CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE {_PHONE.format('c_custkey')} END AS mobile", "CONCAT(CAST(c_custkey AS STRING), '@a.example') AS email", "CONCAT('D', CAST(c_custkey % 4 AS STRING)) AS department")),
     "crm_contact": ("customer", "c_custkey % 2 = 0", ("c_custkey AS id", "CONCAT('Crm ', CAST(c_custkey AS STRING)) AS contact_name", "c_name AS customer_name", f"{_PHONE.format('c_custkey')} AS mobile", "CONCAT(CAST(c_custkey AS STRING), '@b.example') AS email", "CASE c_custkey % 5 WHEN 0 THEN '拍板者' WHEN 1 THEN '评估者' WHEN 2 THEN '使用者' WHEN 3 THEN '经理' END AS purchase_role", "c_mktsegment AS industry", "CONCAT('R', CAST(c_nationkey AS STRING)) AS sales_region", f"{ATTRIBUTE} AS attribute", "CONCAT('S', CAST(c_custkey % 10 AS STRING)) AS sales_name")),
-    "marketing_lead": ("supplier", "s_suppkey >= 0", ("s_suppkey AS id", f"CASE WHEN s_suppkey % 2 = 0 THEN {_LEAD_NAME.format('s_suppkey')} END AS final_company_name", f"{_LEAD_NAME.format('s_suppkey + 1')} AS customer_company", "CONCAT('Lead ', CAST(s_suppkey AS STRING)) AS customer_name", f"CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE {_PHONE.format('s_suppkey + 5000000')} END AS contact_phone", "CONCAT(CAST(s_suppkey AS STRING), '@c.example') AS email")),
+    "marketing_lead": ("supplier", "s_suppkey >= 0", ("s_suppkey AS id", f"CASE WHEN s_suppkey % 2 = 0 THEN {_LEAD_NAME.format('s_suppkey')} END AS final_company_name", f"{_LEAD_NAME.format('s_suppkey + 1')} AS customer_company", "CONCAT('Lead ', CAST(s_suppkey AS STRING)) AS customer_name", f"CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE {_PHONE.format('s_suppkey + 5000000')} END AS contact_phone", "CONCAT(CAST(s_suppkey AS STRING), '@c.example') AS email", "CONCAT('F', CAST(s_suppkey % 4 AS STRING)) AS lead_function")),
     "linkflow_contacts": ("customer", "c_custkey < 150", ("c_custkey AS id", "c_custkey AS contact_id", "CONCAT('Web ', CAST(c_custkey AS STRING)) AS name", f"{_PHONE.format('c_custkey')} AS mobile_phone", "CONCAT(CAST(c_custkey AS STRING), '@d.example') AS email", "'T' AS title", "'W' AS department")),
     "linkflow_events": ("events", "event_id % 2 = 0", ("event_id AS id", "user_id AS contact_id", "event_id", "event_id AS extra_id", "event_type AS event_name", "{millis} AS event_date_ms")),
     "zhique_behavior": ("events", "event_id % 2 = 1", ("event_id AS id", "event_id AS behavior_id", "CONCAT('P', CAST(event_id % 3 AS STRING)) AS contact_name", f"{_PHONE.format('user_id')} AS mobile_phone", f"{BEHAVIOUR} AS behavior_type", "props AS behavior_name", "ts AS behavior_time")),
@@ -80,7 +80,7 @@ LOAD = {
     "crm_lead": ("orders", "o_orderkey % 10 = 0", ("CONCAT('L', CAST(o_orderkey AS STRING)) AS lead_code", f"CONCAT(' ', {_LEAD_NAME.format('o_custkey')}) AS company", "'Lead' AS person", "CAST(NULL AS STRING) AS phone", "CAST(o_orderdate AS DATE) AS obtained", "CASE WHEN o_orderkey % 20 = 0 THEN '' ELSE '官网' END AS source_class", "o_orderpriority AS source_kind", "CAST(NULL AS STRING) AS activity")),
     "crm_opportunity_data": ("orders", "o_orderkey % 7 = 0", ("CONCAT('O', CAST(o_orderkey AS STRING)) AS opp_code", f"{_LEAD_NAME.format('o_custkey')} AS customer", "'Owner' AS owner", "o_orderpriority AS opp_name", "CAST(o_orderdate AS DATE) AS created", "CAST(NULL AS STRING) AS origin")),
     "tianrun_session": ("orders", "o_orderstatus = 'P'", ("o_orderkey AS id", f"{_LEAD_NAME.format('o_custkey')} AS customer_name", "CONCAT('V', CAST(o_custkey % 3 AS STRING)) AS visitor_name", "CAST(NULL AS STRING) AS visitor_mobile_phone", "CAST(NULL AS STRING) AS visitor_email", "CASE WHEN o_orderkey % 2 = 0 THEN '企微客服' ELSE '网页' END AS contact_type_name", "CAST(NULL AS STRING) AS receive_type_name", "'done' AS close_reason_name", "{seconds} AS start_time_sec", "o_orderkey % 100 AS total_duration")),
-    "key_customer": ("customer", "c_custkey % 40 = 7", ("c_custkey AS id", "c_name AS customer_name", "'KEY' AS industry_category", "CAST(NULL AS STRING) AS department_level3", "'H' AS attribute")),
+    "key_customer": ("customer", "c_custkey % 40 = 7", ("c_custkey AS id", "c_name AS key_customer_name", "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE CONCAT('K', CAST(c_custkey % 7 AS STRING)) END AS customer_name", "'KEY' AS industry_category", "CASE WHEN c_custkey % 80 = 7 THEN 'North' END AS department_level3", "'H' AS attribute")),
 }
 
 

@@ -1,10 +1,12 @@
 """Media columns: a Spark data source over directories of archives.
 
 An archive directory holds ZIP files of WAV members and a manifest. `MediaArchive` is the data source: writing
-streams Arrow batches into archives, rolled over at a size, and commits by writing the manifest, so files of a
-failed or lost task are never read. Reading plans byte ranges of the archives from the manifest alone (nothing
-per member reaches the driver); a task reads its archive's central directory, takes the members whose local header
-lies in its range, and streams them out as Arrow batches of bounded bytes. A member that can't be read (an I/O
+streams Arrow batches into archives, rolled over at a size, and commits by writing a manifest of its own, so files of a
+failed or lost task are never read and an append adds to what is there; an overwrite takes the older manifests and
+their archives away once its own is written. Reading plans byte ranges of the archives from the manifests alone (nothing
+per member reaches the driver), larger ones where there would be more than RANGES of them; a task reads the central
+directories of its archives, takes the members whose local header lies in its range, and streams them out as Arrow
+batches of bounded bytes. A member that can't be read (an I/O
 error, a wrong checksum) is read again by its offset through a new handle, without touching the others; if it still
 fails, it is an error, or with on_error=keep a row with null media and the message.
 
@@ -38,6 +40,9 @@ UNIT = 64
 RATE = 8000
 ARCHIVE_BYTES = 256 << 20
 RANGE_BYTES = 16 << 20
+#: Partitions that a read plans at most, but for archives that are smaller than their share: those are put together.
+RANGES = 200_000
+MANIFEST = "manifest-"
 BATCH_BYTES = 8 << 20
 ATTEMPTS = 3
 SCHEMA = "doc_id bigint, n_bytes bigint, media binary, archive string, offset bigint, error string"
@@ -80,14 +85,14 @@ class Written(WriterCommitMessage):
 
 @dataclass
 class Range(InputPartition):
-    archive: str
-    low: int
-    high: int
+    """Bytes of archives: (name, from, to)."""
+
+    parts: list[tuple[str, int, int]]
 
 
 class ArchiveWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, archive_bytes: int):
-        self.path, self.archive_bytes = path, archive_bytes
+    def __init__(self, path: str, archive_bytes: int, overwrite: bool):
+        self.path, self.archive_bytes, self.overwrite = path, archive_bytes, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, root = opened(self.path)
@@ -123,8 +128,16 @@ class ArchiveWriter(DataSourceArrowWriter):
     def commit(self, messages) -> None:
         fs, root = opened(self.path)
         fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/manifest.json", compression=None) as f:
-            f.write(json.dumps([a for m in messages if m is not None for a in m.archives]).encode())
+        old = manifests(fs, root) if self.overwrite else {}
+        archives = [a for m in messages if m is not None for a in m.archives]
+        part, name = f"{root}/{uuid.uuid4().hex}.part", f"{root}/{MANIFEST}{uuid.uuid4().hex}.json"
+        with fs.open_output_stream(part, compression=None) as f:
+            f.write(json.dumps(archives).encode())
+        fs.move(part, name)  # seen whole or not at all
+        for at in old:
+            fs.delete_file(at)
+        for at in [a for of in old.values() for a, *_ in of]:
+            fs.delete_file(f"{root}/{at}")
 
     def abort(self, messages) -> None:
         fs, root = opened(self.path)
@@ -133,6 +146,36 @@ class ArchiveWriter(DataSourceArrowWriter):
                 fs.delete_file(f"{root}/{name}")
 
 
+def manifests(fs, root: str) -> dict[str, list]:
+    """Of each manifest its archives: (name, bytes, members)."""
+    from pyarrow.fs import FileSelector
+
+    out = {}
+    for info in sorted(fs.get_file_info(FileSelector(root, allow_not_found=True)), key=lambda i: i.path):
+        if info.base_name.startswith(MANIFEST):
+            with fs.open_input_stream(info.path, compression=None) as f:
+                out[info.path] = json.loads(f.read())
+    return out
+
+
+def ranges_of(archives: list, range_bytes: int, most: int) -> list[Range]:
+    """Byte ranges of range_bytes or, where that would be more than `most`, of what makes as many; archives that are
+    smaller than that share a range."""
+    range_bytes = max(range_bytes, -(-sum(size for _, size, _ in archives) // most))
+    out, held, left = [], [], range_bytes
+    for name, size, _ in archives:
+        low = 0
+        while low < size:
+            high = min(size, low + left)
+            held.append((name, low, high))
+            left -= high - low
+            low = high
+            if not left:
+                out.append(Range(held))
+                held, left = [], range_bytes
+    return [*out, Range(held)] if held or not out else out
+
+
 def read_member(file, info: zipfile.ZipInfo) -> bytes:
     """One member by its offset, checked."""
     file.seek(info.header_offset)
@@ -153,21 +196,27 @@ class ArchiveReader(DataSourceReader):
         self.path, self.range_bytes, self.attempts, self.keep = path, range_bytes, attempts, keep
 
     def partitions(self) -> list[Range]:
-        fs, root = opened(self.path)
-        with fs.open_input_stream(f"{root}/manifest.json", compression=None) as f:
-            archives = json.loads(f.read())
-        ranges = [Range(name, low, min(size, low + self.range_bytes)) for name, size, _ in archives for low in range(0, size, self.range_bytes)]
-        return ranges or [Range("", 0, 0)]
+        archives = [a for of in manifests(*opened(self.path)).values() for a in of]
+        return ranges_of(archives, self.range_bytes, RANGES)
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if not partition.archive:
-            return
         fs, root = opened(self.path)
-        at = f"{root}/{partition.archive}"
-        file = fs.open_input_file(at)
-        with zipfile.ZipFile(file) as z:
-            members = [i for i in z.infolist() if partition.low <= i.header_offset < partition.high]
         rows, held = [], 0
+        for archive, low, high in partition.parts:
+            for row in self.members(fs, root, archive, low, high):
+                rows.append(row)
+                held += len(row[2] or b"")
+                if held >= BATCH_BYTES:
+                    yield _batch(rows)
+                    rows, held = [], 0
+        if rows:
+            yield _batch(rows)
+
+    def members(self, fs, root: str, archive: str, low: int, high: int) -> Iterator[tuple]:
+        """Rows of the members whose local header lies in the bytes low to high."""
+        at = f"{root}/{archive}"
+        with fs.open_input_file(at) as file, zipfile.ZipFile(file) as z:
+            members = [i for i in z.infolist() if low <= i.header_offset < high]
         file = fs.open_input_file(at)
         for info in members:
             doc_id, n_bytes = json.loads(info.comment)
@@ -182,13 +231,7 @@ class ArchiveReader(DataSourceReader):
                         file = fs.open_input_file(at)
             if error and not self.keep:
                 raise OSError(f"{at}: {error}")
-            rows.append((doc_id, n_bytes, data, partition.archive, info.header_offset, error))
-            held += len(data or b"")
-            if held >= BATCH_BYTES:
-                yield _batch(rows)
-                rows, held = [], 0
-        if rows:
-            yield _batch(rows)
+            yield doc_id, n_bytes, data, archive, info.header_offset, error
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -212,13 +255,14 @@ class MediaArchive(DataSource):
 
     def writer(self, schema, overwrite: bool) -> ArchiveWriter:
         o = self.options
-        return ArchiveWriter(o["path"], int(o.get("archivebytes", o.get("archiveBytes", ARCHIVE_BYTES))))
+        return ArchiveWriter(o["path"], int(o.get("archivebytes", o.get("archiveBytes", ARCHIVE_BYTES))), overwrite)
 
 
-def store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes the texts as media into an archive directory."""
+def store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", mode: str = "append") -> None:
+    """Writes the texts as media into an archive directory; mode: append or overwrite."""
     docs.sparkSession.dataSource.register(MediaArchive)
-    docs.select(docs[id_col].cast("bigint").alias("doc_id"), text_of(docs[text_col]).alias("text")).write.format("media_archive").mode("append").save(path)
+    rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), text_of(docs[text_col]).alias("text"))
+    rows.write.format("media_archive").mode(mode).save(path)
 
 
 def load(spark: SparkSession, path: str, **options) -> DataFrame:

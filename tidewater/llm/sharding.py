@@ -3,13 +3,13 @@
 Documents lie on a line ordered by (hash of the text, doc_id), so equal texts are neighbours. The boundaries of
 the shards are found without sorting: rows and bytes are counted exactly below candidate keys, and only the
 buckets in which a boundary falls are probed again, 4096 times finer each round, until the bytes in the bucket
-are within the tolerance or it holds one key. The driver sees at most (boundaries x 4096) counts a round,
-however many documents there are. A group of equal texts that fits the tolerance stays whole; a larger one is cut
+are within the tolerance or it holds one key. The driver sees at most 4096 counts for each of the shards' boundaries a
+round, however many documents there are. A group of equal texts that fits the tolerance stays whole; a larger one is cut
 between its documents, so that sizes stay near equal even if one text makes up a third of all rows.
 
-The same rounds give inner boundaries: shards are cut into pieces of at most PIECE_ROWS rows or so. The one
-exchange sends each piece to a partition of its own, where rows are sorted; the slot of a row is its place there
-plus the exact count of rows before the piece, which the histogram already knows.
+The one exchange brings the rows in order of shard and key, in partitions of about PIECE_ROWS rows, and they are sorted
+there. The slot of a row is its place in its partition plus the count of the shard's rows in the partitions before,
+which is counted after the exchange.
 
 Cases: a null text has no bytes and the checksum 0 of an empty text; null ids come first; repeated rows are
 neighbours and each gets a slot; an empty table gives an empty result; other columns are not read.
@@ -21,8 +21,9 @@ from bisect import bisect_left
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import text_of, written
+from .common import exact, join_small, text_of, written
 
 SHARDS = 24
 #: A boundary may miss its place by this part of a shard's bytes if that keeps equal texts together.
@@ -115,64 +116,43 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
 
     Sizes of shards differ from the mean by at most tolerance, or by the size of the document or the group of equal
     texts of at most that size on a boundary."""
-    text = text_of(text_col)
-    rows = written(
-        docs.select(
-            F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("k1"),
-            F.coalesce(F.col(id_col).cast("long"), F.lit(-SIGN)).alias("k2"), F.monotonically_increasing_id().alias("k3"),
-        ),
-        "shard-rows",
-    )
+    text, doc_id = text_of(exact(text_col)), exact(id_col).cast("long")
+    rows = docs.select(
+        doc_id.alias("doc_id"),
+        (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.xxhash64(text).alias("k1"),
+        F.coalesce(doc_id, F.lit(-SIGN)).alias("k2"),
+        F.monotonically_increasing_id().alias("k3"),
+    )
+    rows = written(rows, "shard-rows")
     line = Line(rows)
     total, n = sum(b[2] for b in line.buckets), sum(b[1] for b in line.buckets)
-    # every boundary of shards, and between them those of pieces
-    per = max(1, -(-n // (shards * piece_rows)))
-    targets = [total * i / (shards * per) for i in range(1, shards * per)]
-    cuts = line.cut(targets, tolerance * total / shards) if n else []
-    counts, piece = [0] * (shards * per), 0
-    for prefix, rows_in, _ in line.buckets:
-        while piece < len(cuts) and prefix >= cuts[piece]:
-            piece += 1
-        counts[piece] += rows_in
-    pieces, slot = [], 0  # (piece, shard, first slot)
-    for piece, c in enumerate(counts):
-        slot = 0 if piece % per == 0 else slot
-        pieces.append((piece, piece // per, slot))
-        slot += c
-    placed = _exchange(_numbered(rows, cuts), shards * per)
+    cuts = line.cut([total * i / shards for i in range(1, shards)], tolerance * total / shards) if n else []
+    numbered = rows.withColumn("shard", _passed(cuts))
+    placed = numbered.repartitionByRange(max(shards, -(-n // piece_rows)), "shard", *WORDS).sortWithinPartitions("shard", *WORDS)
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    out = placed.withColumn("__place", place)
-    if len(pieces) <= 4096:
-        at = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in pieces]), F.col("piece") + 1)
-        out = out.withColumn("shard", at(1).cast("int")).withColumn("__first", at(2).cast("long"))
-    else:  # a row a partition, so bounded by the partitions of the exchange
-        out = out.join(F.broadcast(docs.sparkSession.createDataFrame(pieces, "p int, shard int, first long")), F.col("piece") == F.col("p")).withColumn("__first", F.col("first"))
-    return out.select("doc_id", "size", "text_crc32", "shard", (F.col("__first") + F.col("__place")).alias("slot"))
-
-
-def _numbered(rows: DataFrame, cuts: list[tuple[int, ...]]) -> DataFrame:
-    """rows with piece: the number of boundaries that are not after the key. The leading digit of a key tells
-    most of it; one small table has, for each of its 4096 values, the boundaries before and those to compare with."""
-    starts, inner = [0] * (1 << BITS), [[] for _ in range(1 << BITS)]
+    placed = placed.select("doc_id", "size", "text_crc32", "shard", F.spark_partition_id().alias("piece"), place.alias("place"))
+    placed = written(placed, "shard-placed")
+    # a row a partition, and one more for each shard that starts within one
+    pieces = placed.groupBy("shard", "piece").agg(F.count("*").alias("n"), F.min("place").alias("low"))
+    before = Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    first = (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("low")).alias("__first")
+    firsts = written(pieces.select(F.col("shard").alias("__shard"), F.col("piece").alias("__piece"), first), "shard-pieces")
+    out = join_small(placed, firsts, (F.col("shard") == F.col("__shard")) & (F.col("piece") == F.col("__piece")), F.col("place"))
+    return out.select("doc_id", "size", "text_crc32", "shard", (F.col("__first") + F.col("place")).alias("slot"))
+
+
+def _passed(cuts: list[tuple[int, ...]]) -> Column:
+    """The number of boundaries that are not after a row's key."""
+    out = F.lit(0)
     for c in cuts:
-        for top in range(c[0] + 1, 1 << BITS):
-            starts[top] += 1
         if c != END:
-            inner[c[0]].append([low for low, _ in _range(c)])
-    keys = lambda of: "array(" + ", ".join("named_struct(" + ", ".join(f"'v{i}', {_long(v)}" for i, v in enumerate(k, 1)) + ")" for k in of) + ")"
-    kind = "CAST({} AS ARRAY<STRUCT<v1: BIGINT, v2: BIGINT, v3: BIGINT>>)"
-    table = rows.sparkSession.sql("SELECT * FROM VALUES " + ", ".join(f"({t}, {s}, {kind.format(keys(i))})" for t, (s, i) in enumerate(zip(starts, inner, strict=True))) + " AS t(top, start, inner_cuts)")
-    passed = F.filter("inner_cuts", lambda x: ~((F.col("k1") < x.v1) | ((F.col("k1") == x.v1) & ((F.col("k2") < x.v2) | ((F.col("k2") == x.v2) & (F.col("k3") < x.v3))))))
-    return rows.join(F.broadcast(table), _digit(0) == F.col("top")).withColumn("piece", (F.col("start") + F.size(passed)).cast("int")).drop("top", "start", "inner_cuts")
-
-
-def _long(v: int) -> str:
-    return "CAST('" + str(v) + "' AS BIGINT)"
-
-
-def _exchange(rows: DataFrame, pieces: int) -> DataFrame:
-    """Each piece in the partition of its number, in key order."""
-    return rows.repartitionById(pieces, F.col("piece")).sortWithinPartitions("piece", *WORDS)
+            low = [low for low, _ in _range(c)]
+            k1, k2, k3 = map(F.col, WORDS)
+            after = (k1 > low[0]) | ((k1 == low[0]) & ((k2 > low[1]) | ((k2 == low[1]) & (k3 >= low[2]))))
+            out = out + after.cast("int")
+    return out
 
 
 def op5_shard(spark, sf_dir: str) -> DataFrame:

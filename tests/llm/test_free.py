@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.llm import components, media, near, ngram, pieces, repeats, simhash
+from tidewater.llm import common, components, media, near, ngram, pieces, repeats, simhash
 from tidewater.llm.common import shared_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+").findall
@@ -55,6 +55,49 @@ def test_media_retries_a_member_by_its_offset(spark, docs_of, tmp_path, monkeypa
         list(strict.read(strict.partitions()[0]))
 
 
+def test_media_appends_and_overwrites(spark, docs_of, tmp_path):
+    path = f"file://{tmp_path}/media"
+    ids = lambda: sorted(r.doc_id for r in media.load(spark, path).collect())
+    for low in (0, 5):
+        media.store(docs_of([(i, f"text {i}", "en", "a") for i in range(low, low + 5)]), path)
+    assert ids() == list(range(10))
+    media.store(docs_of([(20, "new", "en", "a")]), path, mode="overwrite")
+    assert ids() == [20] and len(list(tmp_path.joinpath("media").glob("*.zip"))) == 1
+    media.store(docs_of([(21, "more", "en", "a")]), path)
+    assert ids() == [20, 21]
+
+
+def test_media_ranges():
+    """Every byte is in one range; there are at most so many, however large or small the archives."""
+    for archives in ([], [("a", 100, 1)], [(f"s{i}", 3, 1) for i in range(1000)], [("big", 10_007, 9), ("b", 1, 1), ("c", 500, 2)]):
+        for size, most in ((10, 1 << 30), (10, 7), (1 << 30, 5)):
+            got = [p for r in media.ranges_of(archives, size, most) for p in r.parts]
+            assert sum(high - low for _, low, high in got) == sum(n for _, n, _ in archives)
+            assert len(media.ranges_of(archives, size, most)) <= max(1, min(most, sum(n for _, n, _ in archives) // size + 1))
+
+
+def test_media_form_and_features_plainly(spark, docs_of, tmp_path):
+    """The stored form read by the wave module, the features summed one sample at a time."""
+    import io
+    import wave
+
+    texts = ["", "a", "é 腾讯 😀" * 40, "\x00\x7f" * 100, "z" * 64]
+    path = f"file://{tmp_path}/media"
+    media.store(docs_of([(i, t, "en", "a") for i, t in enumerate(texts)]), path)
+    stored = media.load(spark, path)
+    found = {r.doc_id: r for r in media.features(stored).collect()}
+    for r in stored.collect():
+        with wave.open(io.BytesIO(bytes(r.media))) as w:
+            assert (w.getnchannels(), w.getsampwidth(), w.getframerate()) == (1, 1, media.RATE)
+            x = w.readframes(w.getnframes())
+        assert x.rstrip(b"\0") == texts[r.doc_id].encode().rstrip(b"\0") and len(x) % 64 == 0
+        hist = ",".join(str(sum(v // 16 == k for v in x)) for k in range(16))
+        crossings = sum((a >= 128) != (b >= 128) for a, b in zip(x, x[1:], strict=False))
+        want = f"sum={sum(x)};energy={sum((v - 128) ** 2 for v in x)};crossings={crossings};min={min(x)};max={max(x)};hist={hist}"
+        f = found[r.doc_id]
+        assert f.feature == want and f.media_bytes == len(r.media) and f.media_sha256 == hashlib.sha256(r.media).hexdigest()
+
+
 def test_media_damage_is_found(spark, docs_of, tmp_path):
     path = f"file://{tmp_path}/media"
     media.store(docs_of([(1, "a" * 5000, "en", "a"), (2, "b", "en", "a")]).coalesce(1), path)
@@ -149,6 +192,44 @@ def test_links_connect_what_is_near(spark, radius, agree, shard):
     assert len(set(zip(mine, want, strict=True))) == len(set(mine)) == len(set(want))
 
 
+def test_large_shards_are_cut_until_small(spark, monkeypatch):
+    """Fingerprints that agree in most bits, so that every band is one large shard: no tree gets more than a shard takes."""
+    low = np.random.default_rng(9).choice(1 << 14, 600, replace=False).astype(np.uint64)
+    fps = np.unique(np.uint64(0xABCD) << np.uint64(48) | low)
+    cuts = simhash.Cuts(2, 1)
+    bands = [fps & np.uint64(sum(1 << b for b in bits)) for bits in cuts.parts]
+    shards, todo, deepest = [], [(str(i), fps[band == v]) for i, band in enumerate(bands) for v in np.unique(band)], 0
+    while todo:
+        path, values = todo.pop()
+        if len(values) <= 20 or len(cuts.left(path)) <= 2:
+            shards.append(values)
+            continue
+        for p, keys in cuts.again(values, 7, path):
+            todo += [(p, values[keys == k]) for k in np.unique(keys)]
+            deepest = max(deepest, p.count("."))
+    assert deepest >= 2 and max(map(len, shards)) <= 20
+    met = {(int(a), int(b)) for v in shards for a in v for b in v if a < b and int(a ^ b).bit_count() <= 2}
+    assert met == {(int(a), int(b)) for a in fps for b in fps if a < b and int(a ^ b).bit_count() <= 2}
+    df = spark.createDataFrame([(int(v),) for v in fps.view(np.int64)], "fp long")
+    found = {r.node: r.root for r in components.components(simhash.links(df, 2, 20)).collect()}
+    want = brute_components(list(range(len(fps))), fps, 2)
+    mine = [found.get(int(v), int(v)) for v in fps.view(np.int64)]
+    assert len(set(zip(mine, want, strict=True))) == len(set(mine)) == len(set(want))
+
+
+def test_hot_fingerprints_and_hubs(docs_of, spark, monkeypatch):
+    """A fingerprint of a third of all rows, and a node with most of the edges, are joined by a broadcast."""
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    monkeypatch.setattr(common, "HOT_KEYS", 5)
+    docs = docs_of([(i, None if i % 3 else f"some words of their own number {i} {i * 7} {i * i}", "en", "a") for i in range(90)])
+    rows = {r.doc_id: r for r in simhash.clustered(docs).collect()}
+    assert len(rows) == 90 and {rows[i].component_id for i in range(90) if i % 3} == {1}
+    star = spark.range(1, 200).selectExpr("0L AS a", "id AS b")
+    assert {r.root for r in components.components(star).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        components.components(spark.range(200).selectExpr("id AS a", "id + 1 AS b"), max_rounds=1)
+
+
 def test_bk_tree_finds_all():
     v = np.unique(np.random.default_rng(1).integers(0, 1 << 12, 1500).astype(np.uint64))
     got = {(int(a), int(b)) for q, n in simhash.BKTree(v).within(v, 2) for a, b in zip(q, n, strict=True)}
@@ -187,10 +268,12 @@ def brute_near(rows):
     return set(least.values()), links
 
 
-@pytest.mark.parametrize("often", [1, 3])
-def test_near_copies_like_brute_force(docs_of, monkeypatch, often):
-    """All pairs at 0.8 or more are found, none below; whatever counts as frequent."""
+@pytest.mark.parametrize(("often", "crowd", "radius"), [(1, 20_000, 4), (3, 3, 4), (3, 7, 0)])
+def test_near_copies_like_brute_force(docs_of, monkeypatch, often, crowd, radius):
+    """All pairs at 0.8 or more are found, none below; whatever counts as frequent or as a crowd, and SimHash proposes."""
     monkeypatch.setattr(near, "OFTEN", often)
+    monkeypatch.setattr(near, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "DROP_RADIUS", radius)
     monkeypatch.setattr(near, "SAMPLE", 2)
     rnd = random.Random(7)
     passage = [f"p{i}" for i in range(60)]
@@ -211,7 +294,7 @@ def test_near_copies_like_brute_force(docs_of, monkeypatch, often):
     rows += [(900, " ".join(edge)), (901, " ".join([*edge[:-1], "other"])), (902, " ".join(edge[:12])), (903, "")]
     want, links = brute_near(rows)
     fps = {k: fingerprint(t) for k, t in rows}
-    assert sum((fps[rows[i][0]] ^ fps[rows[j][0]]).bit_count() > simhash.DROP_RADIUS for i, j in links) > 20
+    assert sum((fps[rows[i][0]] ^ fps[rows[j][0]]).bit_count() > 4 for i, j in links) > 20
     assert {r.doc_id for r in simhash.deduplicated(docs_of([(k, t, "en", "a") for k, t in rows])).collect()} == want
 
 
@@ -285,6 +368,22 @@ def test_ngram_in_many_shards(corpus, monkeypatch):
     assert sorted((r.doc_id, r.n_known, round(r.score, 6)) for r in ngram.score(corpus).collect()) == want
 
 
+def test_ngram_tokens_of_odd_texts():
+    """Hashes are equal where the lower-cased words are, long ones and borders included; each text has its end."""
+    rnd = random.Random(11)
+    parts = [" ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1f", "\x85", "\xa0", "a", "A", "b", "É", "腾", "x" * 1023, "x" * 1024, "y" * 3000, "Y" * 3000, "\0"]
+    texts = [None, "", " ", "a"] + ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 40))) for _ in range(400)]
+    h, sizes = ngram.hashed(texts)
+    seen, at = {}, 0
+    for t, n in zip(texts, sizes, strict=True):
+        words = WORD(lower(t or ""))
+        assert n == len(words) + 1 and h[at + n - 1] == ngram.END
+        for w, x in zip(words, h[at : at + n - 1].tolist(), strict=True):
+            assert seen.setdefault(w, x) == x
+        at += n
+    assert len(set(seen.values()) | {int(ngram.END)}) == len(seen) + 1 and at == len(h)
+
+
 def test_ngram_shards_are_even():
     """A word that is a third of all is dealt by whole n-grams."""
     rng = np.random.default_rng(5)
@@ -372,9 +471,7 @@ def test_pipeline(spark, corpus, sf_dir, coder):
         if name == "quality rules":
             assert {r.doc_id for r in new} == {r.doc_id for r in quality.judged(before).filter("kept").collect()}
         elif name == "near-duplicates":
-            ids = sorted(old)
-            fps = np.array([fingerprint(old[i]) for i in ids], np.uint64)
-            assert {r.doc_id for r in new} == set(brute_components(ids, fps, simhash.DROP_RADIUS))
+            assert {r.doc_id for r in new} == brute_near(sorted(old.items()))[0]
         elif name == "secrets":
             found = {r.doc_id: [(s["start"], s["end"]) for s in r.spans] for r in secrets.scanned(before).collect()}
             for r in new:

@@ -68,14 +68,58 @@ def test_join_small_salts_beyond_its_bound(spark, monkeypatch):
 
 
 def test_mixed_documents(spark, corpus, odd):
+    """Documents come whole, each as often as the plan says; only the one at the edge of a source is rounded."""
     docs = mixing.mixed(corpus)
-    plan = mixing.plan_mix(corpus)
+    plan = {r.doc_id: r for r in mixing.plan_mix(corpus).collect()}
     assert docs.columns == corpus.columns
-    n = sum(len(WORD(r.text)) for r in docs.select("text").collect())
-    assert n == plan.agg(F.sum("taken")).first()[0]
+    text, times, rounded = {r.doc_id: r.text for r in corpus.collect()}, Counter(), Counter()
+    for r in docs.collect():
+        assert r.text == text[r.doc_id]
+        times[r.doc_id] += 1
+    for k, r in plan.items():
+        assert times[k] == r.epochs + (2 * r.part >= r.size > 0 and r.part > 0) if r.size else times[k] == 0
+        rounded[r.source] += r.part not in (0, r.size)
+    assert max(rounded.values()) <= 1
     assert mixing.mixed(odd).count() > 0 and mixing.mixed(odd.limit(0)).count() == 0
 
 
+def test_mix_of_many_equal_rows(docs_of):
+    """A third of the rows are one row, repeated: they share what is left for them, and as many of them as fit are taken."""
+    rows = [(7, "one two three four", "en", "a")] * 300 + [(i, f"text {i} of some words", "en", "a") for i in range(100, 700)] + [(9, "x " * 3000, "en", "b")]
+    docs = docs_of(rows)
+    plan = mixing.plan_mix(docs).collect()
+    taken, target, alike = Counter(), {}, max(r.alike for r in plan)
+    for r in plan:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert len(plan) == len(rows) and all(abs(taken[s] - target[s]) <= alike for s in target)
+    assert len({r.taken for r in plan if r.doc_id == 7}) == 1
+    n = Counter()
+    for r in mixing.mixed(docs).collect():
+        n[r.source] += len(WORD(r.text))
+    assert abs(n["a"] - target["a"]) <= 0.05 * target["a"] + 6
+
+
+def test_columns_with_the_names_of_internal_ones(docs_of):
+    """Extra columns named like those that operators and stages use inside."""
+    import corpus_pipeline
+
+    names = (
+        "s source_size size at cell cell1 cell2 rest rest1 rest2 part epochs taken weight target alike left __s __t __e_source __e_at __copy __times "
+        "key mask spans trigram folded __key row sig fp __gone __row __end root node n best shard slot place piece words lines windows level kept "
+        "base_failed n_words word_chars value signal run all __lang __source length_high __v __text __in_text a.b `q` shared b"
+    ).split()
+    base = docs_of([(i, " ".join(f"w{(i * 7 + k * (1 + i % 5)) % 997}" for k in range(70)) + (" password=abcdefgh123456" if i % 4 == 0 else ""), "en", f"s{i % 3}") for i in range(40)])
+    docs = base.select("*", *[F.lit(f"x{i}").alias(n) for i, n in enumerate(names)])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(docs.sparkSession, docs, "")
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(tuple(r)[5:] == tuple(f"x{i}" for i in range(len(names))) for r in rows)
+    plain, extra = (sorted(map(str, f.select(*cols).collect())) for f, cols in ((sharding.shard(docs), ["doc_id", "size", "shard", "slot"]), (sharding.shard(base), ["doc_id", "size", "shard", "slot"])))
+    assert plain == extra
+
+
 def test_shards(spark, corpus, odd):
     for docs in (corpus, odd):
         texts = Counter((r.doc_id, zlib.crc32((r.text or "").encode()), len((r.text or "").encode()) + 8) for r in docs.select("doc_id", "text").collect())
@@ -90,6 +134,15 @@ def test_shards(spark, corpus, odd):
     assert sharding.shard(odd.limit(0)).count() == 0
 
 
+def test_shards_ask_the_driver_for_little(docs_of, monkeypatch):
+    """However small the pieces, only the boundaries of shards are looked for on the driver."""
+    asked, real = [], sharding.Line._split
+    monkeypatch.setattr(sharding.Line, "_split", lambda self, prefixes: (asked.append(len(prefixes)), real(self, prefixes))[1])
+    rows = sharding.shard(docs_of([(i, f"text {i * i}", "en", "a") for i in range(2000)]), piece_rows=10).collect()
+    assert max(asked) <= 23 and len(rows) == 2000
+    assert all(sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows))) for s in range(24))
+
+
 def test_shards_cut_a_group_of_copies_and_use_pieces(spark, docs_of):
     docs = docs_of([(i, "the very same text", "en", "a") for i in range(300)] + [(1000 + i, f"text {i}", "en", "b") for i in range(300)])
     rows = sharding.shard(docs, piece_rows=10).collect()
@@ -198,6 +251,11 @@ def test_urls_like_plain_python(spark, sf_dir):
         return p
 
     scores = [sum(math.log(prob("allow", g)) - math.log(prob("block", g)) for g in r[6]) / len(r[6]) for r in rows]
+    # the threshold, from the held-out labelled pages alone
+    seen = [(r[4], math.floor(max(-urls.CLIP, min(urls.CLIP, s)) * urls.GRID)) for r, s in zip(rows, scores, strict=True) if r[4] and r[5]]
+    below = lambda v, b: sum(x < b for w, x in seen if w == v) / sum(w == v for w, _ in seen)
+    gain, _, at = max((below("block", b) - below("allow", b), -abs(b), b) for b in {b for _, b in seen})
+    assert gain > 0.5 and got[0].threshold == pytest.approx(at / urls.GRID)
     key = lambda page, host, path: (str(page), host, path)
     mine = {key(*r[:3]): (r[3], r[4], s) for r, s in zip(rows, scores, strict=True)}
     for r in got:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, join_hot, written
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -13,24 +13,33 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     A step takes all neighbours of a node to the least one among them (large star: those greater than the node;
     small star: the others), so trees get flat in about log of the number of nodes rounds. Minima come from
-    partial aggregates, so a node with very many neighbours is no bottleneck; each round is a written table."""
+    partial aggregates, and the few nodes with very many neighbours get theirs by a broadcast, so none is a bottleneck; each
+    round is a written table. Raises if max_rounds are not enough."""
 
-    def least(e: DataFrame) -> DataFrame:
+    def least(e: DataFrame, n: int) -> DataFrame:
         """(u, v) rows with m, the least node among u and its neighbours v."""
-        m = e.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("__u"), F.least("m", "u").alias("m"))
-        return e.join(m, F.col("u") == F.col("__u")).drop("__u")
+        m = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("__n"))
+        m = written(m.select(F.col("u").alias("__u"), F.least("m", "u").alias("m"), "__n"), "components-least")
+        return join_hot(e, m, F.col("u") == F.col("__u"), "__n", n).drop("__u", "__n")
 
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     now = written(pairs, "components")
+    ends = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("p")
     before = None
     for _ in range(max_rounds):
+        n = 2 * now.count()
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        small = least(large).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("p")).select("p.u", "p.v").filter("u <> v").distinct()
-        now = written(small, "components")
+        large = least(both, n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = written(large, "components-large")
+        small = least(large, n).select(ends).select("p.u", "p.v").filter("u <> v").distinct()
+        old, now = now, written(small, "components")
+        dropped(old, large)
         # a fixed point has the same edges: their number, the sum of both ends and a hash tell
         state = now.agg(F.count("*"), F.sum(F.col("v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == before:
             break
         before = state
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+    else:
+        raise RuntimeError(f"components have not settled in {max_rounds} rounds")
+    nodes = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return nodes.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

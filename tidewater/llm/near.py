@@ -3,9 +3,11 @@
 Two sets of shingles with similarity 4/5 or more share so much that, in any order of all shingles that both follow,
 each has one of the other's among its first n / 5 + 1 (prefix filter), and a known number of those. Documents post
 these first shingles; documents meet at a shingle by a shuffle; pairs that meet often enough are verified on their whole
-sets. So no pair at or above the threshold is missed and none below it is linked. Shingles that a sample shows to be frequent come
-last in the order, the most frequent at the very end: a passage that many documents share makes no large group unless
-it is most of each of them. The order only decides how many pairs meet, never which are found.
+sets. So no pair at or above the threshold is missed and none below it is linked. Documents that are known to be connected
+don't meet, so a large group of near copies makes no pairs of all its members. Shingles that a sample shows to be frequent
+come last in the order, the most frequent at the very end: a passage that many documents share makes no large group unless
+it is most of each of them. The order only decides how many pairs meet, never which are found. A shingle that more than
+CROWD documents post is passed on as it streams in, and its documents meet block by block.
 
 Cases: words are lower-cased (ASCII); fewer than five words are one shingle; a null text is an empty set, equal to
 any other; sets are of 64-bit hashes.
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, exact, join_small, written
 
 SHINGLE = 5
 SEED = 42
@@ -33,6 +35,10 @@ SAMPLE, OFTEN, FREQUENT = 16, 3, 200_000
 BROADCAST_ROWS = 1_000_000
 #: Documents whose postings make one batch.
 BLOCK = 500
+#: Postings of a shingle that meet in one task.
+CROWD = 20_000
+#: Pairs that a task makes at a time.
+PAIRS = 1_000_000
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -55,17 +61,26 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
 
 
 def signed(docs: DataFrame, carry: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and sig, 128 bits of the set; and the columns of carry as __in_ ones."""
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("__text"), *[F.col(c).alias(f"__in_{c}") for c in carry])
-    kind = rows.drop("__text").schema.add("sig", "binary")
+    """doc_id, sig (128 bits of the set) and fp (its SimHash); and the columns of carry as __in_0 and so on."""
+    carried = [exact(c).alias(f"__in_{i}") for i, c in enumerate(carry)]  # names that Arrow functions can ask for
+    rows = docs.select(exact(id_col).cast("bigint").alias("doc_id"), exact(text_col).alias("__text"), *carried)
+    kind = rows.drop("__text").schema.add("sig", "binary").add("fp", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
+        from .simhash import fingerprint_of
+
         for batch in batches:
-            sigs = pa.array([xxh3_128_digest(shingles(t.as_py()).tobytes()) for t in batch.column("__text")], pa.binary())
+            sigs, fps = [], []
+            for t in batch.column("__text"):
+                s = shingles(t.as_py())
+                sigs.append(xxh3_128_digest(s.tobytes()))
+                h = s * _MIX
+                fps.append(fingerprint_of(h ^ h >> np.uint64(32)))
             names = [n for n in batch.schema.names if n != "__text"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], sigs], [*names, "sig"])
+            made = [pa.array(sigs, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *made], [*names, "sig", "fp"])
 
     return rows.mapInArrow(run, kind)
 
@@ -115,44 +130,128 @@ def posted(rows: DataFrame, often: np.ndarray, times: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, "key bigint, row bigint, n int")
 
 
-def meetings(posts: DataFrame) -> DataFrame:
-    """Postings to (a, b, na, nb), a row for each shingle at which two documents of fitting sizes meet."""
-
-    def pairs(k: np.ndarray, r: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        lag, left = 1, np.arange(len(k))
-        while True:
-            left = left[left + lag < len(k)]
-            left = left[k[left] == k[left + lag]]
-            if not len(left):
-                return
-            x, y = left, left + lag
-            fit = 5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y])
-            x, y = x[fit], y[fit]
-            swap = r[x] > r[y]
-            x, y = np.where(swap, y, x), np.where(swap, x, y)
-            yield pa.RecordBatch.from_arrays([pa.array(r[x]), pa.array(r[y]), pa.array(n[x]), pa.array(n[y])], ["a", "b", "na", "nb"])
-            lag += 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
-        for batch in batches:
-            now = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("key", "row", "n"), strict=True)]
+MET = "a bigint, b bigint, na int, nb int, root bigint, crowded boolean"
+
+
+def pairs_of(k: np.ndarray, r: np.ndarray, n: np.ndarray, root: np.ndarray, side: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Of postings (key, row, size of the set, root), all pairs of one key with fitting sizes and different roots; with `side`
+    (0 or 1) only those of both sides. The work is that of the pairs with different roots."""
+    order = np.lexsort((root, k))
+    k, r, n, root = k[order], r[order], n[order], root[order]
+    side = side[order] if side is not None else None
+    ends = lambda new: np.repeat(np.r_[np.flatnonzero(new), len(k)][1:], np.diff(np.r_[np.flatnonzero(new), len(k)]))
+    new_key = np.r_[True, k[1:] != k[:-1]] if len(k) else np.empty(0, bool)
+    new_root = new_key | np.r_[True, root[1:] != root[:-1]] if len(k) else new_key
+    first = ends(new_root)
+    many = ends(new_key) - first  # rows behind that have the key and another root
+    sums = np.cumsum(many)
+    low = 0
+    while low < len(k):
+        high = max(low + 1, int(np.searchsorted(sums, (sums[low - 1] if low else 0) + PAIRS, "right")))
+        x = np.repeat(np.arange(low, high), many[low:high])
+        y = first[x] + np.arange(len(x)) - np.repeat(np.cumsum(many[low:high]) - many[low:high], many[low:high])
+        fit = 5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y])
+        if side is not None:
+            fit &= side[x] != side[y]
+        x, y = x[fit], y[fit]
+        swap = r[x] > r[y]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        cols = [r[x], r[y], n[x], n[y], np.zeros(len(x), np.int64), np.zeros(len(x), bool)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "na", "nb", "root", "crowded"])
+        low = high
+
+
+def in_groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], most: int | None) -> Iterator[tuple[bool, list[np.ndarray]]]:
+    """Columns of whole groups of the first name, by which the batches are ordered; a group of more than `most` rows comes
+    in parts, marked so."""
+    held, large = None, None
+    for batch in batches:
+        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        if held is not None:
+            now = [np.concatenate([h, x]) for h, x in zip(held, now, strict=True)]
+        if not len(now[0]):
+            continue
+        if large is not None:
+            high = int(np.searchsorted(now[0], large, "right"))
+            yield True, [x[:high] for x in now]
+            now = [x[high:] for x in now]
             if not len(now[0]):
+                held = None
                 continue
-            cut = int(np.searchsorted(now[0], now[0][-1], "left"))
-            yield from pairs(*[x[:cut] for x in now])
-            held = [x[cut:] for x in now]
-        yield from pairs(*held)
+            large = None
+        cut = int(np.searchsorted(now[0], now[0][-1], "left"))
+        if cut:
+            yield False, [x[:cut] for x in now]
+        held = [x[cut:] for x in now]
+        if most and len(held[0]) > most:
+            large = held[0][0]
+            yield True, held
+            held = None
+    if held is not None:
+        yield large is not None, held
 
-    return posts.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint, na int, nb int")
+
+def meetings(posts: DataFrame) -> DataFrame:
+    """Postings to (a, b, na, nb, met): met adds up to the shingles at which two documents of fitting sizes and different
+    roots meet."""
+
+    def split(group: list[np.ndarray], most: int) -> Iterator[tuple[bool, list[np.ndarray]]]:
+        """Groups of more than `most` rows among whole ones, apart."""
+        at = np.flatnonzero(group[0][1:] != group[0][:-1]) + 1
+        starts, ends = np.r_[0, at], np.r_[at, len(group[0])]
+        large = np.flatnonzero(ends - starts > most)
+        done = 0
+        for low, high in zip(starts[large].tolist(), ends[large].tolist(), strict=True):
+            if done < low:
+                yield False, [x[done:low] for x in group]
+            yield True, [x[low:high] for x in group]
+            done = high
+        if done < len(group[0]):
+            yield False, [x[done:] for x in group]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for crowded, whole in in_groups(batches, ("key", "row", "n", "root"), CROWD):
+            for large, (k, r, n, root) in [(True, whole)] if crowded else split(whole, CROWD):
+                if large:
+                    cols = [r, k, n, np.zeros(len(n), np.int32), root, np.ones(len(n), bool)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "na", "nb", "root", "crowded"])
+                else:
+                    yield from pairs_of(k, r, n, root)
+
+    counted = lambda met: met.groupBy("a", "b", "na", "nb", "root", "crowded").agg(F.count("*").alias("met"))
+    met = written(counted(posts.repartition("key").sortWithinPartitions("key").mapInArrow(run, MET)), "near-met")
+    pairs = met.filter("NOT crowded").select("a", "b", "na", "nb", "met")
+    crowd = met.filter("crowded").select(F.col("b").alias("key"), F.col("a").alias("row"), F.col("na").alias("n"), "root")
+    if crowd.isEmpty():
+        return pairs
+    # blocks of a shingle's documents, each pair of blocks in a task of its own
+    sizes = crowd.groupBy(F.col("key").alias("__key")).agg(
+        F.ceil(F.count("*") / CROWD).cast("int").alias("blocks"), F.min("root").alias("__low"), F.max("root").alias("__high")
+    )
+    sizes = written(sizes.filter("__low <> __high"), "near-crowds")
+    dealt = join_small(crowd, sizes, F.col("key") == F.col("__key"), F.col("row"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("key", "row", "n", "root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    place = F.xxhash64("key", F.least("own", "with"), F.greatest("own", "with")).alias("place")
+    dealt = dealt.select(place, "row", "n", "root", (F.col("own") > F.col("with")).cast("int").alias("side"), (F.col("own") == F.col("with")).alias("same"))
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (k, r, n, root, side, same) in in_groups(batches, ("place", "row", "n", "root", "side", "same"), None):
+            for kind, other in ((True, None), (False, side)):
+                own = np.flatnonzero(same == kind)
+                yield from pairs_of(k[own], r[own], n[own], root[own], None if other is None else other[own])
+
+    more = dealt.repartition("place").sortWithinPartitions("place").mapInArrow(blocks, MET)
+    return pairs.unionByName(written(counted(more), "near-blocks").select("a", "b", "na", "nb", "met"))
 
 
 def candidates(posts: DataFrame) -> DataFrame:
-    """(a, b, na, nb) of the pairs that meet as often as pairs above the threshold must: of the prefix that ends first in
+    """(a, b) of the pairs that meet as often as pairs above the threshold must: of the prefix that ends first in
     the order, at most n - need can be missing from the other set, and the others lie in its prefix."""
     need = F.expr("(4 * (na + nb) + 8) DIV 9")
     least = F.least(*[F.expr(f"{n} DIV 5 + 1") - F.col(n) + need for n in ("na", "nb")])
-    return meetings(posts).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met")).filter(F.col("met") >= least).drop("met")
+    met = meetings(posts).groupBy("a", "b", "na", "nb").agg(F.sum("met").alias("met"))
+    return met.filter(F.col("met") >= least).select("a", "b")
 
 
 def among(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -162,20 +261,35 @@ def among(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if few else ids, F.col("row") == F.col(one), how)
 
 
-def links(rows: DataFrame) -> DataFrame:
-    """rows (row, sig, text: a written table, no two with one sig) to (a, b): all pairs of rows at least 4/5 alike."""
-    pairs = written(candidates(posted(rows.select("row", "text"), *frequent(rows))), "near-pairs")
+def verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b; a written table) of rows (row, text), those at least 4/5 alike."""
     ends = written(pairs.select(F.explode(F.array("a", "b")).alias("__end")).distinct(), "near-ends")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column("row"), batch.column("text")
             for low in range(0, len(ids), BLOCK):
-                sets = pa.array([shingles(t.as_py()).view(np.int64) for t in texts[low : low + BLOCK]], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids[low : low + BLOCK], sets], ["row", "s"])
+                sets = [shingles(t.as_py()).view(np.int64) for t in texts[low : low + BLOCK]]
+                yield pa.RecordBatch.from_arrays([ids[low : low + BLOCK], pa.array(sets, pa.list_(pa.int64()))], ["row", "s"])
 
     sets = written(among(rows.select("row", "text"), ends, "left_semi").mapInArrow(run, "row bigint, s array<bigint>"), "near-sets")
     side: Callable[[str], DataFrame] = lambda c: sets.select(F.col("row").alias(f"__{c}"), F.col("s").alias(f"s{c}"))
     both = pairs.join(side("a"), F.col("a") == F.col("__a")).join(side("b"), F.col("b") == F.col("__b"))
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(9 * shared >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
+    alike = written(both.filter(9 * shared >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b"), "near-alike")
+    dropped(sets, ends)
+    return alike
+
+
+def links(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows (row, sig, text: a written table, no two with one sig) to (a, b): all pairs of rows at least 4/5 alike whose
+    roots (node, root: a written table of what is connected already) are not the same."""
+    known = roots.select(F.col("node").alias("__node"), F.col("root").alias("__root"))
+    if roots.count() <= BROADCAST_ROWS:
+        known = F.broadcast(known)
+    posts = posted(rows.select("row", "text"), *frequent(rows)).join(known, F.col("row") == F.col("__node"), "left")
+    posts = posts.select("key", "row", "n", F.coalesce("__root", "row").alias("root"))
+    pairs = written(candidates(posts), "near-pairs")
+    found = verified(rows, pairs)
+    dropped(pairs)
+    return found

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, WORD, join_small, text_of, written
+from .common import SPACE, WORD, exact, join_small, text_of, written
 
 MIN_GROUP = 200
 SIGNIFICANT = 7
@@ -160,21 +160,21 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: list[str] | None = None, prefix: str = "") -> DataFrame:
     """One row a document: doc_id, the measures, base_failed, kept and level, and the columns of carry after prefix."""
-    carried = [F.col(c).alias(f"__in_{c}") for c in carry or []]
-    texts = [F.col(c).cast("string").alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"))]
-    named = docs.select(F.col(id_col).alias("doc_id"), *texts, F.col(text_col).alias("__text"), *carried)
+    carried = [exact(c).alias(f"__in_{c}") for c in carry or []]
+    texts = [exact(c).cast("string").alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"))]
+    named = docs.select(exact(id_col).alias("doc_id"), *texts, exact(text_col).alias("__text"), *carried)
     rows = written(measured(named, "__text").drop("__text"), "quality-rows")
     bounds = written(fences(rows), "quality-fences")
     same = F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source"))
     joined = join_small(rows, bounds, same, F.xxhash64("doc_id"), "left")
     far = F.coalesce(F.expr(" OR ".join(map(beyond, BOUNDS))), F.lit(False))
     out = joined.withColumn("kept", ~F.col("base_failed") & ~far)
-    return out.select("doc_id", *MEASURES, "base_failed", "kept", "level", *[F.col(f"__in_{c}").alias(f"{prefix}{c}") for c in carry or []])
+    return out.select("doc_id", *MEASURES, "base_failed", "kept", "level", *[exact(f"__in_{c}").alias(f"{prefix}{c}") for c in carry or []])
 
 
 def filtered(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with their columns."""
-    return judged(docs, carry=docs.columns, prefix="__keep_").filter("kept").select(*[F.col(f"__keep_{c}").alias(c) for c in docs.columns])
+    return judged(docs, carry=docs.columns, prefix="__keep_").filter("kept").select(*[exact(f"__keep_{c}").alias(c) for c in docs.columns])
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:

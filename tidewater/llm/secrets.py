@@ -23,7 +23,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import exact, text_of, written
 
 
 @dataclass(frozen=True)
@@ -169,8 +169,9 @@ def spans_of(text: Column, rule: Rule, number: int) -> Column:
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES, carry: list[str] | None = None, prefix: str = "") -> DataFrame:
     """One row a document: doc_id, text and spans, an array of (start, kind: number of the rule, end) by start and
     kind; and the columns of carry after prefix."""
-    text = text_of(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("key"), *[F.col(c).alias(f"{prefix}{c}") for c in carry or []])
+    text = text_of(exact(text_col))
+    carried = [exact(c).alias(f"{prefix}{c}") for c in carry or []]
+    rows = docs.select(exact(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(exact(id_col), text).alias("key"), *carried)
     found = written(candidates(rows, rules), "secret-candidates").withColumnRenamed("key", "__key")
     few = found.count() <= BROADCAST_KEYS
     joined = rows.join(F.broadcast(found) if few else found, F.col("key") == F.col("__key"), "left")
@@ -207,7 +208,7 @@ def redacted(docs: DataFrame, mark: str = "[secret]", rules=RULES) -> DataFrame:
     new = {"text": F.when(has, clean).otherwise(F.col("__in_text"))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(has, F.length(new["text"])).otherwise(F.col("__in_n_chars")).cast(docs.schema["n_chars"].dataType)
-    return found.select(*[new.get(c, F.col(f"__in_{c}")).alias(c) for c in docs.columns])
+    return found.select(*[(new[c] if c in new else exact(f"__in_{c}")).alias(c) for c in docs.columns])
 
 
 def op4_secrets(spark, sf_dir: str) -> DataFrame:

@@ -2,16 +2,16 @@
 
 Fingerprints are made in Arrow batches. Equal fingerprints fall together first (a group-by), so copies cost
 nothing later. Two fingerprints at most RADIUS bits apart agree in one of RADIUS + 1 bands of their bits (in `agree` of
-RADIUS + agree); each value of a band is a shard, and in every shard a BK-tree (children keyed by the integer Hamming distance to their parent) is
-built and queried with all its fingerprints, following only the edges within the radius of the distance to the
-node. A shard gives the links of a spanning forest, so a dense ball of near copies yields as many rows as it has
-fingerprints, and no connection is lost. Trees of shards meet their queries through a shuffle: what a broadcast
-would have to carry grows with the corpus. A shard of more than SHARD fingerprints is passed on as it streams in and cut by the bands
-of its remaining bits, which again miss no pair.
+RADIUS + agree); each value of a band is a shard, and in every shard a BK-tree (children keyed by the integer Hamming
+distance to their parent) is built and queried with all its fingerprints, following only the edges within the radius
+of the distance to the node. A shard gives the links of a spanning forest, so a dense ball of near copies yields as many
+rows as it has fingerprints, and no connection is lost. Trees of shards meet their queries through a shuffle, not a
+broadcast (README has the figures). A shard of more than SHARD fingerprints is passed on as it streams in and cut by the bands
+of its remaining bits, which again miss no pair, until all are small.
 
 Cases: a null text has no words and the fingerprint zero, linked like any other; fewer than three words are one
 shingle; repeated rows and null ids are rows like any other (the component of rows that all lack ids is null);
-an empty table gives an empty result; other columns are not read.
+an empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import near
-from .common import dropped, written
+from .common import dropped, exact, join_hot, written
 from .components import components
 
 RADIUS = 2
@@ -34,38 +34,42 @@ SHINGLE = 3
 SEED = 42
 #: Fingerprints of a shard that one tree takes.
 SHARD = 20_000
+#: Fingerprints that are compared with each other without a tree.
+FEW = 16
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
+def fingerprint_of(h: np.ndarray) -> int:
+    """A bit is 1 if set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), 4096):  # 256 kB of bits at a time
+        part = h[at : at + 4096].astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """A bit is 1 if set in over half of the hashes of the shingles, repeats included."""
+    """Of the shingles of a text, repeats included."""
     from xxhash import xxh64_intdigest
 
     words = _WORDS((text or "").encode().translate(_LOWER))
     if not words:
         return 0
     shingles = map(b" ".join, zip(*[words[i:] for i in range(shingle)], strict=False)) if len(words) >= shingle else [b" ".join(words)]
-    h = np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(h), 4096):  # 256 kB of bits at a time
-        ones += np.unpackbits(h[at : at + 4096].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
+    return fingerprint_of(np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long; and the columns of carry."""
-    carried = [F.col(c).alias(f"__in_{c}") for c in carry or []]
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("__text"), *carried)
-    kind = rows.drop("__text").schema.add("fp", "long")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and fp, the fingerprint as a signed long."""
+    rows = docs.select(exact(id_col).cast("bigint").alias("doc_id"), exact(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py()) for t in batch.column("__text")], np.uint64).view(np.int64)
-            names = [n for n in batch.schema.names if n != "__text"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(fps, pa.int64())], [*names, "fp"])
+            fps = np.array([fingerprint(t.as_py()) for t in batch.column("text")], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    return rows.mapInArrow(run, kind)
+    return rows.mapInArrow(run, "doc_id bigint, fp bigint")
 
 
 def bands(bits: list[int], n: int) -> list[list[int]]:
@@ -137,8 +141,12 @@ def forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
             i = up[i]
         return i
 
+    if len(values) <= FEW:
+        found = [np.nonzero(np.triu(popcount(values[:, None] ^ values) <= radius, 1))]
+    else:
+        found = BKTree(values).within(values, radius)
     out = []
-    for q, node in BKTree(values).within(values, radius):
+    for q, node in found:
         more = q < node
         for a, b in zip(q[more].tolist(), node[more].tolist(), strict=True):
             ra, rb = root(a), root(b)
@@ -148,101 +156,149 @@ def forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
+class Cuts:
+    """Bands by path: the first number is one of the choices of `agree` bands, each further one a band of the bits left."""
+
+    def __init__(self, radius: int, agree: int):
+        self.radius = radius
+        self.parts = [sorted(sum(p, [])) for p in combinations(bands(list(range(64)), radius + agree), agree)]
+
+    def left(self, path: str) -> list[int]:
+        """The bits in which fingerprints of a shard of this path can differ."""
+        first, *others = map(int, path.split("."))
+        left = [b for b in range(64) if b not in self.parts[first]]
+        for j in others:
+            gone = bands(left, self.radius + 1)[j]
+            left = [b for b in left if b not in gone]
+        return left
+
+    def again(self, values: np.ndarray, shard: int, path: str) -> Iterator[tuple[str, np.ndarray]]:
+        """Paths and keys by which fingerprints of a large shard meet once more."""
+        for j, bits in enumerate(bands(self.left(path), self.radius + 1)):
+            h = (values & np.uint64(sum(1 << b for b in bits))) ^ np.uint64(shard % (1 << 64))
+            for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9):
+                h = (h ^ h >> np.uint64(31)) * np.uint64(c) + np.uint64(j + 1)
+            yield f"{path}.{j}", h ^ h >> np.uint64(32)
+
+
+LINKS = "a bigint, b bigint, path string, large boolean"
+
+
 def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD, agree: int = 1) -> DataFrame:
     """Distinct fingerprints (fp) to links (a, b) of a forest in every shard.
 
     agree: bands that two fingerprints must share to meet in a shard, of radius + agree; with more of them shards are
     smaller and each fingerprint is in more of them."""
-    parts = [sorted(sum(p, [])) for p in combinations(bands(list(range(64)), radius + agree), agree)]
-    rests = [bands([b for b in range(64) if b not in p], radius + 1) for p in parts]
-    keys = F.explode(F.array(*[F.struct(F.xxhash64(F.lit(i), masked(F.col("fp"), p)).alias("shard"), F.lit(i).alias("band")) for i, p in enumerate(parts)]))
-    keyed = fps.select("fp", keys.alias("k")).select("fp", "k.shard", "k.band")
-
-    def again(values: np.ndarray, band: int) -> pa.RecordBatch:
-        """Keys of fingerprints of a large shard by the bands of the bits in which they can differ."""
-        out = []
-        for j, bits in enumerate(rests[band]):
-            part = values & np.uint64(sum(1 << b for b in bits))
-            h = (part ^ np.uint64(hash((band, j)) & 0xFFFFFFFF)) * np.uint64(0x9E3779B97F4A7C15)
-            out.append((h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(band * 64 + j))
-        n = len(values) * len(out)
-        return pa.RecordBatch.from_arrays([pa.array(np.tile(values, len(out)).view(np.int64)), pa.array(np.concatenate(out).view(np.int64)), pa.array(np.full(n, band, np.int32)), pa.array(np.ones(n, bool))], ["a", "b", "band", "large"])
-
-    def search(cut: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            key, held, size, large = None, [], 0, False
-
-            def pairs() -> pa.RecordBatch | None:
-                values = np.unique(np.concatenate(held)) if size > 1 else ()
-                found = forest(values, radius) if len(values) > 1 else []
-                if not found:
-                    return None
-                ends = values.view(np.int64)[np.array(found)]
-                return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1]), pa.array(np.zeros(len(ends), np.int32)), pa.array(np.zeros(len(ends), bool))], ["a", "b", "band", "large"])
-
-            for batch in batches:
-                shards, values, of = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("shard", "fp", "band"))
-                values = values.view(np.uint64)
-                cuts = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1]]) if len(shards) else []
-                for low, high in zip(cuts, [*cuts[1:], len(shards)], strict=True):
-                    if shards[low] != key:
-                        if not large and (out := pairs()):
-                            yield out
-                        key, held, size, large = shards[low], [], 0, False
-                    held.append(values[low:high])
-                    size += high - low
-                    if cut and size > shard:  # passed on, as it comes
-                        yield again(np.concatenate(held), int(of[low]))
-                        held, large = [], True
-            if not large and (out := pairs()):
-                yield out
-
-        return run
-
-    kind = "a bigint, b bigint, band int, large boolean"
-    met = lambda rows, cut: rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(search(cut), kind)
-    first = written(met(keyed, True), "simhash-links")
-    second = met(first.filter("large").select(F.col("a").alias("fp"), F.col("b").alias("shard"), "band"), False)
-    return first.filter("NOT large").select("a", "b").unionByName(second.select("a", "b"))
+    cuts = Cuts(radius, agree)
+    keys = [F.struct(F.xxhash64(F.lit(i), masked(F.col("fp"), p)).alias("shard"), F.lit(str(i)).alias("path")) for i, p in enumerate(cuts.parts)]
+    todo = fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.shard", "k.path")
+
+    def table(a: np.ndarray, b: np.ndarray, path: str, large: bool) -> pa.RecordBatch:
+        cols = [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array([path] * len(a)), pa.array(np.full(len(a), large))]
+        return pa.RecordBatch.from_arrays(cols, ["a", "b", "path", "large"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, path, held, size, large = None, "", [], 0, False
+
+        def pairs() -> Iterator[pa.RecordBatch]:
+            values = np.unique(np.concatenate(held)) if size > 1 and not large else ()
+            if len(values) > 1 and (found := forest(values, radius)):
+                ends = values[np.array(found)]
+                yield table(ends[:, 0].copy(), ends[:, 1].copy(), path, False)
+
+        for batch in batches:
+            shards, values = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("shard", "fp"))
+            values = values.view(np.uint64)
+            at = [0, *(np.flatnonzero(shards[1:] != shards[:-1]) + 1).tolist(), len(shards)] if len(shards) else [0]
+            for low, high in zip(at, at[1:], strict=False):
+                if shards[low] != key:
+                    yield from pairs()
+                    key, path, held, size, large = shards[low], batch.column("path")[low].as_py(), [], 0, False
+                held.append(values[low:high])
+                size += high - low
+                if size > shard and len(cuts.left(path)) > radius:  # passed on, as it comes
+                    own = np.concatenate(held)
+                    for p, k in cuts.again(own, int(key), path):
+                        yield table(own, k, p, True)
+                    held, large = [], True
+        yield from pairs()
+
+    out = None
+    while True:
+        met = written(todo.repartition("shard").sortWithinPartitions("shard").mapInArrow(search, LINKS), "simhash-links")
+        found = met.filter("NOT large").select("a", "b")
+        out = found if out is None else out.unionByName(found)
+        more = met.filter("large")
+        if more.isEmpty():
+            return out
+        todo = more.select(F.col("a").alias("fp"), F.col("b").alias("shard"), "path")
 
 
 def grouped(rows: DataFrame, radius: int = RADIUS, agree: int = 1) -> DataFrame:
-    """Rows with fp (a written table) to (fp, component_id: the least doc_id linked to it, n: the rows of the component)."""
-    fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-fps")
+    """Rows with fp (a written table) to (__fp, rows, component_id: the least doc_id linked to it, component_rows, component)."""
+    fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "simhash-fps")
     roots = written(components(links(fps.select("fp"), radius, agree=agree)), "simhash-roots")
-    named = fps.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_rows"))
-    return named.select("fp", "root").join(least, "root").select(F.col("fp").alias("__fp"), "component_id", "component_rows", F.col("root").alias("component"))
+    named = fps.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+    named = written(named, "simhash-named")
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("rows").alias("component_rows"), F.count("*").alias("__n"))
+    least = written(least.withColumnRenamed("root", "component"), "simhash-least")
+    out = join_hot(named, least, F.col("root") == F.col("component"), "__n", fps.count())
+    return out.select(F.col("fp").alias("__fp"), "rows", "component_id", "component_rows", "component")
 
 
 def clustered(docs: DataFrame, radius: int = RADIUS, agree: int = 1) -> DataFrame:
     """One row a document: doc_id, fp, component_id, component_rows and component (one of its fingerprints)."""
     rows = written(fingerprints(docs), "simhash-rows")
     groups = written(grouped(rows, radius, agree), "simhash-groups")
-    return rows.join(groups, F.col("fp") == F.col("__fp")).drop("__fp")
+    return join_hot(rows, groups, F.col("fp") == F.col("__fp"), "rows", rows.count()).drop("__fp", "rows")
 
 
-#: Of 64 bits; links of this radius are those of copies with a few words changed. The stage that removes documents
-#: doesn't go by it: at a similarity of 0.8 most pairs are further apart.
+#: Bits of 64 within which fingerprints of five-word shingles make candidates of the stage that removes documents. They
+#: connect most near copies cheaply; at a similarity of 0.8 many are further apart, which the exact search finds.
 DROP_RADIUS = 4
+SALT = 64
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """rows (row, fp; a written table) to pairs (a, b) of rows that connect those with fingerprints within DROP_RADIUS: rows of one
+    fingerprint with the least of some of them, these with the least of all, and these by the links of fingerprints."""
+    local = rows.groupBy("fp", F.pmod(F.xxhash64("row"), F.lit(SALT)).alias("salt")).agg(F.min("row").alias("b"), F.count("*").alias("n"))
+    local = written(local, "dedup-local")
+    firsts = written(local.groupBy("fp").agg(F.min("b").alias("b"), F.count("*").alias("n")), "dedup-fingerprints")
+    crowded = local.filter("n > 1").select(F.col("fp").alias("__fp"), F.col("salt").alias("__salt"), "b")
+    same_salt = (F.col("fp") == F.col("__fp")) & (F.pmod(F.xxhash64("row"), F.lit(SALT)) == F.col("__salt"))
+    inner = rows.join(crowded, same_salt).select(F.col("row").alias("a"), "b")
+    outer = local.select("fp", F.col("b").alias("a")).join(firsts.filter("n > 1").select("fp", "b"), "fp").select("a", "b")
+    found = written(links(firsts.select("fp"), DROP_RADIUS), "dedup-links")
+    end = lambda c: firsts.select(F.col("fp").alias(f"__{c}"), F.col("b").alias(f"row_{c}"))
+    across = found.join(end("a"), F.col("a") == F.col("__a")).join(end("b"), F.col("b") == F.col("__b")).select(F.col("row_a").alias("a"), F.col("row_b").alias("b"))
+    return inner.unionByName(outer).unionByName(across).filter("a <> b").distinct()
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each component of links between documents at least 4/5 alike (exact Jaccard similarity of
-    five-word shingles, see near), with its columns: the one with the least id (null last), of rows with one id the
-    first stored. The choice is a minimum from partial aggregates, so a large component is no large task."""
+    five-word shingles), with its columns: the one with the least id (null last), of rows with one id the first stored.
+
+    Equal sets fall together first. SimHash and BK-trees then propose pairs, which are verified and connect most near
+    copies by a forest; near.links finds, without loss, what else is 4/5 alike between different components. The choice is a
+    minimum from partial aggregates, so a large component is no large task."""
     rows = near.signed(docs, docs.columns).withColumn("row", F.monotonically_increasing_id())
     rows = written(rows, "dedup-rows")
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     best = rows.groupBy("sig").agg(F.min(rank).alias("best")).select(F.col("best.row").alias("__row"))
     copies = written(rows.select("row").join(best, F.col("row") == F.col("__row"), "left_anti").select(F.col("row").alias("__gone")), "dedup-copies")
     firsts = written(near.among(rows, copies, "left_anti"), "dedup-firsts")
-    dropped(rows)
-    roots = written(components(near.links(firsts.select("row", "sig", F.col("__in_text").alias("text")))), "dedup-roots")
+    dropped(rows, copies)
+    texts = firsts.select("row", "sig", F.col(f"__in_{docs.columns.index('text')}").alias("text"))
+    close = near.verified(texts, written(candidates(firsts.select("row", "fp")), "dedup-close"))
+    close = written(close, "dedup-verified")
+    roots = written(components(close), "dedup-first-roots")
+    alike = close.unionByName(near.links(texts, roots))
+    roots = written(components(alike), "dedup-roots")
     members = written(roots.join(firsts.select("row", "doc_id"), F.col("node") == F.col("row")).select("row", "doc_id", "root"), "dedup-members")
     stay = members.groupBy("root").agg(F.min(rank).alias("best")).select(F.col("best.row").alias("__row"))
     gone = written(members.select("row").join(stay, F.col("row") == F.col("__row"), "left_anti").select(F.col("row").alias("__gone")), "dedup-gone")
-    return near.among(firsts, gone, "left_anti").select(*[F.col(f"__in_{c}").alias(c) for c in docs.columns])
+    return near.among(firsts, gone, "left_anti").select(*[F.col(f"__in_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

@@ -241,3 +241,48 @@ def rename(rows: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
     """rows with names replaced by aliases (old, new), exactly; of several new names the first."""
     one = latest(aliases, ["old"], [F.col("new")]).select(F.col("old").alias("__old"), F.col("new").alias("__new"))
     return rows.join(one, F.col(column) == F.col("__old"), "left").withColumn(column, F.coalesce("__new", F.col(column))).drop("__old", "__new")
+
+
+def changed(companies: DataFrame, since: Column | None, least: int = 2) -> DataFrame:
+    """Companies (name, updated_at) updated since then; all of them without a time, or if fewer than `least` names are new."""
+    if since is None:
+        return companies
+    fresh = companies.filter((F.col("updated_at") >= since) & (F.col("name") != ""))
+    few = fresh.agg((F.count_distinct("name") < least).alias("few")).scalar()
+    return companies.filter(few | ((F.col("updated_at") >= since) & (F.col("name") != "")))
+
+
+def with_cached_vectors(names: DataFrame, cache: DataFrame, vector) -> DataFrame:
+    """names (name, norm) with v and cached: from the cache (name, norm, v; a row a name) by the raw or else the normalised name, and for
+    the others by vector(norm). The new rows of the cache are those that are not cached."""
+    raw = cache.select(F.col("name").alias("__name"), F.col("v").alias("__v"))
+    norm = cache.groupBy(F.col("norm").alias("__norm")).agg(F.min_by("v", "name").alias("__w"))
+    out = names.join(raw, F.col("name") == F.col("__name"), "left").join(norm, F.col("norm") == F.col("__norm"), "left")
+    found = F.coalesce("__v", "__w")
+    return out.select("name", "norm", F.coalesce(found, vector(F.col("norm"))).alias("v"), found.isNotNull().alias("cached"))
+
+
+#: Columns with company names in the source tables that a merge of companies renames.
+NAMED_IN = {"zhique_contact": "related_company", "crm_contact": "customer_name", "marketing_lead": "customer_company", "crm_opportunity": "customer_name"}
+
+
+def merged(tables: dict[str, DataFrame], aliases: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The source tables with names replaced by aliases (old, new), and (table_name, updated): how many rows of each changed."""
+    out, counts = {}, None
+    old = aliases.filter("old <> new").select(F.col("old").alias("__o")).distinct()
+    for name, column in NAMED_IN.items():
+        if name in tables:
+            out[name] = rename(tables[name], column, aliases)
+            hit = tables[name].join(old, F.col(column) == F.col("__o"), "left_semi")
+            one = hit.agg(F.count("*").alias("updated")).select(F.lit(name).alias("table_name"), "updated")
+            counts = one if counts is None else counts.unionByName(one)
+    return tables | out, counts
+
+
+def shared_by_name(contacts: DataFrame, a: str, b: str) -> DataFrame:
+    """(kind, shared): values (company, kind, value) that companies whose names contain a have in common with those that contain b."""
+    c = contacts.filter("value <> ''")
+    left = c.filter(F.col("company").contains(a)).select("kind", "value")
+    right = c.filter(F.col("company").contains(b)).select(F.col("kind").alias("k"), F.col("value").alias("v"))
+    met = left.join(right, (F.col("kind") == F.col("k")) & (F.col("value") == F.col("v")))
+    return met.groupBy("kind").agg(F.count_distinct("value").alias("shared"))

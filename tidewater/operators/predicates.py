@@ -36,7 +36,7 @@ def contains(c: Column, word: str | None) -> list[Column]:
 
 
 def contains_any(cols: list[Column], words: list[str]) -> Column:
-    return either([F.lower(c).contains(w.lower()) for c in cols for w in words])
+    return either([F.coalesce(F.lower(c).contains(w.lower()), F.lit(False)) for c in cols for w in words])
 
 
 def at_least(c: Column, value: Any) -> list[Column]:
@@ -242,3 +242,33 @@ def table_for(asked: dict[str, Any], question: str) -> str:
     if any(w in question for w in CONTACT_WORDS) or re.search(TITLES, question):
         return "contact_360"
     return "customer_360"
+
+
+@dataclass
+class ContactFilter:
+    text: str | None = None
+    role: str | None = None
+    stage: str | None = None
+    interaction_min: int | None = None
+    #: recent, high or any.
+    history: str | None = None
+    vip: bool = False
+
+
+VIP_ROLES = ("拍板者", "决策者")
+HISTORY = {"recent": lambda: F.col("last_interaction_time").isNotNull(), "high": lambda: F.coalesce(F.col("high_value"), F.lit(0)) > 0, "any": lambda: F.coalesce(F.col("interaction_count"), F.lit(0)) > 0}
+
+
+def contact_conditions(f: ContactFilter) -> list[Column]:
+    """Over contacts with contact_name, mobile, position, department, role, purchase_stage, counts and last_interaction_time."""
+    c = F.col
+    parts = []
+    if f.text:
+        parts.append(contains_any([c("contact_name"), c("position"), c("department")], [f.text]) | F.coalesce(c("mobile").contains(f.text), F.lit(False)))
+    parts += equals(c("role"), f.role) + equals(c("purchase_stage"), f.stage)
+    if f.interaction_min:
+        counted = F.coalesce(F.nullif(c("interaction_count"), F.lit(0)), c("interaction_count_30d"), F.lit(0))
+        parts.append(counted >= f.interaction_min)
+    if f.history in HISTORY:
+        parts.append(HISTORY[f.history]())
+    return parts + ([c("role").isin(*VIP_ROLES)] if f.vip else [])

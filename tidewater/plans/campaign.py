@@ -92,3 +92,10 @@ def filter_options(customers: DataFrame, detail: DataFrame) -> DataFrame:
     days = detail.agg(F.min("event_time").alias("low"), F.max("event_time").alias("high"))
     out = one(customers, "campaign", C("campaign_tag")).unionByName(one(customers, "industry", C("industry"))).unionByName(one(detail, "channel", text.normalize_channel(C("channel"))))
     return out.unionByName(days.select(F.lit("start").alias("option"), F.date_format("low", "yyyy-MM-dd").alias("value"))).unionByName(days.select(F.lit("end").alias("option"), F.date_format("high", "yyyy-MM-dd").alias("value")))
+
+
+def bootstrap(customers: DataFrame, detail: DataFrame, campaign: str | None = None, with_content: bool = True) -> dict[str, DataFrame]:
+    """What the dashboard asks for first: options, key figures, the overview and, unless it comes later, content and signals."""
+    rows = scope(customers, campaign)
+    out = {"options": filter_options(customers, detail), "kpis": kpis(rows, detail), "overview": overview(rows, detail)}
+    return out | ({"content": content_effect(detail), "signals": signals(rows)} if with_content else {})

@@ -17,6 +17,7 @@ from ..functions.text import filled, is_filled
 from ..operators.aggregates import role_coverage
 from ..operators.merge import first_wins, insert_missing, update_join
 from ..sources.schemas import SOURCES, TABLES, conform
+from ..sources.shared import stored
 
 Tables = dict[str, DataFrame]
 
@@ -215,8 +216,8 @@ def contact_360(mapping: DataFrame, detail: DataFrame, customers: DataFrame, icp
 
 
 def run_full(t: Tables, as_of: Column, spark) -> Tables:
-    """All four tables, lazily."""
-    mapping, detail = contact_mapping(t, spark), interaction_detail(t, spark)
+    """All four tables; the first two, which the others read more than once, are stored."""
+    mapping, detail = stored(contact_mapping(t, spark), "contact_mapping"), stored(interaction_detail(t, spark), "interaction_detail")
     customers = customer_360(t, mapping, detail, as_of, spark)
     contacts = contact_360(mapping, detail, customers, anchor(source(t, "zhique_contact", spark)), as_of)
     return {"contact_mapping": mapping, "interaction_detail": detail, "customer_360": customers, "contact_360": contacts}
@@ -251,14 +252,15 @@ def affected(before: Tables, batch: Tables, t: Tables, spark) -> DataFrame:
 
 
 def run_incremental(before: Tables, batch: Tables, t: Tables, as_of: Column, spark, names: DataFrame | None = None) -> Tables:
-    """before: the four tables (without contact_360: that is rebuilt); t: the sources with the batch in them. The rows of the
+    """before: the four tables, as stored (without contact_360: that is rebuilt); t: the sources with the batch in them. The rows of the
     customers that the batch can reach are computed anew by the functions of the full load and replace the old ones; all
     others stay as they are, with the counts of their last load. names: the affected customers, if they are stored already."""
     c = F.col
-    names = affected(before, batch, t, spark) if names is None else names
+    names = stored(affected(before, batch, t, spark), "affected") if names is None else names
     there = names.select(c("customer_name").alias("n"))
     kept = {k: before[k].join(there, c("customer_name") == c("n"), "left_anti") for k in before}
-    fresh = {"contact_mapping": contact_mapping(t, spark, names), "interaction_detail": interaction_detail(t, spark, names)}
+    made = {"contact_mapping": contact_mapping(t, spark, names), "interaction_detail": interaction_detail(t, spark, names)}
+    fresh = {k: stored(v, k) for k, v in made.items()}
     fresh["customer_360"] = customer_360(t, fresh["contact_mapping"], fresh["interaction_detail"], as_of, spark, only=names)
     out = {k: kept[k].unionByName(fresh[k].select(*before[k].columns)) for k in fresh}
     icp = anchor(source(t, "zhique_contact", spark))

@@ -8,6 +8,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.merge import upsert
+
 RANGES = {"gt": "__gt__", "gte": "__ge__", "lt": "__lt__", "lte": "__le__"}
 
 
@@ -86,3 +88,31 @@ def documents(rows: DataFrame, flags: tuple[str, ...] = (), arrays: tuple[str, .
 def pruned(index: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """The index without documents whose row is gone."""
     return index.join(rows.select(F.col(key).alias("__k")).distinct(), F.col(key) == F.col("__k"), "left_semi")
+
+
+def got(index: DataFrame, key: str, value: Any) -> DataFrame:
+    """The document of an id, if there is one."""
+    return index.filter(F.col(key) == value)
+
+
+def updated(index: DataFrame, docs: DataFrame, key: str) -> DataFrame:
+    """The index with partial documents written into it: their fields replace those of the document with their id (a null keeps
+    it), and documents that the index lacks are added."""
+    return upsert(index, docs, [key], [c for c in docs.columns if c != key])
+
+
+def deleted(index: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The index without the documents of these ids."""
+    return index.join(ids.select(F.col(key).alias("__k")), F.col(key) == F.col("__k"), "left_anti")
+
+
+def deleted_by_query(index: DataFrame, query: dict[str, Any]) -> DataFrame:
+    return index.filter(~compiled(query))
+
+
+def mirrored(index: DataFrame, rows: DataFrame, key: str, changed_at: str, last: Column, prune: bool = False) -> DataFrame:
+    """The index after an incremental mirror: rows changed past the last mark are upserted as documents, and with prune those whose
+    row is gone are dropped."""
+    fresh = rows.filter(F.col(changed_at) > last).select(*index.columns)
+    out = updated(index, fresh, key)
+    return pruned(out, rows, key) if prune else out

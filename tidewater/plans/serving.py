@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import scoring, text
+from ..functions import advice, scoring, text
 from ..operators import predicates as p
 from ..operators.merge import latest, page, top
 
@@ -159,3 +159,57 @@ def priority_contacts(contacts: DataFrame, as_of: Column, n: int = 3) -> DataFra
     parts = scoring.contact_parts(role, c("interaction_count_30d"), c("__most"), scoring.days_since(as_of, c("last_interaction_time")), c("mobile"), c("email"), c("department"), c("position"), c("intent_level") if "intent_level" in contacts.columns else F.lit(None).cast("string"))
     rows = rows.withColumn("rule_score", scoring.contact_score(parts, c("activity_level"))).drop("__most")
     return top(rows, ["customer_name"], [c("rule_score").desc(), c("contact_name").asc_nulls_last(), c("mobile").asc_nulls_last()], n)
+
+
+def priority_texts(contacts: DataFrame, customers: DataFrame, detail: DataFrame, as_of: Column, n: int = 3) -> DataFrame:
+    """The contacts of each customer to talk to first, with their high-value interactions (by name, else by mobile) and why, how and
+    with what words to approach them."""
+    c = F.col
+    first = priority_contacts(contacts, as_of, n)
+    high = detail.filter("is_high_value = 1")
+    by_name = high.groupBy(c("customer_name").alias("__c"), c("contact_name").alias("__n")).agg(F.count("*").alias("__by_name"))
+    by_mobile = high.groupBy(c("customer_name").alias("__d"), c("mobile").alias("__m")).agg(F.count("*").alias("__by_mobile"))
+    known = customers.select(c("customer_name").alias("__e"), "industry", "purchase_stage", "forecast_type")
+    rows = (
+        first.join(by_name, (c("customer_name") == c("__c")) & (c("contact_name") == c("__n")), "left")
+        .join(by_mobile, (c("customer_name") == c("__d")) & (c("mobile") == c("__m")), "left")
+        .join(known, c("customer_name") == c("__e"), "left")
+    )
+    named, reached = F.coalesce(text.is_filled(c("contact_name")), F.lit(False)), F.coalesce(text.is_filled(c("mobile")), F.lit(False))
+    count = F.coalesce(F.when(named, c("__by_name")).when(reached, c("__by_mobile")), F.lit(0))
+    recent = F.coalesce("interaction_count_30d", F.lit(0))
+    role = F.coalesce(F.nullif(c("role_category"), F.lit("")), c("purchase_role"), F.lit(""))
+    stage = advice.stage_of(c("purchase_stage"), c("forecast_type"))
+    case = advice.case_of(c("industry"), F.lit(None).cast("string"), F.lit(None).cast("string"))
+    return rows.select(
+        "customer_name", "contact_name", "mobile", "rank", "rule_score", count.alias("high_value_count"),
+        advice.reason(stage, recent, count).alias("reason"), advice.way(role, recent, count, c("email"), c("mobile")).alias("recommend_way"),
+        advice.script(c("contact_name"), stage, case).alias("recommend_script"),
+    )
+
+
+def top_stage(opps: DataFrame, key: str, stage: Column, none: str = "暂无数据") -> DataFrame:
+    """(key, stage): the most frequent stage of each customer's opportunities; of equally frequent ones the first by name."""
+    named = opps.select(key, F.coalesce(F.nullif(stage, F.lit("")), F.lit(none)).alias("stage"))
+    counts = named.groupBy(key, "stage").agg(F.count("*").alias("n"))
+    return latest(counts, [key], [F.col("n").desc(), F.col("stage")]).select(key, "stage")
+
+
+def enriched(names: DataFrame, customers: DataFrame, columns: list[str]) -> DataFrame:
+    """names (name; those of a page of candidates, at most PAGE_NAMES) with columns of their customer: by the exact name, and the others
+    by the first customer whose name contains theirs. The second round passes over customers once, with the names as one value."""
+    c = F.col
+    there = customers.select("customer_name", *columns)
+    exact = names.join(there, c("name") == c("customer_name"), "left")
+    rest = exact.filter(c("customer_name").isNull() & (c("name") != "")).select("name")
+    asked = rest.limit(PAGE_NAMES).agg(F.array_sort(F.collect_set("name")).alias("names")).scalar()
+    hit = F.filter("__names", lambda n: c("customer_name").contains(n))
+    like = there.withColumn("__names", asked).withColumn("name", F.explode(hit)).drop("__names")
+    first = latest(like, ["name"], [c("customer_name")])
+    spare = names.join(exact.filter(c("customer_name").isNotNull()).select(c("name").alias("__n")), c("name") == c("__n"), "left_anti")
+    found = spare.join(first.select(c("name").alias("__n"), "customer_name", *columns), c("name") == c("__n"), "left").drop("__n")
+    return exact.filter(c("customer_name").isNotNull()).unionByName(found)
+
+
+#: Names of a page of 100 candidates.
+PAGE_NAMES = 200

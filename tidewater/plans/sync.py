@@ -114,3 +114,25 @@ class Store:
 
     def history(self) -> DataFrame:
         return self.spark.read.schema("run string, details string").json(f"{self.path}/log")
+
+
+def stamped(batch: DataFrame, batch_id: int) -> DataFrame:
+    """The rows of a batch with its id, by which they are counted where they went."""
+    return batch.withColumn("sync_batch_id", F.lit(batch_id).cast("long"))
+
+
+def batch_counts(tables: dict[str, DataFrame], batch_id: int) -> DataFrame:
+    """(source_table, n): rows of a batch in all tables by the source they came from."""
+    out = None
+    for df in tables.values():
+        one = df.filter((F.col("sync_batch_id") == batch_id) & F.col("source_table").isNotNull()).select("source_table")
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("source_table").agg(F.count("*").alias("n"))
+
+
+def anything_new(interactions: DataFrame, contacts: DataFrame, scope: DataFrame, customers: DataFrame) -> bool:
+    """Whether aggregates have to be built anew: new interactions, contacts, or customers in scope that have no row."""
+    if not interactions.isEmpty() or not contacts.isEmpty():
+        return True
+    there = customers.select(F.col("customer_name").alias("__c"))
+    return not scope.join(there, F.col("customer_name") == F.col("__c"), "left_anti").isEmpty()

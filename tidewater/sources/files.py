@@ -68,3 +68,32 @@ def export_frame(rows: DataFrame, columns=EXPORT, order: list[Column] | None = N
 def write_export(frame: DataFrame, path: str) -> None:
     """One CSV file with a header; an export has few rows."""
     frame.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+#: Columns of exports of the other tables.
+EXPORTS = {
+    "customer_360": EXPORT,
+    "contact_360": (
+        ("contact_name", "联系人姓名"), ("mobile", "手机号"), ("email", "邮箱"), ("department", "部门"), ("position", "职位"), ("purchase_role", "采购角色"), ("role_category", "角色类别"),
+        ("interaction_count", "总互动次数"), ("interaction_count_30d", "近30天互动"), ("last_interaction_time", "最近互动时间"), ("activity_level", "活跃度"),
+    ),
+    "contact_mapping": (
+        ("customer_name", "客户公司"), ("contact_name", "联系人姓名"), ("mobile", "手机号"), ("email", "邮箱"), ("department", "部门"), ("position", "职位"),
+        ("purchase_role", "采购角色"), ("role_category", "角色类别"), ("source_table", "来源表"),
+    ),
+    "interaction_detail": (
+        ("customer_name", "客户公司"), ("contact_name", "联系人"), ("mobile", "手机号"), ("source_table", "来源表"), ("channel", "互动渠道"),
+        ("behavior_type", "行为类型"), ("content", "互动内容"), ("event_time", "互动时间"), ("is_high_value", "高价值"),
+    ),
+}
+TABLE_ROWS = 10_000
+
+
+def export_table(rows: DataFrame, table: str, order: list[Column], most: int = TABLE_ROWS) -> DataFrame:
+    """The export of one of the four tables, in a total order."""
+    return export_frame(rows, EXPORTS[table], order, most)
+
+
+def sampled(rows: DataFrame, key: str, n: int = 1000, seed: int = 7) -> DataFrame:
+    """All rows of a small table, else n of it by a seeded order of the key: a sample for a dump."""
+    return rows.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)

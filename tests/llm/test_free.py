@@ -446,6 +446,18 @@ def test_repeats_of_random_splices(docs_of):
     assert got == brute_spans([(i, t) for i, t, *_ in rows])
 
 
+def test_repeats_of_a_hot_passage(docs_of, monkeypatch):
+    """A passage that half of the documents have, alone or among other words, met by a broadcast."""
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(common, "HOT_KEYS", 3)
+    rnd = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(70))
+    other = lambda n: " ".join(str(rnd.random()) for _ in range(n))
+    rows = [(i, passage if i % 4 == 0 else f"{other(20)} {passage} {other(30)}" if i % 4 == 1 else other(90), "en", "a") for i in range(60)]
+    got = {(r.doc_id, r.start_word, r.end_word) for r in repeats.spans(docs_of(rows), chars=False).collect()}
+    assert got == brute_spans([(i, t) for i, t, *_ in rows])
+
+
 def test_repeats_of_odd_rows(odd, docs_of):
     assert repeats.spans(odd).count() == 0 and repeats.spans(odd.limit(0)).count() == 0
     p = " ".join(f"p{i}" for i in range(60))
@@ -483,7 +495,8 @@ def test_pipeline(spark, corpus, sf_dir, coder):
         else:
             times = Counter(r.doc_id for r in new)
             plan = {r.doc_id: r for r in mixing.plan_mix(before).collect()}
-            assert all(times[k] == r.epochs + (r.part > 0) if r.size else times[k] == 0 for k, r in plan.items())
+            assert all(times[k] == r.epochs + (r.part > 0 and 2 * r.part >= r.size) if r.size else times[k] == 0 for k, r in plan.items())
+            assert all(r.text == old[r.doc_id] for r in new)
     _, sp = coder
     want = Counter((r.doc_id, tuple(sp.encode(r.text))) for r in docs.collect())
     assert Counter((r.doc_id, tuple(r.ids)) for r in c.sentence_pieces(spark, docs, sf_dir).collect()) == want

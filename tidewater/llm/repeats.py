@@ -12,8 +12,8 @@ by one by a 128-bit hash; two documents stand for all that agree around a seed.
 are found exactly, shorter ones are not reported, and a third document that shares only one side of a passage can't
 hide it. Matched windows that touch make a span.
 
-Every comparison is a count with partial aggregates, so neither a passage in a third of all documents nor a large group
-of copies gathers in one task; texts are shuffled once, to meet the seeds whose windows are compared.
+Every comparison is a count with partial aggregates, and passages that very many documents have meet their counts by a broadcast
+of a bounded number of keys, so neither a passage in a third of all documents nor a large group of copies gathers in one task; texts are shuffled once, to meet the seeds whose windows are compared.
 
 Cases: null and empty texts have no words and no spans; rows equal in id and text are one document; a passage that only
 repeats within one document is not reported; null ids are told apart by text; an empty table gives an empty
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, written
+from .common import dropped, exact, join_hot, written
 
 LENGTH = 50
 WINDOW = 35
@@ -108,7 +108,8 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
 
     length: the least number of words; more than WINDOW + GRAM."""
     prefix = length - WINDOW + 1
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.lit(1), F.col(text_col)).alias("uid"))
+    doc_id, text = exact(id_col), exact(text_col)
+    rows = docs.select(doc_id.cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(doc_id, F.lit(1), text).alias("uid"))
     rows = rows.filter(F.octet_length("text") >= 2 * length - 1)  # fewer bytes than that are fewer words
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,16 +129,22 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
 
     sparse = written(rows.select("uid", "text").mapInArrow(suffixes, "uid bigint, key bigint, around bigint, a int, b int"), "repeat-suffixes")
     lo_hi = lambda lo, hi: (F.min(lo).alias("lo"), F.max(hi).alias("hi"))
-    contexts = written(sparse.groupBy("key", "around").agg(*lo_hi("uid", "uid")), "repeat-contexts")
-    keys = contexts.groupBy(F.col("key").alias("__key")).agg(*[c.alias(f"__{n}") for n, c in zip(("lo", "hi"), lo_hi("lo", "hi"), strict=True)], F.count("*").alias("n")).filter("__lo <> __hi")
+    contexts = written(sparse.groupBy("key", "around").agg(*lo_hi("uid", "uid"), F.count("*").alias("rows")), "repeat-contexts")
+    ends = [c.alias(f"__{n}") for n, c in zip(("lo", "hi"), lo_hi("lo", "hi"), strict=True)]
+    keys = contexts.groupBy(F.col("key").alias("__key")).agg(*ends, F.count("*").alias("n")).filter("__lo <> __hi")
+    keys = written(keys, "repeat-keys")
     # whole: the same words around the seed in another document, so all its windows repeat; windows: the key has
     # other words around it elsewhere, so its windows are compared one by one (of equal contexts, two stand for all)
-    judged = contexts.join(keys, F.col("key") == F.col("__key")).select(F.col("key").alias("__k"), F.col("around").alias("__around"), "lo", "hi", (F.col("lo") != F.col("hi")).alias("whole"), (F.col("n") > 1).alias("mixed"))
+    judged = join_hot(contexts, keys, F.col("key") == F.col("__key"), "n", contexts.count())
+    whole, mixed = (F.col("lo") != F.col("hi")).alias("whole"), (F.col("n") > 1).alias("mixed")
+    judged = judged.select(F.col("key").alias("__k"), F.col("around").alias("__around"), "lo", "hi", "rows", whole, mixed)
     judged = written(judged, "repeat-judged")
-    dropped(contexts)
-    seeds = sparse.join(judged, (F.col("key") == F.col("__k")) & (F.col("around") == F.col("__around")))
+    dropped(contexts, keys)
+    same = (F.col("key") == F.col("__k")) & (F.col("around") == F.col("__around"))
+    seeds = join_hot(sparse, judged, same, "rows", sparse.count())
     sent = F.col("mixed") & (~F.col("whole") | (F.col("uid") == F.col("lo")) | (F.col("uid") == F.col("hi")))
-    seeds = written(seeds.select("uid", "a", "b", "whole", sent.alias("sent"), (F.col("whole") & (F.col("uid") == F.col("lo"))).alias("first")), "repeat-seeds")
+    first = (F.col("whole") & (F.col("uid") == F.col("lo"))).alias("first")
+    seeds = written(seeds.select("uid", "a", "b", "whole", sent.alias("sent"), first), "repeat-seeds")
     dropped(sparse, judged)
     ranges = seeds.filter("sent").groupBy(F.col("uid").alias("__uid")).agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
 
@@ -155,12 +162,14 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
 
     meeting = rows.join(ranges, F.col("uid") == F.col("__uid")).select("uid", "text", "ranges")
     every = written(meeting.mapInArrow(windows, "uid bigint, at int, h1 bigint, h2 bigint"), "repeat-windows")
-    shared = every.groupBy("h1", "h2").agg(*lo_hi("uid", "uid")).filter("lo <> hi").select("h1", "h2", "lo")
-    single = every.join(shared, ["h1", "h2"]).select("uid", F.col("at").alias("a"), F.col("at").alias("b"), (F.col("uid") == F.col("lo")).alias("first"))
+    shared = every.groupBy(F.col("h1").alias("__h1"), F.col("h2").alias("__h2")).agg(*lo_hi("uid", "uid"), F.count("*").alias("rows")).filter("lo <> hi")
+    shared = written(shared.drop("hi"), "repeat-shared")
+    met = join_hot(every, shared, (F.col("h1") == F.col("__h1")) & (F.col("h2") == F.col("__h2")), "rows", every.count())
+    single = met.select("uid", F.col("at").alias("a"), F.col("at").alias("b"), (F.col("uid") == F.col("lo")).alias("first"))
     marks = seeds.filter("whole").select("uid", "a", "b", "first").unionByName(single)
     marks = marks.groupBy(F.col("uid").alias("__uid")).agg(F.array_sort(F.collect_list(F.struct("a", "b", "first"))).alias("marks"))
     marks = written(marks, "repeat-marks")
-    dropped(every, seeds)
+    dropped(every, seeds, shared)
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

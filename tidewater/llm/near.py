@@ -281,15 +281,42 @@ def verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return alike
 
 
-def links(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """rows (row, sig, text: a written table, no two with one sig) to (a, b): all pairs of rows at least 4/5 alike whose
-    roots (node, root: a written table of what is connected already) are not the same."""
+Order = tuple[np.ndarray, np.ndarray]
+
+
+def rooted(rows: DataFrame, roots: DataFrame, order: Order) -> DataFrame:
+    """The postings of rows (row, text) with the root of each row in roots (node, root: a written table), or its own number."""
     known = roots.select(F.col("node").alias("__node"), F.col("root").alias("__root"))
     if roots.count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
-    posts = posted(rows.select("row", "text"), *frequent(rows)).join(known, F.col("row") == F.col("__node"), "left")
-    posts = posts.select("key", "row", "n", F.coalesce("__root", "row").alias("root"))
-    pairs = written(candidates(posts), "near-pairs")
+    posts = posted(rows.select("row", "text"), *order).join(known, F.col("row") == F.col("__node"), "left")
+    return posts.select("key", "row", "n", F.coalesce("__root", "row").alias("root"))
+
+
+def stars(rows: DataFrame, roots: DataFrame, order: Order) -> DataFrame:
+    """Verified pairs (a, b) of each row with the first that posts the same shingle and has another root: as many candidates as
+    postings at most, which connect most of a large group of near copies before all its pairs are looked at."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (k, r, n, root) in in_groups(batches, ("key", "row", "n", "root"), CROWD):
+            by = np.lexsort((r, k))
+            k, r, n, root = k[by], r[by], n[by], root[by]
+            starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.empty(0, np.int64)
+            first = np.repeat(starts, np.diff(np.r_[starts, len(k)]))
+            fit = (root != root[first]) & (5 * np.minimum(n, n[first]) >= 4 * np.maximum(n, n[first]))
+            yield pa.RecordBatch.from_arrays([pa.array(r[first][fit]), pa.array(r[fit])], ["a", "b"])
+
+    pairs = rooted(rows, roots, order).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
+    pairs = written(pairs, "near-stars")
+    found = verified(rows, pairs)
+    dropped(pairs)
+    return found
+
+
+def links(rows: DataFrame, roots: DataFrame, order: Order) -> DataFrame:
+    """rows (row, sig, text: a written table, no two with one sig) to (a, b): all pairs of rows at least 4/5 alike whose
+    roots (node, root: a written table of what is connected already) are not the same."""
+    pairs = written(candidates(rooted(rows, roots, order)), "near-pairs")
     found = verified(rows, pairs)
     dropped(pairs)
     return found

@@ -293,21 +293,23 @@ def rooted(rows: DataFrame, roots: DataFrame, order: Order) -> DataFrame:
     return posts.select("key", "row", "n", F.coalesce("__root", "row").alias("root"))
 
 
-def stars(rows: DataFrame, roots: DataFrame, order: Order) -> DataFrame:
-    """Verified pairs (a, b) of each row with the first that posts the same shingle and has another root: as many candidates as
-    postings at most, which connect most of a large group of near copies before all its pairs are looked at."""
+def chains(rows: DataFrame, roots: DataFrame, order: Order) -> DataFrame:
+    """Verified pairs (a, b) of rows that are neighbours among those that post a shingle, in an order that differs from shingle to
+    shingle, and have different roots: as many candidates as postings at most, which connect most of a large group of near
+    copies before all its pairs are looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, (k, r, n, root) in in_groups(batches, ("key", "row", "n", "root"), CROWD):
-            by = np.lexsort((r, k))
+            h = (r ^ k).view(np.uint64) * _MIX
+            by = np.lexsort(((h ^ h >> np.uint64(29)) * _MIX, k))
             k, r, n, root = k[by], r[by], n[by], root[by]
-            starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.empty(0, np.int64)
-            first = np.repeat(starts, np.diff(np.r_[starts, len(k)]))
-            fit = (root != root[first]) & (5 * np.minimum(n, n[first]) >= 4 * np.maximum(n, n[first]))
-            yield pa.RecordBatch.from_arrays([pa.array(r[first][fit]), pa.array(r[fit])], ["a", "b"])
+            x, y = slice(None, -1), slice(1, None)
+            fit = (k[x] == k[y]) & (root[x] != root[y]) & (5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y]))
+            a, b = np.minimum(r[x], r[y])[fit], np.maximum(r[x], r[y])[fit]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     pairs = rooted(rows, roots, order).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
-    pairs = written(pairs, "near-stars")
+    pairs = written(pairs, "near-chains")
     found = verified(rows, pairs)
     dropped(pairs)
     return found

@@ -280,7 +280,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     five-word shingles), with its columns: the one with the least id (null last), of rows with one id the first stored.
 
     Equal sets fall together first. SimHash and BK-trees then propose pairs, which are verified and connect most near
-    copies by a forest, near.stars most of the others; near.links finds, without loss, what else is 4/5 alike between
+    copies by a forest, near.chains most of the others; near.links finds, without loss, what else is 4/5 alike between
     different components. The choice is a
     minimum from partial aggregates, so a large component is no large task."""
     rows = near.signed(docs, docs.columns).withColumn("row", F.monotonically_increasing_id())
@@ -295,7 +295,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     close = written(close, "dedup-verified")
     roots = written(components(close), "dedup-first-roots")
     order = near.frequent(texts)
-    close = close.unionByName(near.stars(texts, roots, order))
+    close = close.unionByName(near.chains(texts, roots, order))
     roots = written(components(close), "dedup-second-roots")
     alike = close.unionByName(near.links(texts, roots, order))
     roots = written(components(alike), "dedup-roots")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, mixing, ngram, pieces, quality, repeats, secrets, sharding, simhash, urls
+from . import divergence, manifest, media, mixing, ngram, pieces, quality, repeats, secrets, sharding, simhash, urls
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_urls": urls.op8_urls,
     "op9_quality": quality.op9_quality,
     "op10_repeats": repeats.op10_repeats,
+    "op11_divergence": divergence.op11_divergence,
+    "op13_manifest": manifest.op13_manifest,
 }
 
 ORACLES = {
     "op1_mix": mixing.ORACLE,
     "op4_secrets": secrets.ORACLE,
     "op9_quality": quality.ORACLE,
+    "op11_divergence": divergence.ORACLE,
+    "op13_manifest": manifest.ORACLE,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import divergence, manifest, media, mixing, ngram, pieces, quality, repeats, secrets, sharding, simhash, urls
+from . import divergence, manifest, media, mixing, ngram, pieces, quality, repeats, secrets, sharding, simhash, toxicity, urls
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_repeats": repeats.op10_repeats,
     "op11_divergence": divergence.op11_divergence,
+    "op12_toxicity": toxicity.op12_toxicity,
     "op13_manifest": manifest.op13_manifest,
 }
 

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..functions.text import normalize_name
+from ..sources.shared import stored
 from .merge import latest, top, without_known_pairs
+from .nearest import Index
 
 #: Similarity of pairs whose normalised names are equal.
 EXACT = 0.98
@@ -37,6 +39,35 @@ def hashed_vector(name: Column, size: int = 64) -> Column:
     return let(F.struct(counts.alias("v")), lambda c: let(length(c["v"]), lambda n: F.transform(c["v"], lambda x: F.when(n > 0, x / n).otherwise(0.0))))
 
 
+def gram_vectors(names: DataFrame, column: str = "name", size: int = 64) -> DataFrame:
+    """(id, v) of names (id, <column>): how many of a name's character n-grams (2 to 4) each of size places has, by the first 32
+    bits of their MD5, so other engines compute the same. Null counts as empty."""
+
+    def run(batches):
+        import hashlib
+
+        import numpy as np
+        import pyarrow as pa
+
+        place: dict[str, int] = {}
+        for batch in batches:
+            out = np.zeros((batch.num_rows, size))
+            for row, name in zip(out, batch.column("name").to_pylist(), strict=True):
+                for n in (2, 3, 4):
+                    for i in range(len(name) - n + 1):
+                        gram = name[i : i + n]
+                        at = place.get(gram)
+                        if at is None:
+                            if len(place) >= 200_000:
+                                place.clear()
+                            at = place[gram] = int(hashlib.md5(gram.encode()).hexdigest()[:8], 16) % size
+                        row[at] += 1
+            yield pa.record_batch([batch.column("id"), pa.array(list(out), pa.list_(pa.float64()))], names=["id", "v"])
+
+    kind = names.schema["id"].dataType.simpleString()
+    return names.select("id", F.coalesce(column, F.lit("")).alias("name")).mapInArrow(run, f"id {kind}, v array<double>")
+
+
 def exact_pairs(names: DataFrame) -> DataFrame:
     """(a, b, similarity) of names (id, norm) with equal normal forms."""
     right = names.select(F.col("id").alias("b"), F.col("norm").alias("n2"))
@@ -137,7 +168,9 @@ BITS, TABLES = 8, 48
 def nearest_pairs(vectors: DataFrame, threshold: float = SIMILAR, k: int = 50, bits: int = BITS, tables: int = TABLES, block: int = BLOCK) -> DataFrame:
     """(a, b, similarity): of each vector the k most alike at threshold or more (either of the two may be among the other's), from
     vectors that share a bucket: the signs of `bits` random projections, the same in every run, in one of `tables`. Crowded
-    buckets are cut into blocks that meet two by two, so no group is large and no row is left out."""
+    buckets are cut into blocks that meet two by two, so no group is large and no row is left out. Where a vector has more than k
+    others at the threshold, the further ones are not returned. The number of buckets is fixed, so each vector meets the
+    same share of all others: the index of `nearest`, which candidates use, meets a fixed number of them."""
     first = vectors.select(F.size("v").alias("n")).first()
     if first is None:
         return vectors.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("similarity")).limit(0)
@@ -178,12 +211,33 @@ def blocked_pairs(names: DataFrame, block: Column) -> DataFrame:
 
 
 def evidence(pairs: DataFrame, contacts: DataFrame) -> DataFrame:
-    """pairs (a, b) with shared (phones and emails that both have) and evidence_score. contacts: (company, kind, value)."""
-    c = contacts.filter("value IS NOT NULL AND value <> ''").select("company", "kind", "value").distinct()
-    left = pairs.select("a", "b").join(c, F.col("a") == F.col("company")).select("a", "b", "kind", "value")
-    right = c.select(F.col("company").alias("__b"), F.col("kind").alias("__k"), F.col("value").alias("__v"))
-    shared = left.join(right, (F.col("b") == F.col("__b")) & (F.col("kind") == F.col("__k")) & (F.col("value") == F.col("__v"))).groupBy("a", "b").agg(F.count("*").alias("shared"))
-    out = pairs.join(shared, ["a", "b"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    """pairs (a, b) with shared (phones and emails that both have), evidence_score and shared_contacts, the (name, value, kind)
+    of what is shared, phones first, each name once. contacts: (company, kind, value), and if there are names also (name, ord);
+    a value is called by its first name in that order that is not blank, or else by itself.
+
+    The values of the company of a pair that has fewer are looked up among those of the other one, by company and value at
+    once: a switchboard number that many companies have is no key of its own, and a company with very many values is asked and
+    doesn't ask, so that the work is that of the smaller sides."""
+    named = "name" in contacts.columns
+    c = contacts.filter("value IS NOT NULL AND value <> ''")
+    own = c.select("company", "kind", "value").distinct()
+    size = own.groupBy(F.col("company").alias("__of")).agg(F.count("*").alias("__n"))
+    of = lambda side: size.select(F.col("__of").alias(f"__of_{side}"), F.col("__n").alias(f"__n_{side}"))
+    sized = pairs.select("a", "b").join(of("a"), F.col("a") == F.col("__of_a")).join(of("b"), F.col("b") == F.col("__of_b"))
+    fewer = F.col("__n_a") <= F.col("__n_b")
+    asks = sized.select("a", "b", F.when(fewer, F.col("a")).otherwise(F.col("b")).alias("__asks"), F.when(fewer, F.col("b")).otherwise(F.col("a")).alias("__other"))
+    asked = asks.join(own, F.col("__asks") == F.col("company")).select("a", "b", "__other", "kind", "value")
+    there = own.select(F.col("company").alias("__c"), F.col("kind").alias("__k"), F.col("value").alias("__v"))
+    met = asked.join(there, (F.col("__other") == F.col("__c")) & (F.col("kind") == F.col("__k")) & (F.col("value") == F.col("__v")), "left_semi")
+    if named:
+        called = c.filter("trim(name) <> ''").groupBy(F.col("kind").alias("__k"), F.col("value").alias("__v")).agg(F.min_by(F.trim("name"), F.struct("ord", F.trim("name"))).alias("name"))
+        met = met.join(called, (F.col("kind") == F.col("__k")) & (F.col("value") == F.col("__v")), "left")
+    name = F.coalesce("name", "value") if named else F.col("value")
+    item = F.struct((F.col("kind") != "phone").alias("later"), F.col("value").alias("value"), F.col("kind").alias("kind"), name.alias("name"))
+    shared = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.sort_array(F.collect_list(item)).alias("items"))
+    first = F.filter("items", lambda x, i: F.forall(F.slice("items", F.lit(1), i), lambda y: y["name"] != x["name"]))
+    shared = shared.select(F.col("a").alias("__a"), F.col("b").alias("__b"), "shared", F.transform(first, lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value"), x["kind"].alias("kind"))).alias("shared_contacts"))
+    out = pairs.join(shared, (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b")), "left").drop("__a", "__b").withColumn("shared", F.coalesce("shared", F.lit(0)))
     return out.withColumn("evidence_score", scoring.evidence_score(F.col("shared")))
 
 
@@ -193,22 +247,56 @@ def scored(pairs: DataFrame) -> DataFrame:
     return out.withColumn("status", scoring.triage(F.col("match_score")))
 
 
-def candidate_pairs(names: DataFrame, threshold: float = SIMILAR, exact: bool = False) -> DataFrame:
+#: Most alike names of each that are candidates.
+NEAREST = 50
+
+
+def candidate_pairs(names: DataFrame, threshold: float = SIMILAR, exact: bool = False, k: int = NEAREST) -> DataFrame:
     """(a, b, norm_a, norm_b, similarity) of names (id, name, norm), each pair of all companies once: equal normal forms, and
-    names whose hashed vectors are at least threshold alike, of each the nearest. exact: all pairs are compared and kept."""
-    vectors = names.select("id", hashed_vector(F.lower("name")).alias("v"))
-    near = similar_pairs(vectors, threshold) if exact else nearest_pairs(vectors, threshold)
+    names of which one is among the k nearest of the other with vectors at least threshold alike, found by the index of nearest.
+
+    Where a name has more than k others at the threshold, the further ones are not candidates (the k is that of the task, and keeps the
+    result linear in the names); exact=True compares all pairs and keeps every one at the threshold. Of names with
+    equal vectors the one with the smallest id stands for the others, which are linked to it."""
+    vectors = gram_vectors(names.select("id", F.lower("name").alias("name")))
+    if exact:
+        near = similar_pairs(vectors, threshold)
+    else:
+        index = Index(vectors)
+        copies = index.members.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+        near = index.pairs(k, threshold).unionByName(copies)
     pairs = exact_pairs(names).unionByName(near).groupBy("a", "b").agg(F.max_by("similarity", F.col("similarity") == EXACT).alias("similarity"))
     of = lambda c: names.select(F.col("id").alias(f"__{c}"), F.col("norm").alias(f"norm_{c}"))
     return pairs.join(of("a"), F.col("a") == F.col("__a")).join(of("b"), F.col("b") == F.col("__b")).select("a", "b", "norm_a", "norm_b", "similarity")
 
 
+def scored_pairs(companies: DataFrame, contacts: DataFrame, threshold: float = SIMILAR, exact: bool = False) -> DataFrame:
+    """All candidates of companies (id, name), a stored table: similarity, shared contacts, scores, and the status (null: dropped)."""
+    names = stored(companies.select("id", F.coalesce("name", F.lit("")).alias("name"), normalize_name(F.col("name")).alias("norm")), "dedup-names")
+    pairs = stored(candidate_pairs(names, threshold, exact), "dedup-pairs")
+    return stored(scored(evidence(pairs, contacts)), "dedup-scored")
+
+
 def run(companies: DataFrame, contacts: DataFrame, known: DataFrame | None, threshold: float = SIMILAR, exact: bool = False) -> DataFrame:
-    """From companies (id, name) to the review candidates that known lacks: candidates, shared contacts, scores, triage."""
-    names = companies.select("id", F.coalesce("name", F.lit("")).alias("name"), normalize_name(F.col("name")).alias("norm"))
-    pairs = candidate_pairs(names, threshold, exact)
-    out = scored(evidence(pairs, contacts)).filter("status IS NOT NULL")
-    return without_known_pairs(out, known, "a", "b") if known is not None else out
+    """From companies (id, name) to the review candidates that known lacks, the most similar first: candidates, shared
+    contacts, scores, triage."""
+    return candidates(scored_pairs(companies, contacts, threshold, exact), known)
+
+
+def candidates(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Of scored pairs those for review that known lacks, the most similar first."""
+    out = pairs.filter("status IS NOT NULL")
+    out = without_known_pairs(out, known, "a", "b") if known is not None else out
+    return out.orderBy(F.col("similarity").desc(), "a", "b")
+
+
+def report(companies: DataFrame, pairs: DataFrame, known: DataFrame | None) -> DataFrame:
+    """One row on a run: companies, pairs found, those of each status (known ones too), new ones, and the mean of the scores."""
+    new = candidates(pairs, known).agg(F.count("*").alias("new_pairs_found"))
+    of = lambda status: F.count(F.when(F.col("status") == status, 1)).alias(status)
+    mean = lambda c: F.round(F.avg(c), 2).alias(f"avg_{c}")
+    found = pairs.agg(F.count("*").alias("pairs_found"), of("auto_merged"), of("need_review"), *map(mean, ("rule_score", "evidence_score", "match_score")))
+    return companies.agg(F.count("*").alias("total_companies")).join(found).join(new)  # one row each
 
 
 def rescan(candidates: DataFrame) -> DataFrame:

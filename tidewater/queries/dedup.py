@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, text
 from ..operators import dedup
+from ..operators.nearest import Index
 from ..sources.roles import customers, table
 from .registry import query
 
@@ -72,40 +73,114 @@ def nearest_neighbours(spark, d):
 
 @query()
 def lsh_candidates(spark, d):
-    """Pairs of names by random projections; which pairs share a bucket is not SQL, a test measures recall against all pairs."""
+    """Pairs of part names by random projections, of each only the fifty most alike: many parts have the same name here, so that this is
+    about a fifth of all pairs at 0.70 or more. similar_names has all of them, nearest_names the fifty by the index of cells. Which
+    pairs share a bucket is not SQL."""
     return dedup.nearest_pairs(names(spark, d).select("id", dedup.hashed_vector(C("norm")).alias("v")))
 
 
-_CON = "k AS (SELECT o_custkey AS company, 'phone' AS kind, (o_orderkey % 5000)::VARCHAR AS value FROM orders UNION SELECT o_custkey, 'email', o_orderpriority || (o_orderkey % 700) FROM orders)"
-_CP = "cp AS (SELECT a.c_custkey AS a, b.c_custkey AS b, lower(a.c_name) AS x0, lower(b.c_name) AS y0 FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey < b.c_custkey)"
-_EVID = f"WITH {_CON}, {_CP}, e AS (SELECT cp.a, cp.b, count(y.company) AS shared FROM cp LEFT JOIN (k x JOIN k y ON x.kind = y.kind AND x.value = y.value) ON x.company = cp.a AND y.company = cp.b GROUP BY 1, 2)"
+_K = f"{dedup.NEAREST}"
+_VECTORS = """g AS (SELECT id, substr(nm, i, k) AS gram FROM (SELECT id, nm, k, unnest(range(1, length(nm) - k + 2)) AS i FROM n, (SELECT unnest([2, 3, 4]) AS k))),
+pl AS (SELECT id, ('0x' || substr(md5(gram), 1, 8))::BIGINT % 64 AS p, count(*)::DOUBLE AS c FROM g GROUP BY 1, 2),
+v AS (SELECT n.id, list(coalesce(c, 0) ORDER BY z.p) AS v FROM n CROSS JOIN (SELECT unnest(range(64)) AS p) z LEFT JOIN pl ON pl.id = n.id AND pl.p = z.p GROUP BY n.id),
+reps AS (SELECT min(id) AS id, v FROM v GROUP BY v),
+sim AS (SELECT a.id AS a, b.id AS b, round(coalesce(nullif(list_cosine_similarity(a.v, b.v), 'nan'), 0), 9) AS s FROM reps a JOIN reps b ON a.id <> b.id)"""
+_TOP = f"(SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rank FROM sim) WHERE rank <= {_K}"
+
+
+@query(f"{_NAMES}, d AS (SELECT min(id) AS id, norm AS nm FROM n GROUP BY norm), {_VECTORS.replace('FROM n,', 'FROM d,').replace('FROM n CROSS', 'FROM d n CROSS')} SELECT a, b, round(s, 6) AS similarity, rank::INT AS rank FROM {_TOP}")
+def nearest_names(spark, d):
+    """Of each different name the fifty most alike, fifty being the feature; the index is exact for up to 8000 names."""
+    distinct = names(spark, d).groupBy("norm").agg(F.min("id").alias("id"))
+    found = Index(dedup.gram_vectors(distinct, "norm")).neighbours(dedup.NEAREST)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"{_NAMES}, d AS (SELECT min(id) AS id, norm AS nm FROM n GROUP BY norm), {_VECTORS.replace('FROM n,', 'FROM d,').replace('FROM n CROSS', 'FROM d n CROSS')} SELECT a, b, round(s, 6) AS similarity FROM sim WHERE a < b AND s >= 0.7")
+def similar_names(spark, d):
+    """All pairs of different names that are alike, however many a name has."""
+    distinct = names(spark, d).groupBy("norm").agg(F.min("id").alias("id"))
+    return dedup.similar_pairs(dedup.gram_vectors(distinct, "norm"), dedup.SIMILAR).withColumn("similarity", F.round(F.round("similarity", 9), 6))
+
+
+@query("SELECT a, b, round(s, 6) AS similarity, rank FROM (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) DESC, b.vec_id)::INT AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) WHERE rank <= 50")
+def indexed_neighbours(spark, d):
+    """The fifty vectors most like each by the index, fifty being the feature; exact for up to 8000 vectors."""
+    v = table(spark, d, "embeddings").select(C("vec_id").alias("id"), C("embedding").alias("v"))
+    return Index(v).neighbours(50).withColumn("similarity", F.round("similarity", 6))
+
+
+_CON = "c AS (SELECT o_custkey AS company, 'phone' AS kind, (o_orderkey % 5000)::VARCHAR AS value, CASE WHEN o_orderstatus = 'O' THEN ' ' ELSE o_orderstatus || floor(o_totalprice)::BIGINT END AS name, o_orderkey AS ord FROM orders UNION ALL SELECT o_custkey, 'email', o_orderpriority || (o_orderkey % 700), o_orderpriority, o_orderkey FROM orders), k AS (SELECT DISTINCT company, kind, value FROM c), nm AS (SELECT kind, value, arg_min(trim(name), ord) AS name FROM c WHERE trim(name) <> '' GROUP BY 1, 2)"
+_COMPANY = f"""WITH n AS (SELECT c_custkey AS id, lower(c_name) AS nm FROM customer), {_VECTORS},
+cp AS (SELECT a, b, max(s) AS similarity, replace(x.nm, '#', ' ') AS x, replace(y.nm, '#', ' ') AS y FROM (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, s FROM {_TOP} AND s >= 0.7
+    UNION SELECT reps.id, v.id, 1.0 FROM v JOIN reps USING (v) WHERE v.id <> reps.id) JOIN n x ON x.id = a JOIN n y ON y.id = b GROUP BY ALL)"""
+_EVID = f"""{_COMPANY}, {_CON}, m AS (SELECT cp.a, cp.b, x.kind, x.value, coalesce(nm.name, x.value) AS name FROM cp JOIN k x ON x.company = cp.a JOIN k y ON y.company = cp.b AND x.kind = y.kind AND x.value = y.value LEFT JOIN nm ON nm.kind = x.kind AND nm.value = x.value),
+o AS (SELECT *, row_number() OVER (PARTITION BY a, b, name ORDER BY kind DESC, value) AS nth FROM m),
+e AS (SELECT cp.a, cp.b, count(o.kind) AS shared, string_agg(o.kind || ':' || o.value || '=' || o.name, ',' ORDER BY o.kind DESC, o.value) FILTER (nth = 1) AS shared_contacts FROM cp LEFT JOIN o ON o.a = cp.a AND o.b = cp.b GROUP BY 1, 2)"""
+
+
+def companies(spark, d):
+    return customers(spark, d).select("id", C("customer_name").alias("name"))
 
 
 def company_pairs(spark, d):
-    c = customers(spark, d).select("id", text.normalize_name(C("customer_name")).alias("norm"), "nation", "industry")
-    return dedup.blocked_pairs(c, F.concat_ws("|", "nation", "industry"))
+    """Candidate pairs of all companies."""
+    return dedup.candidate_pairs(companies(spark, d).withColumn("norm", text.normalize_name(C("name"))))
 
 
 def company_contacts(spark, d):
     o = table(spark, d, "orders")
-    return o.selectExpr("o_custkey AS company", "'phone' AS kind", "CAST(o_orderkey % 5000 AS STRING) AS value").union(o.selectExpr("o_custkey", "'email'", "concat(o_orderpriority, o_orderkey % 700)"))
+    phones = o.selectExpr("o_custkey AS company", "'phone' AS kind", "CAST(o_orderkey % 5000 AS STRING) AS value", "CASE WHEN o_orderstatus = 'O' THEN ' ' ELSE concat(o_orderstatus, CAST(floor(o_totalprice) AS BIGINT)) END AS name", "o_orderkey AS ord")
+    return phones.union(o.selectExpr("o_custkey", "'email'", "concat(o_orderpriority, o_orderkey % 700)", "o_orderpriority", "o_orderkey"))
 
 
-@query(f"{_EVID} SELECT a, b, shared, least(100.0::DOUBLE, 20.0::DOUBLE * shared) AS evidence_score FROM e")
+def _contacts_text():
+    return F.nullif(F.array_join(F.transform("shared_contacts", lambda x: F.concat(x["kind"], F.lit(":"), x["value"], F.lit("="), x["name"])), ","), F.lit("")).alias("shared_contacts")
+
+
+@query(f"{_EVID} SELECT a, b, shared, least(100.0::DOUBLE, 20.0::DOUBLE * shared) AS evidence_score, shared_contacts FROM e")
 def evidence_shared(spark, d):
-    return dedup.evidence(company_pairs(spark, d).select("a", "b"), company_contacts(spark, d)).withColumn("evidence_score", C("evidence_score").cast("double"))
+    """What the candidates of all companies have in common."""
+    out = dedup.evidence(company_pairs(spark, d).select("a", "b"), company_contacts(spark, d))
+    return out.select("a", "b", "shared", C("evidence_score").cast("double").alias("evidence_score"), _contacts_text())
+
+
+_FIN = f"""{_EVID}, r AS (SELECT a, b, x, y, similarity, shared, shared_contacts, least(100.0::DOUBLE, 20.0::DOUBLE * shared) AS ev, {_RULE} AS rule FROM cp JOIN e USING (a, b)),
+f AS (SELECT *, round(least(100.0::DOUBLE, 0.35::DOUBLE * rule + 0.4::DOUBLE * ev + 0.25::DOUBLE * (0.5::DOUBLE * rule + 0.5::DOUBLE * ev)), 2) AS score FROM r),
+s AS (SELECT *, CASE WHEN score > 85 THEN 'auto_merged' WHEN score > 35 THEN 'need_review' END AS status FROM f)"""
+#: Candidates that have been reviewed before.
+_KNOWN = "w AS (SELECT c_custkey AS b, c_custkey - 1 AS a FROM customer WHERE c_mktsegment = 'BUILDING')"
+
 
+def scored_companies(spark, d):
+    return dedup.scored_pairs(companies(spark, d), company_contacts(spark, d))
 
-_FIN = f"""{_EVID}, t AS (SELECT cp.a, cp.b, replace(x0, '#', ' ') AS x, replace(y0, '#', ' ') AS y, shared FROM cp JOIN e USING (a, b)), r AS (SELECT a, b, shared, least(100.0::DOUBLE, 20.0::DOUBLE * shared) AS ev, {_RULE} AS rule FROM t),
-f AS (SELECT *, round(least(100.0::DOUBLE, 0.35::DOUBLE * rule + 0.4::DOUBLE * ev + 0.25::DOUBLE * (0.5::DOUBLE * rule + 0.5::DOUBLE * ev)), 2) AS score FROM r)"""
 
+def reviewed(spark, d):
+    return table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").selectExpr("c_custkey AS a", "c_custkey - 1 AS b")
 
-@query(f"{_FIN} SELECT a, b, rule AS rule_score, ev AS evidence_score, score AS match_score, CASE WHEN score > 85 THEN 'auto_merged' WHEN score > 35 THEN 'need_review' END AS status FROM f WHERE score > 35")
+
+@query(f"{_FIN} SELECT a, b, rule AS rule_score, ev AS evidence_score, score AS match_score, status FROM s WHERE score > 35")
 def final_triage(spark, d):
-    out = dedup.scored(dedup.evidence(company_pairs(spark, d), company_contacts(spark, d))).filter("status IS NOT NULL")
+    """The candidates of all companies that are merged or reviewed."""
+    out = dedup.candidates(scored_companies(spark, d), None)
     return out.select("a", "b", "rule_score", C("evidence_score").cast("double").alias("evidence_score"), "match_score", "status")
 
 
+@query(f"{_FIN}, {_KNOWN} SELECT a, b, round(similarity, 6) AS similarity, rule AS rule_score, ev AS evidence_score, score AS match_score, shared, shared_contacts, status FROM s ANTI JOIN w USING (a, b) WHERE score > 35")
+def dedup_run(spark, d):
+    """New candidates of all companies with what they share, the most similar first."""
+    out = dedup.run(companies(spark, d), company_contacts(spark, d), reviewed(spark, d))
+    return out.select("a", "b", F.round("similarity", 6).alias("similarity"), "rule_score", C("evidence_score").cast("double").alias("evidence_score"), "match_score", "shared", _contacts_text(), "status")
+
+
+@query(f"""{_FIN}, {_KNOWN} SELECT (SELECT count(*) FROM customer) AS total_companies, count(*) AS pairs_found, count(*) FILTER (status = 'auto_merged') AS auto_merged, count(*) FILTER (status = 'need_review') AS need_review,
+round(avg(rule), 2) AS avg_rule_score, round(avg(ev), 2) AS avg_evidence_score, round(avg(score), 2) AS avg_match_score, (SELECT count(*) FROM s ANTI JOIN w USING (a, b) WHERE score > 35) AS new_pairs_found FROM s""")
+def dedup_report(spark, d):
+    """What a run over all companies finds."""
+    return dedup.report(companies(spark, d), scored_companies(spark, d), reviewed(spark, d))
+
+
 @query("""WITH s AS (SELECT 0 AS ord, 'customer' AS t, c_name AS name, c_custkey::VARCHAR AS id FROM customer UNION ALL SELECT 1, 'supplier', replace(s_name, 'Supplier', 'Customer'), NULL FROM supplier UNION ALL SELECT 2, 'nation', n_name, NULL FROM nation UNION ALL SELECT 3, 'brand', p_brand, NULL FROM part),
 g AS (SELECT DISTINCT name, ord, t, max(id) OVER (PARTITION BY name) AS id FROM s WHERE length(trim(name)) >= 4)
 SELECT name, string_agg(t, ',' ORDER BY ord) AS sources, coalesce(max(id), 'default_id') AS customer_id FROM g GROUP BY 1""")
@@ -124,7 +199,7 @@ def alias_merge(spark, d):
     return dedup.rename(c.selectExpr("c_custkey", "c_name AS name"), "name", al)
 
 
-@query(f"{_FIN}, s AS (SELECT a, b, CASE WHEN score >= 90 OR score > 85 THEN 'auto_merged' WHEN score > 35 THEN 'need_review' END AS status, score FROM f WHERE score > 35) SELECT v AS status, count(s.a) AS n, (SELECT count(*) FROM s) AS total FROM (VALUES ('need_review'), ('auto_merged'), ('rejected')) t(v) LEFT JOIN s ON s.status = v GROUP BY 1")
+@query(f"{_FIN}, t AS (SELECT CASE WHEN score >= 90 THEN 'auto_merged' ELSE status END AS status FROM s WHERE score > 35) SELECT v AS status, count(t.status) AS n, (SELECT count(*) FROM t) AS total FROM (VALUES ('need_review'), ('auto_merged'), ('rejected')) x(v) LEFT JOIN t ON t.status = v GROUP BY 1")
 def review_stats(spark, d):
     from ..operators.aggregates import zero_filled
 

@@ -76,7 +76,7 @@ def is_filled(c: Column) -> Column:
 
 def collation_key(c: Column) -> Column:
     """A binary key that is equal where the texts differ only by case, common accents or full width, so joins and
-    groups on it keep hash operators."""
+    groups on it keep hash operators. Loads follow the whole collation by sources.names."""
     full = "".join(chr(x) for x in range(0xFF01, 0xFF5F))
     half = "".join(chr(x - 0xFEE0) for x in range(0xFF01, 0xFF5F))
     accents, plain = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ", "aaaaaaceeeeiiiinoooooouuuuyy"

@@ -16,6 +16,7 @@ from ..functions import scoring, text
 from ..functions.text import filled, is_filled
 from ..operators.aggregates import role_coverage
 from ..operators.merge import first_wins, insert_missing, update_join
+from ..sources.names import respelled
 from ..sources.schemas import SOURCES, TABLES, conform
 from ..sources.shared import stored
 
@@ -216,7 +217,9 @@ def contact_360(mapping: DataFrame, detail: DataFrame, customers: DataFrame, icp
 
 
 def run_full(t: Tables, as_of: Column, spark) -> Tables:
-    """All four tables; the first two, which the others read more than once, are stored."""
+    """All four tables; the first two, which the others read more than once, are stored. Names that only case, accents or
+    width tell apart are one customer."""
+    (t,) = respelled(t, None)
     mapping, detail = stored(contact_mapping(t, spark), "contact_mapping"), stored(interaction_detail(t, spark), "interaction_detail")
     customers = customer_360(t, mapping, detail, as_of, spark)
     contacts = contact_360(mapping, detail, customers, anchor(source(t, "zhique_contact", spark)), as_of)
@@ -254,8 +257,10 @@ def affected(before: Tables, batch: Tables, t: Tables, spark) -> DataFrame:
 def run_incremental(before: Tables, batch: Tables, t: Tables, as_of: Column, spark, names: DataFrame | None = None) -> Tables:
     """before: the four tables, as stored (without contact_360: that is rebuilt); t: the sources with the batch in them. The rows of the
     customers that the batch can reach are computed anew by the functions of the full load and replace the old ones; all
-    others stay as they are, with the counts of their last load. names: the affected customers, if they are stored already."""
+    others stay as they are, with the counts of their last load. A name that only case, accents or width tell from one already
+    loaded is that customer. names: the affected customers, if they are stored already."""
     c = F.col
+    t, batch = respelled(t, before["customer_360"].select("customer_name"), batch)
     names = stored(affected(before, batch, t, spark), "affected") if names is None else names
     there = names.select(c("customer_name").alias("n"))
     kept = {k: before[k].join(there, c("customer_name") == c("n"), "left_anti") for k in before}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..plans import etl, search, sync
 from ..sources.shared import stored
+from ..sources.names import spellings
 from ..sources.roles import AS_OF_TEXT, LOAD_SQL, as_of, load_tables, table
 from ..streaming import events
 from .registry import query
@@ -215,3 +216,14 @@ def collation_group(spark, d):
     c = table(spark, d, "customer")
     wide = F.when(C("c_custkey") % 2 == 0, F.lower("c_name")).otherwise(C("c_name"))
     return c.groupBy(text.collation_key(wide).alias("k"), text.collation_key(C("c_mktsegment")).alias("s")).agg(F.count("*").alias("n")).select(F.upper("k").alias("k"), "s", "n")
+
+
+@query("""WITH s AS (SELECT c_name AS name, 0 AS rank FROM customer UNION ALL SELECT replace(s_name, 'Supplier', 'ＣＵＳＴＯＭＥＲ'), 1 FROM supplier UNION ALL SELECT 'Cústomèr#' || lpad(o_custkey::VARCHAR, 9, '0'), 2 FROM orders UNION ALL SELECT 'customer#' || lpad(o_custkey::VARCHAR, 9, '0'), 3 FROM orders),
+k AS (SELECT name, min(rank) AS rank, strip_accents(lower(replace(name, 'ＣＵＳＴＯＭＥＲ', 'CUSTOMER'))) AS key FROM s GROUP BY name)
+SELECT * FROM (SELECT name, first_value(name) OVER (PARTITION BY key ORDER BY rank, name) AS spelling FROM k) WHERE name <> spelling""")
+def company_spellings(spark, d):
+    """Names in full width, with accents or in other case, and the spelling that a load gives them."""
+    c = table(spark, d, "customer").select(C("c_name").alias("related_company"))
+    s = table(spark, d, "supplier").select(F.replace("s_name", F.lit("Supplier"), F.lit("ＣＵＳＴＯＭＥＲ")).alias("customer_name"))
+    named = lambda word: table(spark, d, "orders").select(F.concat(F.lit(word), F.lpad(C("o_custkey").cast("string"), 9, "0")).alias("customer_name"))
+    return spellings({"zhique_contact": c, "crm_contact": s, "crm_opportunity": named("Cústomèr#"), "tianrun_session": named("customer#")})

@@ -12,6 +12,7 @@ from ..functions.text import normalize_name
 from ..sources.shared import stored
 from .merge import latest, top, without_known_pairs
 from .nearest import Index
+from .substrings import containing
 
 #: Similarity of pairs whose normalised names are equal.
 EXACT = 0.98
@@ -369,8 +370,19 @@ def merged(tables: dict[str, DataFrame], aliases: DataFrame) -> tuple[dict[str,
 
 def shared_by_name(contacts: DataFrame, a: str, b: str) -> DataFrame:
     """(kind, shared): values (company, kind, value) that companies whose names contain a have in common with those that contain b."""
-    c = contacts.filter("value <> ''")
-    left = c.filter(F.col("company").contains(a)).select("kind", "value")
-    right = c.filter(F.col("company").contains(b)).select(F.col("kind").alias("k"), F.col("value").alias("v"))
-    met = left.join(right, (F.col("kind") == F.col("k")) & (F.col("value") == F.col("v")))
-    return met.groupBy("kind").agg(F.count_distinct("value").alias("shared"))
+    one = contacts.sparkSession.createDataFrame([(a, b)], "a string, b string")
+    return shared_by_parts(contacts, one).select("kind", "shared")
+
+
+def shared_by_parts(contacts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, kind, shared) of pairs (a, b) of parts of names: the values (company, kind, value) that companies whose names contain
+    a have in common with those that contain b. Names are found by n-grams, and values by part and value at once, so a value that
+    very many companies have meets no other but itself."""
+    parts = pairs.select(F.explode(F.array("a", "b")).alias("word")).distinct()
+    named = containing(parts, contacts, name="company").withColumnRenamed("name", "__name")
+    values = contacts.filter("value <> ''").join(named, F.col("company") == F.col("__name")).select("word", "kind", "value").distinct()
+    values = stored(values, "shared-parts")
+    left = pairs.select("a", "b").distinct().join(values, F.col("a") == F.col("word")).select("a", "b", "kind", "value")
+    right = values.select(F.col("word").alias("__b"), F.col("kind").alias("__k"), F.col("value").alias("__v"))
+    met = left.join(right, (F.col("b") == F.col("__b")) & (F.col("kind") == F.col("__k")) & (F.col("value") == F.col("__v")), "left_semi")
+    return met.groupBy("a", "b", "kind").agg(F.count("*").alias("shared"))

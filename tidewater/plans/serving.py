@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import advice, scoring, text
 from ..operators import predicates as p
 from ..operators.merge import latest, page, top
+from ..operators.substrings import first_containing
 
 SORTS = ("intent_score", "customer_name", "interaction_count_30d", "interaction_count_total", "last_interaction_time", "active_opp_amount", "contact_count", "updated_at")
 KEY_ACCOUNT_TAG = "重客"
@@ -196,20 +197,12 @@ def top_stage(opps: DataFrame, key: str, stage: Column, none: str = "暂无数
 
 
 def enriched(names: DataFrame, customers: DataFrame, columns: list[str]) -> DataFrame:
-    """names (name; those of a page of candidates, at most PAGE_NAMES) with columns of their customer: by the exact name, and the others
-    by the first customer whose name contains theirs. The second round passes over customers once, with the names as one value."""
+    """names (name) with columns of their customer: by the exact name, and the others by the first customer whose name contains
+    theirs, which an index of n-grams finds however many they are."""
     c = F.col
     there = customers.select("customer_name", *columns)
     exact = names.join(there, c("name") == c("customer_name"), "left")
-    rest = exact.filter(c("customer_name").isNull() & (c("name") != "")).select("name")
-    asked = rest.limit(PAGE_NAMES).agg(F.array_sort(F.collect_set("name")).alias("names")).scalar()
-    hit = F.filter("__names", lambda n: c("customer_name").contains(n))
-    like = there.withColumn("__names", asked).withColumn("name", F.explode(hit)).drop("__names")
-    first = latest(like, ["name"], [c("customer_name")])
-    spare = names.join(exact.filter(c("customer_name").isNotNull()).select(c("name").alias("__n")), c("name") == c("__n"), "left_anti")
-    found = spare.join(first.select(c("name").alias("__n"), "customer_name", *columns), c("name") == c("__n"), "left").drop("__n")
-    return exact.filter(c("customer_name").isNotNull()).unionByName(found)
-
-
-#: Names of a page of 100 candidates.
-PAGE_NAMES = 200
+    rest = names.join(there.select("customer_name"), c("name") == c("customer_name"), "left_anti")
+    first = first_containing(rest, there, "name", "customer_name").select(c("word").alias("__word"), c("name").alias("__name"))
+    like = rest.join(first, c("name") == c("__word"), "left").join(there, c("__name") == c("customer_name"), "left").drop("__word", "__name")
+    return exact.filter(c("customer_name").isNotNull()).unionByName(like)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import advice, text
 from ..operators import dedup
 from ..operators import predicates as p
+from ..operators.substrings import containing
 from ..plans import search, serving, sync
 from ..sources import files
 from ..sources.roles import AS_OF_TEXT, ROLES_SQL, as_of, contacts, customers, interactions, opportunities, table
@@ -78,16 +79,25 @@ def top_stage(spark, d):
     return serving.top_stage(opportunities(spark, d), "customer_id", F.when(C("stage") != "5-LOW", C("stage")))
 
 
-@query(f"""{R}, n AS (SELECT c_name AS name FROM customer WHERE c_custkey BETWEEN 10 AND 14 UNION SELECT '#00000002' UNION SELECT 'nowhere' UNION SELECT '')
-SELECT name, coalesce(e.customer_name, l.customer_name) AS customer_name, coalesce(e.industry, l.industry) AS industry FROM n LEFT JOIN c e ON n.name = e.customer_name
-LEFT JOIN c l ON e.customer_name IS NULL AND n.name <> '' AND l.customer_name = (SELECT min(customer_name) FROM c WHERE contains(customer_name, n.name))""")
+_REVIEWED = "CASE c_mktsegment WHEN 'BUILDING' THEN c_name WHEN 'MACHINERY' THEN substr(c_name, 10, 8) WHEN 'AUTOMOBILE' THEN concat('No ', c_name) WHEN 'FURNITURE' THEN '' ELSE substr(c_name, 14) END"
+
+
+@query(f"""{R}, n AS (SELECT {_REVIEWED} AS name FROM customer), w AS (SELECT name, min(customer_name) AS first FROM (SELECT DISTINCT name FROM n WHERE name <> '' AND name NOT IN (SELECT customer_name FROM c)) JOIN c ON contains(customer_name, name) GROUP BY name)
+SELECT n.name, coalesce(e.customer_name, l.customer_name) AS customer_name, coalesce(e.industry, l.industry) AS industry FROM n LEFT JOIN c e ON n.name = e.customer_name LEFT JOIN w ON w.name = n.name LEFT JOIN c l ON l.customer_name = w.first""")
 def review_enrichment(spark, d):
-    """Names of a page of candidates with their customer, by the exact name or else by a name that contains theirs."""
-    own = table(spark, d, "customer").filter("c_custkey BETWEEN 10 AND 14").select(C("c_name").alias("name"))
-    names = own.unionByName(spark.sql("SELECT * FROM VALUES ('#00000002'), ('nowhere'), ('') AS v(name)"))
+    """Names of candidates, whole or in part, with their customer, by the exact name or else by a name that contains theirs."""
+    names = table(spark, d, "customer").select(F.expr(_REVIEWED).alias("name"))
     return serving.enriched(names, customers(spark, d), ["industry"])
 
 
+@query(f"WITH w AS (SELECT DISTINCT substr(c_name, 12) AS word FROM customer UNION SELECT p_name FROM part UNION SELECT '0'), n AS (SELECT c_name AS name FROM customer UNION SELECT p_type || ' ' || p_name FROM part) SELECT word, name FROM w JOIN n ON contains(name, word)")
+def names_containing(spark, d):
+    """Which names contain the ends of others, long and short words alike."""
+    c, p = table(spark, d, "customer"), table(spark, d, "part")
+    words = c.selectExpr("substr(c_name, 12) AS word").union(p.selectExpr("p_name")).union(c.selectExpr("'0'"))
+    return containing(words, c.selectExpr("c_name AS name").union(p.selectExpr("concat(p_type, ' ', p_name)")))
+
+
 _ALIASES = "SELECT c_name AS old, 'Customer#' || lpad((c_custkey - 1)::VARCHAR, 9, '0') AS new FROM customer WHERE c_custkey % 10 = 1"
 
 

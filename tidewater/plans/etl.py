@@ -226,6 +226,18 @@ def run_full(t: Tables, as_of: Column, spark) -> Tables:
     return {"contact_mapping": mapping, "interaction_detail": detail, "customer_360": customers, "contact_360": contacts}
 
 
+def reached_mobiles(batch: Tables, t: Tables, spark) -> DataFrame | None:
+    """(mobile) that a batch of source rows has, itself or by the web contacts of its visits; None if none of its sources has any."""
+    c = F.col
+    phones = {"zhique_contact": "mobile", "crm_contact": "mobile", "zhique_behavior": "mobile_phone", "linkflow_contacts": "mobile_phone"}
+    mobiles = [source(batch, n, spark).select(c(col).alias("mobile")) for n, col in phones.items() if n in batch]
+    if "linkflow_events" in batch:
+        visitors = source(batch, "linkflow_events", spark).select(c("contact_id").alias("visitor")).distinct()
+        web = source(t, "linkflow_contacts", spark).join(visitors, c("contact_id") == c("visitor"), "left_semi")
+        mobiles.append(web.select(c("mobile_phone").alias("mobile")))
+    return reduce(lambda a, b: a.unionByName(b), mobiles).filter(is_filled(c("mobile"))).distinct() if mobiles else None
+
+
 def affected(before: Tables, batch: Tables, t: Tables, spark) -> DataFrame:
     """(customer_name) of the customers whose rows a batch of source rows can change: those it names, and those that its
     mobiles or web contacts lead to, now or before. Only the batch's own keys are looked up in the large tables."""
@@ -239,14 +251,8 @@ def affected(before: Tables, batch: Tables, t: Tables, spark) -> DataFrame:
     if "marketing_lead" in batch:
         company = F.coalesce("final_company_name", "customer_company", "opp_customer_name")
         names.append(source(batch, "marketing_lead", spark).select(company.alias("customer_name")))
-    phones = {"zhique_contact": "mobile", "crm_contact": "mobile", "zhique_behavior": "mobile_phone", "linkflow_contacts": "mobile_phone"}
-    mobiles = [source(batch, n, spark).select(c(col).alias("phone")) for n, col in phones.items() if n in batch]
-    if "linkflow_events" in batch:
-        visitors = source(batch, "linkflow_events", spark).select(c("contact_id").alias("visitor")).distinct()
-        web = source(t, "linkflow_contacts", spark).join(visitors, c("contact_id") == c("visitor"), "left_semi")
-        mobiles.append(web.select(c("mobile_phone").alias("phone")))
-    if mobiles:
-        phone = reduce(lambda a, b: a.unionByName(b), mobiles).filter(is_filled(c("phone"))).distinct()
+    if (phones := reached_mobiles(batch, t, spark)) is not None:
+        phone = phones.select(c("mobile").alias("phone"))
         for rows in (source(t, "crm_contact", spark), before["contact_mapping"], before["interaction_detail"]):
             names.append(rows.join(phone, c("mobile") == c("phone"), "left_semi").select("customer_name"))
     if not names:
@@ -254,30 +260,95 @@ def affected(before: Tables, batch: Tables, t: Tables, spark) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), names).filter(is_filled(c("customer_name"))).distinct()
 
 
+def fresh_rows(t: Tables, names: DataFrame, as_of: Column, spark) -> Tables:
+    """Mapping, interactions (both stored) and customer 360 of the customers in names (customer_name)."""
+    made = {"contact_mapping": contact_mapping(t, spark, names), "interaction_detail": interaction_detail(t, spark, names)}
+    fresh = {k: stored(v, k) for k, v in made.items()}
+    fresh["customer_360"] = customer_360(t, fresh["contact_mapping"], fresh["interaction_detail"], as_of, spark, only=names)
+    return fresh
+
+
+def _of(rows: DataFrame, names: DataFrame, how: str) -> DataFrame:
+    return rows.join(names.select(F.col("customer_name").alias("n")), F.col("customer_name") == F.col("n"), how)
+
+
+def contact_keys(before: Tables, fresh: Tables, names: DataFrame) -> DataFrame:
+    """(contact_name, mobile) of interactions and contacts that came or went with the rows of names."""
+    kinds = ("interaction_detail", "contact_mapping")
+    gone = {k: _of(before[k], names, "left_semi") for k in kinds}
+    return reduce(lambda a, b: a.unionByName(b), [x[k].select("contact_name", "mobile") for x in (gone, fresh) for k in kinds]).distinct()
+
+
+def same_contact(df: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """df with how (left_semi or left_anti) the contacts of keys."""
+    c = F.col
+    one = keys.select(c("contact_name").alias("k_name"), c("mobile").alias("k_mobile"))
+    return df.join(one, c("contact_name").eqNullSafe(c("k_name")) & c("mobile").eqNullSafe(c("k_mobile")), how)
+
+
 def run_incremental(before: Tables, batch: Tables, t: Tables, as_of: Column, spark, names: DataFrame | None = None) -> Tables:
     """before: the four tables, as stored (without contact_360: that is rebuilt); t: the sources with the batch in them. The rows of the
     customers that the batch can reach are computed anew by the functions of the full load and replace the old ones; all
     others stay as they are, with the counts of their last load. A name that only case, accents or width tell from one already
     loaded is that customer. names: the affected customers, if they are stored already."""
-    c = F.col
     t, batch = respelled(t, before["customer_360"].select("customer_name"), batch)
     names = stored(affected(before, batch, t, spark), "affected") if names is None else names
-    there = names.select(c("customer_name").alias("n"))
-    kept = {k: before[k].join(there, c("customer_name") == c("n"), "left_anti") for k in before}
-    made = {"contact_mapping": contact_mapping(t, spark, names), "interaction_detail": interaction_detail(t, spark, names)}
-    fresh = {k: stored(v, k) for k, v in made.items()}
-    fresh["customer_360"] = customer_360(t, fresh["contact_mapping"], fresh["interaction_detail"], as_of, spark, only=names)
-    out = {k: kept[k].unionByName(fresh[k].select(*before[k].columns)) for k in fresh}
+    return replaced(before, t, names, fresh_rows(t, names, as_of, spark), as_of, spark)
+
+
+def replaced(before: Tables, t: Tables, names: DataFrame, fresh: Tables, as_of: Column, spark) -> Tables:
+    """before with the fresh rows of the customers in names in place of theirs, and contact 360 to match."""
+    out = {k: _of(before[k], names, "left_anti").unionByName(fresh[k].select(*before[k].columns)) for k in fresh}
     icp = anchor(source(t, "zhique_contact", spark))
     if "contact_360" not in before:
         return out | {"contact_360": contact_360(out["contact_mapping"], out["interaction_detail"], out["customer_360"], icp, as_of)}
     # contacts of the affected customers, and others that share a name and mobile with interactions that came or went
-    gone = {k: before[k].join(there, c("customer_name") == c("n"), "left_semi") for k in ("interaction_detail", "contact_mapping")}
-    keys = reduce(lambda a, b: a.unionByName(b), [x[k].select("contact_name", "mobile") for x in (gone, fresh) for k in gone]).distinct()
+    keys = contact_keys(before, fresh, names)
     again = contact_360(out["contact_mapping"], out["interaction_detail"], out["customer_360"], icp, as_of, keys)
-    one = keys.select(c("contact_name").alias("k_name"), c("mobile").alias("k_mobile"))
-    same = c("contact_name").eqNullSafe(c("k_name")) & c("mobile").eqNullSafe(c("k_mobile"))
-    return out | {"contact_360": before["contact_360"].join(one, same, "left_anti").unionByName(again)}
+    return out | {"contact_360": same_contact(before["contact_360"], keys, "left_anti").unionByName(again)}
+
+
+def contact_index(mapping: DataFrame, detail: DataFrame) -> DataFrame:
+    """(contact_name, mobile, customer_name): at which customers a contact occurs."""
+    cols = ("contact_name", "mobile", "customer_name")
+    return mapping.select(*cols).unionByName(detail.select(*cols)).distinct()
+
+
+def publish_full(store, version: str, t: Tables, as_of: Column, spark, marks: dict | None = None) -> bool:
+    """A full load as a version of a BucketStore, with the contact index and the names of customers."""
+    out = run_full(t, as_of, spark)
+    out["customer_360"] = stored(out["customer_360"], "customer_360")
+    more = {"contact_index": contact_index(out["contact_mapping"], out["interaction_detail"]), "names": out["customer_360"].select("customer_name")}
+    return store.publish(version, out | more, validate, marks)
+
+
+def publish_batch(store, version: str, batch: Tables, t: Tables, as_of: Column, spark, marks: dict | None = None) -> dict[str, list[int]]:
+    """A batch as a version of a BucketStore: the rows that run_incremental gives. Returns the buckets that are new in each table.
+
+    Of the published tables only the names of customers are read whole. The contact index leads from the batch's mobiles to
+    customers, so only its buckets of these are read, and of the others those of the customers reached and, for contact 360,
+    of customers that share a contact with them."""
+    c = F.col
+    t, batch = respelled(t, store.read("names"), batch)
+    phones = reached_mobiles(batch, t, spark)
+    at = store.touched("contact_index", phones.withColumn("contact_name", F.lit(None).cast("string"))) if phones is not None else []
+    known = store.read("contact_index", at)
+    names = stored(affected({"contact_mapping": known, "interaction_detail": known.limit(0)}, batch, t, spark), "affected")
+    own = store.touched("customer_360", names)
+    kinds = ("contact_mapping", "interaction_detail")
+    fresh = fresh_rows(t, names, as_of, spark)
+    keys = stored(contact_keys({k: store.read(k, own) for k in kinds}, fresh, names), "contact-keys")
+    index = store.touched("contact_index", keys)
+    entries = store.read("contact_index", index)
+    sharing = same_contact(entries, keys, "left_semi").select("customer_name")
+    every = sorted({*own, *store.touched("customer_360", sharing)})
+    out = replaced({k: store.read(k, every) for k in (*kinds, "customer_360", "contact_360")}, t, names, fresh, as_of, spark)
+    out["customer_360"] = stored(out["customer_360"].filter(store.bucket("customer_360").isin(own)), "customer_360")
+    changes = {k: (out[k].filter(store.bucket(k).isin(own)), own) for k in kinds} | {"customer_360": (out["customer_360"], own), "contact_360": (out["contact_360"], every)}
+    changes["names"] = (out["customer_360"].select("customer_name"), own)
+    changes["contact_index"] = (_of(entries, names, "left_anti").filter(c("customer_name").isNotNull()).unionByName(contact_index(*[fresh[k] for k in kinds])).distinct(), index)
+    store.replace(version, changes, marks=marks)
+    return {k: buckets for k, (_, buckets) in changes.items()}
 
 
 def validate(t: Tables) -> DataFrame:

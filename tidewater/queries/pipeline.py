@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..plans import etl, search, sync
-from ..sources.shared import stored
+from ..plans.buckets import BucketStore
 from ..sources.names import spellings
 from ..sources.roles import AS_OF_TEXT, LOAD_SQL, as_of, load_tables, table
+from ..sources.shared import shared_path, stored
 from ..streaming import events
 from .registry import query
 
@@ -126,6 +127,28 @@ def incremental_contacts(spark, d):
     return _contacts(etl.run_incremental(before, batch, t, as_of(), spark, names)["contact_360"])
 
 
+def _published(spark, d):
+    """A store with the first load and the batch of _halves as versions."""
+    t = load_tables(spark, d)
+    late = {"zhique_behavior": "behavior_id % 4 = 1", "crm_lead": "hash(lead_code) % 2 = 0", "linkflow_events": "event_id % 4 = 0", "crm_opportunity": "id % 2 = 0"}
+    store = BucketStore(spark, shared_path(spark, "bucket-store"), 8)
+    etl.publish_full(store, "1", t | {n: t[n].filter(f"NOT ({w})") for n, w in late.items()}, as_of(), spark)
+    etl.publish_batch(store, "2", {n: t[n].filter(w) for n, w in late.items()}, t, as_of(), spark)
+    return store
+
+
+@query(f"{_C360} {_SHOW}")
+def bucketed_customers(spark, d):
+    """The rows of a full load from buckets that a batch has replaced."""
+    return _shown(_published(spark, d).read("customer_360"))
+
+
+@query(_K360)
+def bucketed_contacts(spark, d):
+    """The contacts of the same version."""
+    return _contacts(_published(spark, d).read("contact_360"))
+
+
 @query(f"""{_DETAIL}, crm_of AS (SELECT mobile, customer_name FROM crm_contact)
 SELECT customer_name FROM (SELECT customer_name FROM tianrun_session WHERE start_time_sec > epoch(TIMESTAMP '1997-01-01 00:00:00')::BIGINT UNION SELECT customer_name FROM crm_of WHERE mobile IN (SELECT mobile_phone FROM zhique_behavior WHERE behavior_time > TIMESTAMP '2024-01-20 00:00:00')
 UNION SELECT customer_name FROM mapping WHERE mobile IN (SELECT mobile_phone FROM zhique_behavior WHERE behavior_time > TIMESTAMP '2024-01-20 00:00:00') UNION SELECT customer_name FROM detail WHERE mobile IN (SELECT mobile_phone FROM zhique_behavior WHERE behavior_time > TIMESTAMP '2024-01-20 00:00:00')) WHERE customer_name <> ''""")

@@ -80,7 +80,7 @@ def test_exports_round_trip(spark, small, tmp_path):
     frames = {"customer_360": c, "contact_360": k, "interaction_detail": d, "contact_mapping": k.withColumn("source_table", F.lit("crm"))}
     for name, rows in frames.items():
         out = files.export_table(rows, name, [C(rows.columns[0])])
-        assert out.count() == rows.count() and out.columns == [head for _, head in files.EXPORTS[name]]
+        assert out.count() == rows.count() and out.columns == [head for _, head, _ in files.EXPORTS[name]]
     assert files.sampled(d, "source_id", 2).count() == 2 and files.sampled(d, "source_id").count() == 4
 
 

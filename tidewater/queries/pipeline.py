@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..plans import etl, search, sync
 from ..plans.buckets import BucketStore
+from ..sources import files
 from ..sources.names import spellings
 from ..sources.roles import AS_OF_TEXT, LOAD_SQL, as_of, load_tables, table
 from ..sources.shared import shared_path, stored
@@ -250,3 +251,50 @@ def company_spellings(spark, d):
     s = table(spark, d, "supplier").select(F.replace("s_name", F.lit("Supplier"), F.lit("ＣＵＳＴＯＭＥＲ")).alias("customer_name"))
     named = lambda word: table(spark, d, "orders").select(F.concat(F.lit(word), F.lpad(C("o_custkey").cast("string"), 9, "0")).alias("customer_name"))
     return spellings({"zhique_contact": c, "crm_contact": s, "crm_opportunity": named("Cústomèr#"), "tianrun_session": named("customer#")})
+
+
+def _sheet(df):
+    """Numbers as both engines have them, and heads without parentheses."""
+    kinds = {"integer": "long", "decimal": "double"}
+    return df.select(*[C(f"`{f.name}`").cast(kinds.get(f.dataType.typeName(), f.dataType.simpleString())).alias(f.name.replace("(万)", "_万")) for f in df.schema])
+
+
+_MINUTE = "%Y-%m-%d %H:%M"
+
+
+@query(f"""{_C360} SELECT customer_name AS "客户名称", industry AS "行业", region AS "区域", owner_name AS "负责人", NULL::VARCHAR AS "专项", purchase_stage AS "采购阶段", CASE WHEN customer_name IN (SELECT customer_name FROM icp) THEN (SELECT max(forecast_type) FROM crm_opportunity p WHERE p.customer_name = c360.customer_name) END AS "预测类别", role_coverage AS "关键角色覆盖", intent_level AS "合作意向",
+intent_score::BIGINT AS "意向分", n30 AS "近30天互动", total AS "总互动次数", strftime(last_time, '{_MINUTE}') AS "最近互动时间", first_channel AS "最近互动渠道", active_n AS "在途商机数", active_amount::DOUBLE AS "在途金额_万", contact_count AS "联系人数", won::DOUBLE AS "已成交金额_万"
+FROM c360 ORDER BY intent_score DESC NULLS LAST, customer_name LIMIT 20000""")
+def export_customer_list(spark, d):
+    """The sheet of the customer list, at most 20,000 rows of it being the feature."""
+    return _sheet(files.export_frame(etl.run_full(load_tables(spark, d), as_of(), spark)["customer_360"]))
+
+
+@query(f"""{_C360} SELECT customer_name AS "客户名称", industry AS "行业", region AS "区域", owner_name AS "负责人", purchase_stage AS "采购阶段", CASE WHEN customer_name IN (SELECT customer_name FROM icp) THEN (SELECT max(forecast_type) FROM crm_opportunity p WHERE p.customer_name = c360.customer_name) END AS "预测类型", role_coverage AS "人员覆盖度", intent_score::BIGINT AS "意向评分", intent_level AS "意向等级",
+n30 AS "近30天互动", total AS "总互动", strftime(last_time, '{_MINUTE}') AS "最近互动时间", first_channel AS "最近渠道", active_n AS "活跃商机数", active_amount::DOUBLE AS "活跃商机金额", contact_count AS "联系人总数", mobile_count AS "手机号数量", NULL::VARCHAR AS "现有客户"
+FROM c360 ORDER BY intent_score DESC NULLS LAST, customer_name LIMIT 10000""")
+def export_customers(spark, d):
+    """The sheet of an answer about customers, at most 10,000 rows being the feature."""
+    return _sheet(files.export_table(etl.run_full(load_tables(spark, d), as_of(), spark)["customer_360"], "customer_360", [C("intent_score").desc(), C("customer_name")]))
+
+
+_ROLE_OF = "LEFT JOIN crm_contact r ON m.source_table = 'crm' AND r.contact_name = m.contact_name AND r.customer_name = m.customer_name"
+
+
+@query(f"""{_C360}, di AS (SELECT contact_name, mobile, count(*) AS n, count(CASE WHEN event_time >= {NOW} - INTERVAL 30 DAY THEN 1 END) AS n30, max(event_time) AS last_time FROM detail GROUP BY 1, 2)
+SELECT NULL::VARCHAR AS "客户ID", m.contact_name AS "联系人姓名", m.mobile AS "手机号", m.email AS "邮箱", m.department AS "部门", m.position AS "职位", r.purchase_role AS "采购角色", m.role_category AS "角色类别", coalesce(n, 0) AS "总互动次数", coalesce(n30, 0) AS "近30天互动",
+strftime(last_time, '{_MINUTE}') AS "最近互动时间", CASE WHEN coalesce(n30, 0) >= 10 THEN 'high' WHEN coalesce(n30, 0) >= 3 THEN 'medium' WHEN coalesce(n, 0) > 0 THEN 'low' ELSE 'none' END AS "活跃度", NULL::VARCHAR AS "意向等级", NULL::VARCHAR AS "线索阶段"
+FROM mapping m LEFT JOIN di ON m.contact_name = di.contact_name AND m.mobile IS NOT DISTINCT FROM di.mobile {_ROLE_OF} WHERE m.customer_name IN (SELECT customer_name FROM icp)
+ORDER BY m.customer_name, m.mobile NULLS FIRST, m.contact_name NULLS FIRST, m.source_table LIMIT 10000""")
+def export_contacts(spark, d):
+    """The sheet of an answer about contacts, at most 10,000 rows being the feature."""
+    k = etl.run_full(load_tables(spark, d), as_of(), spark)["contact_360"]
+    return _sheet(files.export_table(k, "contact_360", [C("customer_name"), C("mobile"), C("contact_name"), F.get("source_tables", F.lit(0))]))
+
+
+@query(f"""{_MAPPING} SELECT m.customer_name AS "客户公司", m.contact_name AS "联系人姓名", m.mobile AS "手机号", m.email AS "邮箱", m.department AS "部门", m.position AS "职位", r.purchase_role AS "采购角色", m.role_category AS "角色类别", m.source_table AS "来源表", NULL::VARCHAR AS "智能体匹配"
+FROM mapping m {_ROLE_OF} ORDER BY m.customer_name, m.mobile NULLS FIRST, m.contact_name NULLS FIRST, m.source_table LIMIT 10000""")
+def export_mapping(spark, d):
+    """The sheet of an answer about the contact mapping, at most 10,000 rows being the feature."""
+    m = etl.contact_mapping(load_tables(spark, d), spark)
+    return _sheet(files.export_table(m, "contact_mapping", [C("customer_name"), C("mobile"), C("contact_name"), C("source_table")]))

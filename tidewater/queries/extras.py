@@ -9,6 +9,7 @@ from ..operators import dedup
 from ..operators import predicates as p
 from ..operators.substrings import containing
 from ..plans import search, serving, sync
+from ..plans.buckets import BucketStore
 from ..sources import files
 from ..sources.roles import AS_OF_TEXT, ROLES_SQL, as_of, contacts, customers, interactions, opportunities, table
 from ..sources.shared import shared_path
@@ -196,6 +197,21 @@ def publish_versions(spark, d):
     return store.read("customer_360")
 
 
+@query(f"SELECT user_id, event_id, event_type, strftime(ts, '{TIME}') AS ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def stream_last_event(spark, d):
+    """The last event of each user from a stream whose parts come out of order and one of them twice."""
+    from ..streaming import latest
+
+    src, mark = shared_path(spark, "stream-in"), shared_path(spark, "stream-mark")
+    store = BucketStore(spark, shared_path(spark, "stream-store"), 4, {"last_event": ("user_id",)})
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type", "ts")
+    view = C("event_type") == "view"
+    for part in (view, C("event_type") == "purchase", view, ~view & (C("event_type") != "purchase")):
+        e.filter(part).write.mode("append").parquet(src)
+        latest.publish_latest(spark.readStream.schema(e.schema).parquet(src), store, "last_event", ["user_id"], "ts", "event_id", mark)
+    return store.read("last_event").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+
+
 @query("SELECT event_id, event_type FROM events")
 def stream_available_now(spark, d):
     """Events that a stream reads in two runs, each row once."""

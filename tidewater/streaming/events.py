@@ -24,8 +24,3 @@ def available_now(spark: SparkSession, path: str, schema, transform, sink: str,
     """Reads what is new under path since the last run, transforms it and appends it to a Parquet sink, exactly once."""
     stream = transform(spark.readStream.schema(schema).parquet(path))
     stream.writeStream.format("parquet").outputMode(mode).option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
-def merged_now(spark: SparkSession, path: str, schema, merge, checkpoint: str) -> None:
-    """Calls merge(batch, number) for what is new: the place for last-wins tables."""
-    spark.readStream.schema(schema).parquet(path).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

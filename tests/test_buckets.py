@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.plans import etl
 from tidewater.plans.buckets import BucketStore
+from tidewater.plans.sync import Store, latest_observations
 from tidewater.sources.roles import as_of
 
 TABLES = ("contact_mapping", "interaction_detail", "customer_360", "contact_360")
@@ -108,3 +109,24 @@ def test_versions_leases_and_expiry(spark, tmp_path):
     bad = lambda tables: spark.range(1).select(F.lit("t").alias("table_name"), F.lit(False).alias("valid"))
     assert not store.publish("8", {"t": frame()}, bad) and store.state()["current"] == "6"
     assert BucketStore(spark, f"file://{tmp_path}/n", 4, {"t": ("k",)}).manifest() == {"tables": {}}
+
+
+def test_counts_come_from_the_writes(spark, tmp_path):
+    """No second pass over the rows; a failed write is -1; the history stays."""
+    passes = spark.sparkContext.accumulator(0)
+
+    def seen(parts):
+        for part in parts:
+            passes.add(part.num_rows)
+            yield part
+
+    rows = spark.range(30).selectExpr("id", "CAST(id AS STRING) AS k").repartition(3).mapInArrow(seen, "id long, k string")
+    for i, store in enumerate((Store(spark, f"file://{tmp_path}/a"), BucketStore(spark, f"file://{tmp_path}/b", 4, {"t": ("k",)}))):
+        assert store.publish("1", {"t": rows}) and passes.value == 30 * (i + 1)
+        bad = rows.select("id", F.when(F.col("id") == 7, F.raise_error(F.lit("boom"))).otherwise(F.col("k")).alias("k")).limit(29)
+        with pytest.raises(Exception, match="boom"):
+            store.publish("2", {"t": bad.orderBy("id")})
+        passes.add(30 * (i + 1) - passes.value)
+        assert store.publish("3", {"t": spark.createDataFrame([], "id long, k string")}) and store.state()["current"] == "3"
+        assert [(r.version, r.table_name, r.table_count) for r in store.counts().orderBy("at").collect()] == [("1", "t", 30), ("2", "t", -1), ("3", "t", 0)]
+        assert latest_observations(store.counts()).first().table_count == 0

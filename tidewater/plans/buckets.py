@@ -65,14 +65,14 @@ class BucketStore(Store):
 
     def publish(self, version: str, tables: dict[str, DataFrame], validate=None, marks: dict[str, Any] | None = None) -> bool:
         """Writes all buckets of tables as a version and, if it is valid, moves the pointer to it."""
-        new = {n: {"schema": json.loads(df.schema.json()), "folders": self._add(n, df)} for n, df in tables.items()}
+        new = {n: {"schema": json.loads(df.schema.json()), "folders": self.counted(version, n, df, lambda rows, n=n: self._add(n, rows))} for n, df in tables.items()}
         return self._move(version, {"tables": new}, validate, marks)
 
     def replace(self, version: str, changes: dict[str, tuple[DataFrame, list[int]]], validate=None, marks: dict[str, Any] | None = None) -> bool:
         """A version in which the rows of some buckets are new: changes has for a table all rows of these buckets, and the buckets."""
         tables = self.manifest()["tables"]
         for name, (rows, buckets) in changes.items():
-            gone, new = set(map(str, buckets)), self._add(name, rows)
+            gone, new = set(map(str, buckets)), self.counted(version, name, rows, lambda r, n=name: self._add(n, r))
             if not new.keys() <= gone:
                 raise ValueError(f"rows of {name} in buckets {sorted(new.keys() - gone)}, which they do not replace")
             tables[name]["folders"] = {b: at for b, at in tables[name]["folders"].items() if b not in gone} | new

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -55,6 +57,10 @@ def latest_observations(log: DataFrame) -> DataFrame:
     return log.groupBy("table_name").agg(F.max_by("table_count", "at").alias("table_count"), F.max("at").alias("at"))
 
 
+#: Of the history of writes.
+COUNTS = "version string, table_name string, table_count long, at long"
+
+
 class Store:
     """Versions of tables under a path and a pointer to the one that readers see. Writers build a version aside; only
     after validation the pointer moves, so readers never meet a half-built table; the version before stays for going back.
@@ -90,9 +96,9 @@ class Store:
         return json.loads(self._read("state") or '{"current": null, "previous": null, "marks": {}}')
 
     def publish(self, version: str, tables: dict[str, DataFrame], validate=None, marks: dict[str, Any] | None = None) -> bool:
-        """Writes a version and, if it is valid, moves the pointer to it."""
+        """Writes a version and, if it is valid, moves the pointer to it. The writes count their rows for `counts`."""
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.path}/{version}/{name}")
+            self.counted(version, name, df, lambda rows, at=f"{self.path}/{version}/{name}": rows.write.mode("overwrite").parquet(at))
         written = {name: self.spark.read.parquet(f"{self.path}/{version}/{name}") for name in tables}
         if validate is not None and validate(written).filter("NOT valid").count():
             return False
@@ -100,6 +106,29 @@ class Store:
         self._write("state", json.dumps({"current": version, "previous": old["current"], "marks": old["marks"] | (marks or {})}))
         return True
 
+    def counted(self, version: str, name: str, rows: DataFrame, write) -> Any:
+        """What write(rows) returns, with the number of rows, as they are written, in the history of counts; -1 if it fails."""
+        seen = Observation()
+        try:
+            out = write(rows.observe(seen, F.count(F.lit(1)).alias("n")))
+        except Exception:
+            self._count(version, name, -1)
+            raise
+        try:
+            n = seen.get.get("n", 0)
+        except Py4JJavaError:  # nothing was counted: the plan is known to give no row
+            n = 0
+        self._count(version, name, n)
+        return out
+
+    def _count(self, version: str, name: str, n: int) -> None:
+        row = [(version, name, n, time.time_ns() // 1000)]
+        self.spark.createDataFrame(row, COUNTS).coalesce(1).write.mode("append").json(f"{self.path}/counts")
+
+    def counts(self) -> DataFrame:
+        """(version, table_name, table_count, at): the rows of each write, in microseconds of its end; a table's last is by at."""
+        return self.spark.read.schema(COUNTS).json(f"{self.path}/counts")
+
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{self.state()['current']}/{name}")
 

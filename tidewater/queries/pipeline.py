@@ -185,6 +185,14 @@ def table_observations(spark, d):
     return sync.latest_observations(log).select("table_name", "table_count")
 
 
+@query("SELECT 'customer' AS table_name, count(*) AS table_count FROM customer UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'events', count(*) FROM events")
+def published_counts(spark, d):
+    """Rows of tables as their publication counted them while it wrote."""
+    store = sync.Store(spark, shared_path(spark, "counted"))
+    store.publish("1", {n: table(spark, d, n) for n in ("customer", "orders", "events")})
+    return sync.latest_observations(store.counts()).select("table_name", "table_count")
+
+
 _T = "'%Y-%m-%d %H:%M:%S'"
 
 

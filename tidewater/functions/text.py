@@ -58,6 +58,14 @@ COLLOQUIAL = (
 PRONOUNS = ("它", "他们", "这些", "那些", "这个", "那个")
 OPENED = "打开|浏览|触达|PAGE_VIEW"
 CLICKED = "点击|下载|提交|咨询|报名|留资|click_"
+STAGE_LABELS = {
+    "阶段0：未接触上客户": "未接触", "阶段1：接触上客户，初步交流；": "问题识别", "阶段2：正式交流，价值认可": "解决方案探索", "阶段3：测试/入围，愿意尝试": "解决方案探索",
+    "阶段4：拿到门票，进入招投标": "需求构建", "阶段5：已中标，等待采购": "需求构建", "阶段6：完成采购，实现进入": "已完成",
+}
+FORECAST_LABELS = {
+    "线索": "问题识别", "机会-": "问题识别", "机会": "问题识别", "机会+": "解决方案探索", "可能-": "解决方案探索", "可能": "需求构建", "可能+": "需求构建", "优势": "需求构建", "确保": "需求构建",
+}
+CHANNEL_LABELS = {"email": "邮件", "web": "官网", "event": "直播/活动", "wechat": "微信"}
 STAGE_TEXTS = (
     ("阶段1", "问题识别", "初步接触阶段"), ("阶段2", None, "价值确认阶段"), ("阶段3", "解决方案探索", "方案评估阶段"),
     ("阶段4", None, "招投标准备阶段"), ("阶段5", "需求构建", "采购确认阶段"), ("阶段6", "已完成", "采购落地阶段"),
@@ -201,6 +209,16 @@ def stage_text(stage: Column) -> Column:
     return out.when(s.isin("", "当前阶段"), "当前推进阶段").otherwise(s)
 
 
+def stage_label(stage: Column) -> Column:
+    """The short name of a stage of the pipeline; others stay."""
+    return pick(stage, STAGE_LABELS, stage)
+
+
+def forecast_label(forecast: Column) -> Column:
+    """The stage that a forecast stands for; others stay."""
+    return pick(forecast, FORECAST_LABELS, forecast)
+
+
 def first_meaningful(*cols: Column, default: str) -> Column:
     return F.coalesce(*[filled(c) for c in cols], F.lit(default))
 

@@ -196,6 +196,16 @@ def top_stage(opps: DataFrame, key: str, stage: Column, none: str = "暂无数
     return latest(counts, [key], [F.col("n").desc(), F.col("stage")]).select(key, "stage")
 
 
+def top_channels(rows: DataFrame, key: str, channel: str = "channel", n: int = 2) -> DataFrame:
+    """(key, channels): the n channels that a customer used most, as they are shown; of equally frequent ones the first by name.
+    Rows without a channel don't count; a customer with none has no row."""
+    counts = rows.filter(F.col(channel) != "").groupBy(key, channel).agg(F.count("*").alias("n"))
+    best = top(counts, [key], [F.col("n").desc(), F.col(channel)], n)
+    shown = text.pick(F.col(channel), text.CHANNEL_LABELS, F.col(channel))
+    first = F.sort_array(F.collect_list(F.struct("rank", shown.alias("label"))))
+    return best.groupBy(key).agg(F.transform(first, lambda x: x["label"]).alias("channels"))
+
+
 def enriched(names: DataFrame, customers: DataFrame, columns: list[str]) -> DataFrame:
     """names (name) with columns of their customer: by the exact name, and the others by the first customer whose name contains
     theirs, which an index of n-grams finds however many they are."""

@@ -80,6 +80,28 @@ def top_stage(spark, d):
     return serving.top_stage(opportunities(spark, d), "customer_id", F.when(C("stage") != "5-LOW", C("stage")))
 
 
+_LABELS = "CASE channel WHEN 'email' THEN '邮件' WHEN 'web' THEN '官网' WHEN 'event' THEN '直播/活动' WHEN 'wechat' THEN '微信' ELSE channel END"
+
+
+@query(f"""{R}, n AS (SELECT user_id, channel, count(*) AS n FROM i WHERE channel <> '' GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, encode(channel)) AS rank FROM n)
+SELECT user_id, string_agg({_LABELS}, ',' ORDER BY rank) AS channels FROM r WHERE rank <= 2 GROUP BY 1""")
+def top_two_channels(spark, d):
+    """The two channels that each customer used most, two being the feature."""
+    return serving.top_channels(interactions(spark, d), "user_id").withColumn("channels", F.array_join("channels", ","))
+
+
+_STAGES = "CASE o_orderpriority WHEN '1-URGENT' THEN '阶段6：完成采购，实现进入' WHEN '2-HIGH' THEN '阶段3：测试/入围，愿意尝试' WHEN '3-MEDIUM' THEN '阶段0：未接触上客户' WHEN '5-LOW' THEN NULL ELSE '谈判' END"
+_FORECASTS = "CASE o_orderstatus WHEN 'O' THEN '机会+' WHEN 'F' THEN '确保' ELSE '停滞' END"
+
+
+@query(f"""SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN '已完成' WHEN '2-HIGH' THEN '解决方案探索' WHEN '3-MEDIUM' THEN '未接触' WHEN '5-LOW' THEN NULL ELSE '谈判' END AS stage_label,
+CASE o_orderstatus WHEN 'O' THEN '解决方案探索' WHEN 'F' THEN '需求构建' ELSE '停滞' END AS forecast_label FROM orders""")
+def opportunity_labels(spark, d):
+    """Stages and forecasts in short names."""
+    o = table(spark, d, "orders").selectExpr("o_orderkey", f"{_STAGES} AS stage", f"{_FORECASTS} AS forecast")
+    return o.select("o_orderkey", text.stage_label(C("stage")).alias("stage_label"), text.forecast_label(C("forecast")).alias("forecast_label"))
+
+
 _REVIEWED = "CASE c_mktsegment WHEN 'BUILDING' THEN c_name WHEN 'MACHINERY' THEN substr(c_name, 10, 8) WHEN 'AUTOMOBILE' THEN concat('No ', c_name) WHEN 'FURNITURE' THEN '' ELSE substr(c_name, 14) END"
 
 

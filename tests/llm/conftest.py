@@ -5,7 +5,7 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 @pytest.fixture(scope="session")
 def docs_of(spark):
-    """A documents table from (doc_id, text, lang, source) rows, with an extra column of a clashing name."""
+    """A documents table from (doc_id, text, lang, source) rows."""
 
     def make(rows):
         full = [(i, t, lang, s, len(t) if t is not None else None) for i, t, lang, s in rows]

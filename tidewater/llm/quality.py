@@ -163,8 +163,12 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     carried = [exact(c).alias(f"__in_{c}") for c in carry or []]
     texts = [exact(c).cast("string").alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"))]
     named = docs.select(exact(id_col).alias("doc_id"), *texts, exact(text_col).alias("__text"), *carried)
-    rows = written(measured(named, "__text").drop("__text"), "quality-rows")
+    rows = written(measured(named.select("doc_id", "lang", "source", "__text"), "__text").drop("__text"), "quality-rows")
     bounds = written(fences(rows), "quality-fences")
+    if carry:  # a second pass over the documents instead of a copy of them; each measure is made once, for one struct
+        measures = F.explode(F.array(F.struct(*MEASURES, "n_lines", "base_failed"))).alias("__m")
+        rows = measured(named, "__text").select("doc_id", "lang", "source", *[exact(f"__in_{c}") for c in carry], measures)
+        rows = rows.select("*", "__m.*").drop("__m")
     same = F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source"))
     joined = join_small(rows, bounds, same, F.xxhash64("doc_id"), "left")
     far = F.coalesce(F.expr(" OR ".join(map(beyond, BOUNDS))), F.lit(False))

@@ -37,6 +37,8 @@ BROADCAST_ROWS = 1_000_000
 BLOCK = 500
 #: Postings of a shingle that meet in one task.
 CROWD = 20_000
+#: Shingles of a document at which chains look for neighbours.
+LINKED = 16
 #: Pairs that a task makes at a time.
 PAIRS = 1_000_000
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
@@ -113,8 +115,9 @@ def prefix(s: np.ndarray, often: np.ndarray, times: np.ndarray) -> np.ndarray:
     return s[:need]
 
 
-def posted(rows: DataFrame, often: np.ndarray, times: np.ndarray) -> DataFrame:
-    """rows (row, text) to (key, row, n): the shingles of the prefix; n: size of the set."""
+def posted(rows: DataFrame, often: np.ndarray, times: np.ndarray, most: int | None = None) -> DataFrame:
+    """rows (row, text) to (key, row, n): the shingles of the prefix, or the `most` of them that come first by a hash of their own; n:
+    size of the set."""
     order = rows.sparkSession.sparkContext.broadcast((often, times))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,6 +127,8 @@ def posted(rows: DataFrame, often: np.ndarray, times: np.ndarray) -> DataFrame:
             for low in range(0, len(ids), BLOCK):
                 sets = [shingles(t.as_py()) for t in texts[low : low + BLOCK]]
                 firsts = [prefix(s, often, times) for s in sets]
+                if most:
+                    firsts = [f[np.argsort((f ^ f >> np.uint64(31)) * _MIX)[:most]] for f in firsts]
                 many = [len(f) for f in firsts]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), pa.array(np.repeat(ids[low : low + BLOCK], many)), pa.array(np.repeat(np.array([len(s) for s in sets], np.int32), many))], ["key", "row", "n"])
 
@@ -284,19 +289,19 @@ def verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
 Order = tuple[np.ndarray, np.ndarray]
 
 
-def rooted(rows: DataFrame, roots: DataFrame, order: Order) -> DataFrame:
-    """The postings of rows (row, text) with the root of each row in roots (node, root: a written table), or its own number."""
+def rooted(rows: DataFrame, roots: DataFrame, order: Order, most: int | None = None) -> DataFrame:
+    """The postings (at most `most` a row) of rows (row, text) with the root of each row in roots (node, root: a written table), or its own number."""
     known = roots.select(F.col("node").alias("__node"), F.col("root").alias("__root"))
     if roots.count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
-    posts = posted(rows.select("row", "text"), *order).join(known, F.col("row") == F.col("__node"), "left")
+    posts = posted(rows.select("row", "text"), *order, most).join(known, F.col("row") == F.col("__node"), "left")
     return posts.select("key", "row", "n", F.coalesce("__root", "row").alias("root"))
 
 
 def chains(rows: DataFrame, roots: DataFrame, order: Order) -> DataFrame:
     """Verified pairs (a, b) of rows that are neighbours among those that post a shingle, in an order that differs from shingle to
-    shingle, and have different roots: as many candidates as postings at most, which connect most of a large group of near
-    copies before all its pairs are looked at."""
+    shingle, and have different roots: at most LINKED candidates a row, which connect most of a large group of near
+    copies before all its pairs are looked at. What they miss is left to links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, (k, r, n, root) in in_groups(batches, ("key", "row", "n", "root"), CROWD):
@@ -308,7 +313,7 @@ def chains(rows: DataFrame, roots: DataFrame, order: Order) -> DataFrame:
             a, b = np.minimum(r[x], r[y])[fit], np.maximum(r[x], r[y])[fit]
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    pairs = rooted(rows, roots, order).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
+    pairs = rooted(rows, roots, order, LINKED).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
     pairs = written(pairs, "near-chains")
     found = verified(rows, pairs)
     dropped(pairs)

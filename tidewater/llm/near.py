@@ -37,10 +37,12 @@ BROADCAST_ROWS = 1_000_000
 BLOCK = 500
 #: Postings of a shingle that meet in one task.
 CROWD = 20_000
-#: Shingles of a document at which chains look for neighbours.
-LINKED = 16
+#: Shingles of a document at which chains look for neighbours, in each round.
+LINKED = (4, 4, 8)
 #: Pairs that a task makes at a time.
 PAIRS = 1_000_000
+#: Frequent shingles, ascending, and how often each was seen.
+Order = tuple[np.ndarray, np.ndarray]
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -87,7 +89,7 @@ def signed(docs: DataFrame, carry: list[str], id_col: str = "doc_id", text_col:
     return rows.mapInArrow(run, kind)
 
 
-def frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def frequent(rows: DataFrame) -> Order:
     """Shingles that a sample of rows (sig, text) shows to be frequent, ascending, and how often each was seen."""
     part = rows.filter(F.pmod(F.xxhash64("sig"), F.lit(SAMPLE)) == 0).select("text")
 
@@ -115,24 +117,22 @@ def prefix(s: np.ndarray, often: np.ndarray, times: np.ndarray) -> np.ndarray:
     return s[:need]
 
 
-def posted(rows: DataFrame, often: np.ndarray, times: np.ndarray, most: int | None = None) -> DataFrame:
-    """rows (row, text) to (key, row, n): the shingles of the prefix, or the `most` of them that come first by a hash of their own; n:
-    size of the set."""
-    order = rows.sparkSession.sparkContext.broadcast((often, times))
+def prefixes(rows: DataFrame, order: Order) -> DataFrame:
+    """rows (row, text) to (row, n, firsts): the size of the set, and the shingles of its prefix in an order of their own."""
+    shared = rows.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, times = order.value
+        often, times = shared.value
         for batch in batches:
-            ids, texts = batch.column("row").to_numpy(), batch.column("text")
+            ids, texts = batch.column("row"), batch.column("text")
             for low in range(0, len(ids), BLOCK):
                 sets = [shingles(t.as_py()) for t in texts[low : low + BLOCK]]
                 firsts = [prefix(s, often, times) for s in sets]
-                if most:
-                    firsts = [f[np.argsort((f ^ f >> np.uint64(31)) * _MIX)[:most]] for f in firsts]
-                many = [len(f) for f in firsts]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), pa.array(np.repeat(ids[low : low + BLOCK], many)), pa.array(np.repeat(np.array([len(s) for s in sets], np.int32), many))], ["key", "row", "n"])
+                firsts = [f[np.argsort((f ^ f >> np.uint64(31)) * _MIX)].view(np.int64) for f in firsts]
+                sizes = pa.array([len(s) for s in sets], pa.int32())
+                yield pa.RecordBatch.from_arrays([ids[low : low + BLOCK], sizes, pa.array(firsts, pa.list_(pa.int64()))], ["row", "n", "firsts"])
 
-    return rows.mapInArrow(run, "key bigint, row bigint, n int")
+    return rows.select("row", "text").mapInArrow(run, "row bigint, n int, firsts array<bigint>")
 
 
 MET = "a bigint, b bigint, na int, nb int, root bigint, crowded boolean"
@@ -286,22 +286,22 @@ def verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return alike
 
 
-Order = tuple[np.ndarray, np.ndarray]
-
-
-def rooted(rows: DataFrame, roots: DataFrame, order: Order, most: int | None = None) -> DataFrame:
-    """The postings (at most `most` a row) of rows (row, text) with the root of each row in roots (node, root: a written table), or its own number."""
+def rooted(firsts: DataFrame, roots: DataFrame, low: int = 0, many: int | None = None) -> DataFrame:
+    """firsts (row, n, firsts) to postings (key, row, n, root): of all shingles of the prefixes, or of `many` from number low on.
+    The root of a row is the one in roots (node, root: a written table), or its own number."""
     known = roots.select(F.col("node").alias("__node"), F.col("root").alias("__root"))
     if roots.count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
-    posts = posted(rows.select("row", "text"), *order, most).join(known, F.col("row") == F.col("__node"), "left")
-    return posts.select("key", "row", "n", F.coalesce("__root", "row").alias("root"))
+    keys = F.slice("firsts", low + 1, many) if many else F.col("firsts")
+    named = firsts.select("row", "n", keys.alias("keys")).join(known, F.col("row") == F.col("__node"), "left")
+    return named.select(F.explode("keys").alias("key"), "row", "n", F.coalesce("__root", "row").alias("root"))
 
 
-def chains(rows: DataFrame, roots: DataFrame, order: Order) -> DataFrame:
+def chains(rows: DataFrame, firsts: DataFrame, roots: DataFrame, low: int, many: int) -> DataFrame:
     """Verified pairs (a, b) of rows that are neighbours among those that post a shingle, in an order that differs from shingle to
-    shingle, and have different roots: at most LINKED candidates a row, which connect most of a large group of near
-    copies before all its pairs are looked at. What they miss is left to links."""
+    shingle, and have different roots: at most `many` candidates a row, from the shingles that start at number low. Rounds
+    of it connect most of a large group of near copies before all its pairs are looked at: what one round has connected
+    makes no pairs in the next. What they miss is left to links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, (k, r, n, root) in in_groups(batches, ("key", "row", "n", "root"), CROWD):
@@ -313,17 +313,18 @@ def chains(rows: DataFrame, roots: DataFrame, order: Order) -> DataFrame:
             a, b = np.minimum(r[x], r[y])[fit], np.maximum(r[x], r[y])[fit]
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    pairs = rooted(rows, roots, order, LINKED).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
+    posts = rooted(firsts, roots, low, many)
+    pairs = posts.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
     pairs = written(pairs, "near-chains")
     found = verified(rows, pairs)
     dropped(pairs)
     return found
 
 
-def links(rows: DataFrame, roots: DataFrame, order: Order) -> DataFrame:
-    """rows (row, sig, text: a written table, no two with one sig) to (a, b): all pairs of rows at least 4/5 alike whose
-    roots (node, root: a written table of what is connected already) are not the same."""
-    pairs = written(candidates(rooted(rows, roots, order)), "near-pairs")
+def links(rows: DataFrame, firsts: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows (row, sig, text: a written table, no two with one sig) and their prefixes to (a, b): all pairs of rows at least
+    4/5 alike whose roots (node, root: a written table of what is connected already) are not the same."""
+    pairs = written(candidates(rooted(firsts, roots)), "near-pairs")
     found = verified(rows, pairs)
     dropped(pairs)
     return found

@@ -275,12 +275,22 @@ def candidates(rows: DataFrame) -> DataFrame:
     return inner.unionByName(outer).unionByName(across).filter("a <> b").distinct()
 
 
+def joined(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """The written tables roots (node, root), and found (a, b), to the roots of what both connect."""
+    if found.isEmpty():
+        return roots
+    stars = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    out = written(components(stars.unionByName(found)), "dedup-roots")
+    dropped(roots, found)
+    return out
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each component of links between documents at least 4/5 alike (exact Jaccard similarity of
     five-word shingles), with its columns: the one with the least id (null last), of rows with one id the first stored.
 
     Equal sets fall together first. SimHash and BK-trees then propose pairs, which are verified and connect most near
-    copies by a forest, near.chains most of the others; near.links finds, without loss, what else is 4/5 alike between
+    copies by a forest, rounds of near.chains most of the others; near.links finds, without loss, what else is 4/5 alike between
     different components. The choice is a
     minimum from partial aggregates, so a large component is no large task."""
     rows = near.signed(docs, docs.columns).withColumn("row", F.monotonically_increasing_id())
@@ -293,12 +303,14 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     texts = firsts.select("row", "sig", F.col(f"__in_{docs.columns.index('text')}").alias("text"))
     close = near.verified(texts, written(candidates(firsts.select("row", "fp")), "dedup-close"))
     close = written(close, "dedup-verified")
-    roots = written(components(close), "dedup-first-roots")
-    order = near.frequent(texts)
-    close = close.unionByName(near.chains(texts, roots, order))
-    roots = written(components(close), "dedup-second-roots")
-    alike = close.unionByName(near.links(texts, roots, order))
-    roots = written(components(alike), "dedup-roots")
+    roots = written(components(close), "dedup-roots")
+    sets = written(near.prefixes(texts, near.frequent(texts)), "dedup-prefixes")
+    low = 0
+    for many in near.LINKED:
+        roots = joined(roots, near.chains(texts, sets, roots, low, many))
+        low += many
+    roots = joined(roots, near.links(texts, sets, roots))
+    dropped(sets, close)
     members = written(roots.join(firsts.select("row", "doc_id"), F.col("node") == F.col("row")).select("row", "doc_id", "root"), "dedup-members")
     stay = members.groupBy("root").agg(F.min(rank).alias("best")).select(F.col("best.row").alias("__row"))
     gone = written(members.select("row").join(stay, F.col("row") == F.col("__row"), "left_anti").select(F.col("row").alias("__gone")), "dedup-gone")

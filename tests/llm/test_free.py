@@ -181,7 +181,8 @@ def test_simhash_like_brute_force(corpus, odd):
 
 
 @pytest.mark.parametrize(("radius", "agree", "shard"), [(2, 1, 20_000), (2, 1, 20), (4, 3, 20_000), (3, 2, 10)])
-def test_links_connect_what_is_near(spark, radius, agree, shard):
+def test_links_connect_what_is_near(spark, monkeypatch, radius, agree, shard):
+    monkeypatch.setattr(simhash, "TREE", 20)
     rng = np.random.default_rng(radius)
     centres = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
     fps = np.unique(np.concatenate([c ^ np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 6), replace=False)) for _ in range(60)], np.uint64) for c in centres]))
@@ -236,6 +237,30 @@ def test_bk_tree_finds_all():
     assert got == {(i, int(j)) for i in range(len(v)) for j in np.flatnonzero(np.bitwise_count(v ^ v[i]) <= 2)}
 
 
+def test_trees_take_all_fingerprints(spark, corpus, monkeypatch):
+    """No shard of the corpus is without a tree of a good size, and queries visit a small part of it."""
+    fps = np.array([fingerprint(r.text) for r in corpus.select("text").collect()], np.uint64)
+    fps = np.unique(fps)
+    tree = 50
+    cuts = simhash.Cuts(2, 1, simhash.shard_bits(len(fps), tree))
+    assert len(cuts.parts) == 3 and all(len(p) == simhash.shard_bits(len(fps), tree) for p in cuts.parts)
+    for bits in cuts.parts:
+        _, sizes = np.unique(fps & np.uint64(sum(1 << b for b in bits)), return_counts=True)
+        assert tree / 4 < len(fps) / len(sizes) <= tree and sizes.max() <= 4 * tree
+    v = np.unique(np.random.default_rng(3).integers(0, 1 << 63, simhash.TREE, dtype=np.uint64))
+    full = simhash.BKTree(v)
+    assert sum(1 for q, n in full.within(v, 2) for a, b in zip(q, n, strict=True) if a == b) == len(v)
+    assert full.visited / len(v) < len(v) / 20
+    assert [simhash.shard_bits(n, 100) for n in (0, 1, 100, 101, 200, 201, 400, 401)] == [0, 0, 0, 1, 1, 2, 2, 3]
+    # many small trees find what one finds
+    df = common.written(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long"), "fps")
+    roots = []
+    for size in (10**9, 20):
+        monkeypatch.setattr(simhash, "TREE", size)
+        roots.append({r.node: r.root for r in components.components(simhash.links(df)).collect()})
+    assert roots[0] == roots[1] and roots[0]
+
+
 def test_components_of_a_chain(spark):
     chain = spark.range(200).selectExpr("id AS a", "id + 1 AS b")
     assert {r.root for r in components.components(chain).collect()} == {0}

@@ -2,9 +2,10 @@
 
 Fingerprints are made in Arrow batches. Equal fingerprints fall together first (a group-by), so copies cost
 nothing later. Two fingerprints at most RADIUS bits apart agree in one of RADIUS + 1 bands of their bits (in `agree` of
-RADIUS + agree); each value of a band is a shard, and in every shard a BK-tree (children keyed by the integer Hamming
+RADIUS + agree); each value of some bits of a band is a shard, and in every shard a BK-tree (children keyed by the integer Hamming
 distance to their parent) is built and queried with all its fingerprints, following only the edges within the radius
-of the distance to the node. A shard gives the links of a spanning forest, so a dense ball of near copies yields as many
+of the distance to the node. As many bits of a band are taken as leave TREE fingerprints a shard on average, so a tree's
+size, and the nodes that a query visits in it, stay the same however many there are. A shard gives the links of a spanning forest, so a dense ball of near copies yields as many
 rows as it has fingerprints, and no connection is lost. Trees of shards meet their queries through a shuffle, not a
 broadcast (README has the figures). A shard of more than SHARD fingerprints is passed on as it streams in and cut by the bands
 of its remaining bits, which again miss no pair, until all are small.
@@ -34,8 +35,8 @@ SHINGLE = 3
 SEED = 42
 #: Fingerprints of a shard that one tree takes.
 SHARD = 20_000
-#: Fingerprints that are compared with each other without a tree.
-FEW = 16
+#: Fingerprints of a shard, on average at most.
+TREE = 4_000
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -91,6 +92,8 @@ class BKTree:
 
     def __init__(self, values: np.ndarray):
         self.values = values
+        #: Nodes that queries have come to.
+        self.visited = 0
         n = len(values)
         # rounds place every waiting value one edge deeper; the first waiting value of an edge becomes its child
         parent = np.full(n, -1)
@@ -119,6 +122,7 @@ class BKTree:
             q = np.arange(low, min(len(queries), low + block))
             node = np.zeros(len(q), np.int64)
             while len(q):
+                self.visited += len(q)
                 d = popcount(queries[q] ^ self.values[node])
                 hit = d <= radius
                 if hit.any():
@@ -141,12 +145,8 @@ def forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
             i = up[i]
         return i
 
-    if len(values) <= FEW:
-        found = [np.nonzero(np.triu(popcount(values[:, None] ^ values) <= radius, 1))]
-    else:
-        found = BKTree(values).within(values, radius)
     out = []
-    for q, node in found:
+    for q, node in BKTree(values).within(values, radius):
         more = q < node
         for a, b in zip(q[more].tolist(), node[more].tolist(), strict=True):
             ra, rb = root(a), root(b)
@@ -157,11 +157,13 @@ def forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 
 class Cuts:
-    """Bands by path: the first number is one of the choices of `agree` bands, each further one a band of the bits left."""
+    """Bands by path: the first number is one of the choices of `agree` bands, of which `bits` bits are taken (None: all; 0: there is
+    one shard), each further one a band of the bits left."""
 
-    def __init__(self, radius: int, agree: int):
+    def __init__(self, radius: int, agree: int, bits: int | None = None):
         self.radius = radius
-        self.parts = [sorted(sum(p, [])) for p in combinations(bands(list(range(64)), radius + agree), agree)]
+        parts = [sorted(sum(p, [])) for p in combinations(bands(list(range(64)), radius + agree), agree)]
+        self.parts = [[]] if bits == 0 else [p[:bits] for p in parts]
 
     def left(self, path: str) -> list[int]:
         """The bits in which fingerprints of a shard of this path can differ."""
@@ -184,12 +186,17 @@ class Cuts:
 LINKS = "a bigint, b bigint, path string, large boolean"
 
 
+def shard_bits(n: int, tree: int | None = None) -> int:
+    """Bits whose values split n fingerprints into shards of at most TREE, if all values come equally often."""
+    return max(0, -(-n // (tree or TREE)) - 1).bit_length()
+
+
 def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD, agree: int = 1) -> DataFrame:
-    """Distinct fingerprints (fp) to links (a, b) of a forest in every shard.
+    """Distinct fingerprints (fp; a written table) to links (a, b) of a forest in every shard.
 
-    agree: bands that two fingerprints must share to meet in a shard, of radius + agree; with more of them shards are
-    smaller and each fingerprint is in more of them."""
-    cuts = Cuts(radius, agree)
+    agree: bands that two fingerprints must share to meet in a shard, of radius + agree; with more of them there are more
+    bits to make shards by, and each fingerprint is in more shards."""
+    cuts = Cuts(radius, agree, shard_bits(fps.count()))
     keys = [F.struct(F.xxhash64(F.lit(i), masked(F.col("fp"), p)).alias("shard"), F.lit(str(i)).alias("path")) for i, p in enumerate(cuts.parts)]
     todo = fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.shard", "k.path")
 

@@ -192,6 +192,17 @@ def test_whole_keys_and_long_logins_go(docs_of):
     assert secrets.redacted(docs_of([(1, text, "en", "a")])).first().text == "[secret]\nsome words here\n[secret]\n" + "-x - y " * 200_000
 
 
+def test_prose_between_marks_of_a_key_stays(docs_of):
+    """Marks that are only quoted go alone; what is between them stays, however long; a key after them goes whole."""
+    prose = "\n".join(["It begins as the manual says, and words follow: many of them."] * 1000)
+    begin, end = "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----"
+    whole = "\n".join([begin, *["Qm9i" * 16] * 40_000, "Zz9q", end])
+    texts = [f"{begin} {prose} {end} rest", f"{begin}\n{prose}\n{end}\nrest", f"{begin}, {end}\n{whole}\nrest"]
+    want = [f"[secret] {prose} {end} rest", f"[secret]\n{prose}\n{end}\nrest", "[secret]\n[secret]\nrest"]
+    docs = docs_of([(i, t, "en", "a") for i, t in enumerate(texts)])
+    assert {r.doc_id: r.text for r in secrets.redacted(docs).collect()} == dict(enumerate(want))
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("[0-9a-f]+") == []
     assert secrets.trigram_query("AKIA[A-Z0-9]+") == [[frozenset({"aki", "kia"})]]

@@ -39,12 +39,20 @@ class Rule:
 
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-#: A key from its BEGIN line to the END line, with all that is between them but another run of five dashes; if there is
-#: no END, header lines and base64: long runs, whole lines, and what follows an escaped line end or ends in "=".
-#: Loops are possessive, so a long text takes no stack.
+#: What stands between the lines of a key: white space, escaped line ends, and marks of quotes, lists and comments.
+BETWEEN = r"""(?:\s|\\[nr]|[>|"',#*])"""
+HEADS = r"(?:[\r\n]++[A-Za-z-]++:[^\r\n]*+)*+"
+#: Lines of base64: long runs, whole lines, and the last run before END.
+LINES = (
+    rf"(?:{BETWEEN}++[A-Za-z0-9+/=]{{24,}}+|(?:[\r\n]|\\[nr])++[\x20\t>|]*+[A-Za-z0-9+/=]++(?=[\x20\t]*+(?:[\r\n]|\\[nr]))"
+    rf"|{BETWEEN}++[A-Za-z0-9+/=]++(?={BETWEEN}*+-----END))*+"
+)
+#: A key from its BEGIN line over header lines and base64 to the END line. Between marks that have something else between them
+#: it is BEGIN and what follows as if there were no END: header lines and base64, that is long runs, whole lines, and
+#: what follows an escaped line end or ends in "=". Loops are possessive, so a long text takes no stack.
 PEM = (
-    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*+(?:-{1,4}+[^-]++)*+-----END [A-Z ]*PRIVATE KEY-----"
-    r"|(?:[\r\n]++[A-Za-z-]++:[^\r\n]*+)*+"
+    rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{HEADS}{LINES}{BETWEEN}*+-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|{HEADS}"
     r"(?:(?:\s|\\[nr])++[A-Za-z0-9+/=]{24,}+|\s*+(?<=[\r\n])[A-Za-z0-9+/=]++(?=[\x20\t]*(?:[\r\n]|$))|(?:\\[nr])++[A-Za-z0-9+/=]++|\x20[A-Za-z0-9+/]++={1,2}+)*+)"
 )
 RULES = (

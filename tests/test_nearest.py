@@ -134,3 +134,28 @@ def test_run_reports_and_orders(spark):
     r = dedup.report(companies, pairs, known).first()
     assert (r.total_companies, r.pairs_found, r.auto_merged, r.need_review, r.new_pairs_found) == (6, 4, 1, 3, 3)
     assert r.avg_match_score == pytest.approx(pairs.agg(F.avg("match_score")).first()[0], abs=0.006)
+
+
+def test_copies_give_a_row_each(spark):
+    """Of 3000 rows, a third with one name, every copy is one row, and different names keep all their pairs, whatever the parts."""
+    norm = F.when(F.col("id") % 3 == 0, "blue river").otherwise(F.concat(F.lit("name "), F.col("id") % 40))
+    names = spark.range(3000).select("id", norm.alias("norm"))
+    rows = names.collect()
+    first = {}
+    for r in rows:
+        first.setdefault(r.norm, r.id)
+    star = {(first[r.norm], r.id) for r in rows if first[r.norm] != r.id}
+    met = {tuple(sorted((a, b))) for a in first.values() for b in first.values() if a != b}
+    for size in (2000, 7):
+        got = dedup.blocked_pairs(names, F.lit("x"), size).collect()
+        assert len(got) == len(star | met) and {(r.a, r.b) for r in got} == star | met
+    got = dedup.exact_pairs(names.unionByName(spark.createDataFrame([(5000, ""), (5001, "")], "id long, norm string"))).collect()
+    assert len(got) == len(star) and {(r.a, r.b) for r in got} == star
+    near = dedup.nearest_pairs(names.select("id", dedup.hashed_vector(F.col("norm")).alias("v"))).collect()
+    assert star <= {(r.a, r.b) for r in near} <= star | met and len(near) <= len(star | met)
+
+
+def test_legal_forms_in_one_pass(spark):
+    names = ["The Co Inc. LTD co", "co-co group holding holdings", "Tech Technologies techno", "A.G. SA sa", "科技co公司 Ltd", None]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(text.normalize_name(F.col("n"))).collect()]
+    assert got[:4] == ["the", "", "techno", "a g"] and got[5] == ""

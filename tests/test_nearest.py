@@ -159,3 +159,13 @@ def test_legal_forms_in_one_pass(spark):
     names = ["The Co Inc. LTD co", "co-co group holding holdings", "Tech Technologies techno", "A.G. SA sa", "科技co公司 Ltd", None]
     got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(text.normalize_name(F.col("n"))).collect()]
     assert got[:4] == ["the", "", "techno", "a g"] and got[5] == ""
+
+
+def test_pairs_that_share_nothing_go_first(spark, monkeypatch):
+    """Pairs without a common value never meet as rows of values; those with one, and companies of very many values, stay."""
+    monkeypatch.setattr(dedup, "MANY", 20)
+    rows = [(c, "phone", str(c % 7)) for c in range(40)] + [(90, "email", f"m{i}") for i in range(30)]
+    values = spark.createDataFrame(rows, "company int, kind string, value string")
+    pairs = spark.createDataFrame([(a, b) for a in range(12) for b in range(a + 1, 12)] + [(1, 90), (1, 77)], "a int, b int")
+    got = {(r.a, r.b) for r in dedup.may_share(pairs, values).collect()}
+    assert got == {(a, b) for a in range(12) for b in range(a + 1, 12) if a % 7 == b % 7} | {(1, 90)}

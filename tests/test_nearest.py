@@ -169,3 +169,22 @@ def test_pairs_that_share_nothing_go_first(spark, monkeypatch):
     pairs = spark.createDataFrame([(a, b) for a in range(12) for b in range(a + 1, 12)] + [(1, 90), (1, 77)], "a int, b int")
     got = {(r.a, r.b) for r in dedup.may_share(pairs, values).collect()}
     assert got == {(a, b) for a in range(12) for b in range(a + 1, 12) if a % 7 == b % 7} | {(1, 90)}
+
+
+def test_a_vector_goes_to_parts(spark, monkeypatch):
+    """On two levels of cells a vector meets others in the parts that its cells are cut from, in blocks as well: the result is that of all cells."""
+    monkeypatch.setattr(nearest, "FAN", 8)
+    v = clustered(600)
+    index = Index(frame(spark, v), rows=20, probes=12)
+    parts, asks = index.placed.agg(F.avg(F.size("parts")), F.avg(F.size("asks"))).first()
+    assert index.cells.n > 8 and asks > 11 and parts < asks / 1.5
+    want = [tuple(r) for r in index.neighbours(5).orderBy("a", "rank").collect()]
+    monkeypatch.setattr(nearest, "BLOCK", 31)
+    monkeypatch.setattr(nearest, "STEP", 7)
+    monkeypatch.setattr(nearest, "COSINES", 40)
+    assert [tuple(r) for r in index.neighbours(5).orderBy("a", "rank").collect()] == want
+    home = {r.id: r.home for r in index.placed.collect()}
+    s, _ = exact_top(v, 5)
+    for r in index.placed.filter("id % 50 = 0").collect():
+        there = sorted((j for j in home if j != r.id and home[j] in r.asks), key=lambda j: (-s[r.id, j], j))[:5]
+        assert [b for a, b, _, _ in want if a == r.id] == there

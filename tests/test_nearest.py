@@ -188,3 +188,12 @@ def test_a_vector_goes_to_parts(spark, monkeypatch):
     for r in index.placed.filter("id % 50 = 0").collect():
         there = sorted((j for j in home if j != r.id and home[j] in r.asks), key=lambda j: (-s[r.id, j], j))[:5]
         assert [b for a, b, _, _ in want if a == r.id] == there
+
+
+def test_neighbours_of_those_that_ask(spark):
+    """Queries are some of the rows, the vectors all of them; the blocks change nothing."""
+    v = clustered(200)
+    _, best = exact_top(v, 4)
+    for block in (2000, 17):
+        got = {(r.a, r["rank"]): r.b for r in dedup.neighbours(frame(spark, v), 4, block, F.col("id") % 20 == 0).collect()}
+        assert got == {(i, k + 1): int(b) for i in range(0, 200, 20) for k, b in enumerate(best[i])}

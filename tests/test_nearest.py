@@ -197,3 +197,20 @@ def test_neighbours_of_those_that_ask(spark):
     for block in (2000, 17):
         got = {(r.a, r["rank"]): r.b for r in dedup.neighbours(frame(spark, v), 4, block, F.col("id") % 20 == 0).collect()}
         assert got == {(i, k + 1): int(b) for i in range(0, 200, 20) for k, b in enumerate(best[i])}
+
+
+def test_exact_pairs_meet_in_wide_blocks(spark, monkeypatch):
+    """A vector is sent once for each block, of which there are some eight while blocks are below WIDE, however small BLOCK is."""
+    monkeypatch.setattr(dedup, "BLOCK", 5)
+    v = clustered(200)
+    s, _ = exact_top(v, 1)
+    seen = dedup._products
+
+    def counted(threshold):
+        run = seen(threshold)
+        return lambda key, group: run(key, group).assign(similarity=float(key[1]))
+
+    df = frame(spark, v)
+    assert {(r.a, r.b) for r in dedup.similar_pairs(df, 0.7).collect()} == {(i, j) for i in range(200) for j in range(i + 1, 200) if s[i, j] >= 0.7}
+    monkeypatch.setattr(dedup, "_products", counted)
+    assert dedup.similar_pairs(df, -2.0).agg(F.max("similarity")).first()[0] == 7

@@ -130,9 +130,8 @@ kn AS (SELECT id AS a, id + 25 AS b FROM c)
 SELECT a, b FROM p WHERE a < b AND NOT EXISTS (SELECT 1 FROM kn WHERE least(kn.a, kn.b) = least(p.a, p.b) AND greatest(kn.a, kn.b) = greatest(p.a, p.b))""")
 def pair_unordered_anti(spark, d):
     h = customers(spark, d).filter("attribute = 'H'")
-    pairs = h.select(C("id").alias("a"), "nation", "industry").join(h.select(C("id").alias("b"), "nation", "industry"), ["nation", "industry"]).filter("a < b").select("a", "b")
     known = customers(spark, d).select((C("id") + 25).alias("a"), C("id").alias("b"))
-    return merge.without_known_pairs(pairs, known, "a", "b")
+    return merge.unknown_pairs(h, ["nation", "industry"], "id", known, "a", "b")
 
 
 @query(f"{R}, v AS (SELECT customer_id, max(stage) AS industry FROM o WHERE status = 'F' AND amount > 400000 GROUP BY 1) SELECT c.id, coalesce(v.industry, c.industry) AS industry FROM c LEFT JOIN v ON c.id = v.customer_id")

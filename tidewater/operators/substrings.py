@@ -1,7 +1,7 @@
 """Substring search of many words in many names by n-gram postings.
 
-Every name posts its distinct n-grams of GRAM characters (of fewer, where words that short are looked for), but only those that some
-word has. A word asks the postings of its rarest n-gram, and the names there are verified. So a word meets the names that share
+Every name posts its distinct n-grams, but only those that some word has. A word's n is the largest of SIZES that it is long enough
+for: with three characters for all, digits would make a few thousand n-grams whose postings grow with the names. A word asks the postings of its rarest n-gram, and the names there are verified. So a word meets the names that share
 its rarest n-gram instead of all names, and both sides meet by hash joins. Where even that n-gram is in very many names
 (more than HOT), its postings are dealt over SALTS parts, each of which the few words that ask it see.
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import stored
 from .merge import latest
 
-GRAM = 3
+SIZES = (1, 2, 3, 6, 12)
 HOT, SALTS = 100_000, 64
 
 
@@ -30,8 +30,8 @@ def grams(c: Column, n: int) -> Column:
 def containing(words: DataFrame, names: DataFrame, word: str = "word", name: str = "name") -> DataFrame:
     """(word, name): the names that contain each word."""
     asked = words.select(F.col(word).alias("word")).filter(F.col("word") != "").distinct()
-    asked = stored(asked.withColumn("n", F.least(F.length("word"), F.lit(GRAM))), "substring-words")
-    sizes = sorted(r.n for r in asked.select("n").distinct().collect())  # at most GRAM
+    asked = stored(asked.withColumn("n", F.greatest(*[F.when(F.length("word") >= n, n) for n in SIZES])), "substring-words")
+    sizes = sorted(r.n for r in asked.select("n").distinct().collect())  # at most as many as SIZES
     pieces = F.array().cast("array<string>")
     for n in sizes:
         pieces = F.when(F.col("n") == n, grams(F.col("word"), n)).otherwise(pieces)

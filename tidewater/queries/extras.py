@@ -12,7 +12,7 @@ from ..plans import search, serving, sync
 from ..plans.buckets import BucketStore
 from ..sources import files
 from ..sources.roles import AS_OF_TEXT, ROLES_SQL, as_of, contacts, customers, interactions, opportunities, table
-from ..sources.shared import shared_path
+from ..sources.shared import shared_path, spread, stored
 from .registry import query
 
 R, C = ROLES_SQL, F.col
@@ -250,7 +250,9 @@ def stream_available_now(spark, d):
 @query("SELECT c_custkey AS k, c_acctbal > 0 AS cached FROM customer")
 def vectors_cached(spark, d):
     """Names with vectors from a cache or computed anew; which were cached."""
-    c = table(spark, d, "customer").select(C("c_custkey").alias("k"), C("c_name").alias("name"), text.normalize_name(C("c_name")).alias("norm"), "c_acctbal", "c_mktsegment")
-    cache = c.filter("c_acctbal > 0").select(F.when(C("c_mktsegment") == "BUILDING", C("name")).otherwise(F.concat(C("name"), F.lit(" Ltd"))).alias("name"), "norm", dedup.hashed_vector(C("norm")).alias("v"))
+    c = spread(table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), "c_custkey")
+    c = c.select(C("c_custkey").alias("k"), C("c_name").alias("name"), text.normalize_name(C("c_name")).alias("norm"), "c_acctbal", "c_mktsegment")
+    spelt = F.when(C("c_mktsegment") == "BUILDING", C("name")).otherwise(F.concat(C("name"), F.lit(" Ltd"))).alias("name")
+    cache = stored(c.filter("c_acctbal > 0").select(spelt, "norm", dedup.hashed_vector(C("norm")).alias("v")), "vector-cache")
     out = dedup.with_cached_vectors(c.select("name", "norm"), cache, dedup.hashed_vector)
     return out.filter(F.size("v") == 64).join(c.select("k", C("name").alias("n")), C("name") == C("n")).select("k", "cached")

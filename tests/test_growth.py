@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidewater.operators import dedup, merge, substrings
+from tidewater.plans import etl
 from tidewater.queries import QUERIES
 from tidewater.sources.shared import stored
 
@@ -49,3 +50,16 @@ def test_words_ask_long_grams(spark):
         substrings.stored = kept
     met = seen["substring-asks"].filter("word <> '12'").join(seen["substring-postings"], "gram").count()
     assert met < 30 * 3000
+
+
+def test_contacts_without_a_mobile_are_dealt(spark):
+    """Many customers have a visitor of one name and no mobile: their rows do not meet in one task, and no match is lost or doubled."""
+    rows = spark.createDataFrame([(f"c{i}", f"V{i % 2}", None) for i in range(400)] + [("c1", "Ann", "1"), ("c2", "Ann", "2"), ("c3", None, None)], "customer_name string, contact_name string, mobile string")
+    known = spark.createDataFrame([("V0", None, 7), ("Ann", "1", 8), ("V1", "3", 9)], "k_name string, k_mobile string, n int")
+    same = F.col("contact_name") == F.col("k_name")
+    out = etl.with_contacts(rows, known, "left", same)
+    assert out.count() == rows.count() and {(r.contact_name, r.mobile, r.n) for r in out.collect()} == {("V0", None, 7), ("V1", None, None), ("Ann", "1", 8), ("Ann", "2", None), (None, None, None)}
+    assert etl.same_contact(rows, known.selectExpr("k_name AS contact_name", "k_mobile AS mobile"), "left_anti").count() == 202
+    assert "__part" in plan_of(out)
+    contacts = plan_of(QUERIES["contact_360_full"](spark, "/root/testdata/sf0.001"))
+    assert "intent_score" not in contacts and "o_orderkey" not in contacts

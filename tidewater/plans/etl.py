@@ -196,21 +196,35 @@ def customer_360(t: Tables, mapping: DataFrame, detail: DataFrame, as_of: Column
     return conform(out, TABLES["customer_360"])
 
 
-def contact_360(mapping: DataFrame, detail: DataFrame, customers: DataFrame, icp: DataFrame, as_of: Column, keys: DataFrame | None = None) -> DataFrame:
+#: Parts over which contacts without a mobile are dealt, for many of them share a name.
+NAMELESS = 16
+
+
+def with_contacts(df: DataFrame, contacts: DataFrame, how: str, same: Column) -> DataFrame:
+    """df (customer_name, contact_name, mobile) joined to contacts (k_name, k_mobile: one row each; and others) on the null-safe mobile
+    and `same`. Rows without a mobile spread by their customer and meet a copy of the contact in each part."""
+    c = F.col
+    dealt = df.withColumn("__part", F.when(c("mobile").isNull(), F.pmod(F.xxhash64("customer_name"), F.lit(NAMELESS))).otherwise(0).cast("int"))
+    parts = F.when(c("k_mobile").isNull(), F.sequence(F.lit(0), F.lit(NAMELESS - 1))).otherwise(F.array(F.lit(0)))
+    on = same & c("mobile").eqNullSafe(c("k_mobile")) & (c("__part") == c("__k_part"))
+    return dealt.join(contacts.withColumn("__k_part", F.explode(parts)), on, how).drop("__part", "__k_part")
+
+
+def contact_360(mapping: DataFrame, detail: DataFrame, customers: DataFrame | None, icp: DataFrame, as_of: Column, keys: DataFrame | None = None) -> DataFrame:
     """A row for each customer in scope and mobile; interactions match on the contact's name and, null-safe, the mobile.
-    keys (contact_name, mobile): the contacts to compute."""
+    customers (customer_name): those that customer 360 has, if it may lack some in scope. keys (contact_name, mobile): the contacts to compute."""
     c = F.col
     recent = c("event_time") >= as_of - F.expr("INTERVAL 30 DAYS")
     scope = mapping.join(icp.select(c("customer_name").alias("icp_name")), c("customer_name") == c("icp_name"), "left_semi")
-    scope = scope.join(customers.select(c("customer_name").alias("c_name")), c("customer_name") == c("c_name"), "left_semi")
+    if customers is not None:
+        scope = scope.join(customers.select(c("customer_name").alias("c_name")), c("customer_name") == c("c_name"), "left_semi")
     rows = first_wins([scope], ["customer_name", "mobile"], ["source_table", "contact_name", "email"])
     if keys is not None:
-        one = keys.select(c("contact_name").alias("k_name"), c("mobile").alias("k_mobile")).distinct()
-        detail, rows = (df.join(one, c("contact_name").eqNullSafe(c("k_name")) & c("mobile").eqNullSafe(c("k_mobile")), "left_semi") for df in (detail, rows))
-    seen = detail.groupBy(c("contact_name").alias("d_name"), c("mobile").alias("d_mobile")).agg(
+        detail, rows = (same_contact(df, keys, "left_semi") for df in (detail, rows))
+    seen = detail.groupBy(c("contact_name").alias("k_name"), c("mobile").alias("k_mobile")).agg(
         F.count("*").cast("int").alias("interaction_count"), F.count_if(recent).cast("int").alias("interaction_count_30d"), F.max("event_time").alias("last_interaction_time")
     )
-    out = rows.join(seen, (c("contact_name") == c("d_name")) & c("mobile").eqNullSafe(c("d_mobile")), "left")
+    out = with_contacts(rows, seen, "left", c("contact_name") == c("k_name"))
     n, n30 = F.coalesce("interaction_count", F.lit(0)), F.coalesce("interaction_count_30d", F.lit(0))
     new = {"interaction_count": n, "interaction_count_30d": n30, "activity_level": scoring.activity_level(n30, n), "source_tables": F.array("source_table")}
     return conform(out.withColumns(new), TABLES["contact_360"])
@@ -222,7 +236,7 @@ def run_full(t: Tables, as_of: Column, spark) -> Tables:
     (t,) = respelled(t, None)
     mapping, detail = stored(contact_mapping(t, spark), "contact_mapping"), stored(interaction_detail(t, spark), "interaction_detail")
     customers = customer_360(t, mapping, detail, as_of, spark)
-    contacts = contact_360(mapping, detail, customers, anchor(source(t, "zhique_contact", spark)), as_of)
+    contacts = contact_360(mapping, detail, None, anchor(source(t, "zhique_contact", spark)), as_of)  # customer 360 has all of the anchor
     return {"contact_mapping": mapping, "interaction_detail": detail, "customer_360": customers, "contact_360": contacts}
 
 
@@ -282,8 +296,8 @@ def contact_keys(before: Tables, fresh: Tables, names: DataFrame) -> DataFrame:
 def same_contact(df: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     """df with how (left_semi or left_anti) the contacts of keys."""
     c = F.col
-    one = keys.select(c("contact_name").alias("k_name"), c("mobile").alias("k_mobile"))
-    return df.join(one, c("contact_name").eqNullSafe(c("k_name")) & c("mobile").eqNullSafe(c("k_mobile")), how)
+    one = keys.select(c("contact_name").alias("k_name"), c("mobile").alias("k_mobile")).distinct()
+    return with_contacts(df, one, how, c("contact_name").eqNullSafe(c("k_name")))
 
 
 def run_incremental(before: Tables, batch: Tables, t: Tables, as_of: Column, spark, names: DataFrame | None = None) -> Tables:
@@ -300,11 +314,13 @@ def replaced(before: Tables, t: Tables, names: DataFrame, fresh: Tables, as_of:
     """before with the fresh rows of the customers in names in place of theirs, and contact 360 to match."""
     out = {k: _of(before[k], names, "left_anti").unionByName(fresh[k].select(*before[k].columns)) for k in fresh}
     icp = anchor(source(t, "zhique_contact", spark))
+    # of the anchor customer 360 has the names, which are fresh, and those that it had before
+    there = before["customer_360"].select("customer_name").unionByName(names.select("customer_name"))
     if "contact_360" not in before:
-        return out | {"contact_360": contact_360(out["contact_mapping"], out["interaction_detail"], out["customer_360"], icp, as_of)}
+        return out | {"contact_360": contact_360(out["contact_mapping"], out["interaction_detail"], there, icp, as_of)}
     # contacts of the affected customers, and others that share a name and mobile with interactions that came or went
-    keys = contact_keys(before, fresh, names)
-    again = contact_360(out["contact_mapping"], out["interaction_detail"], out["customer_360"], icp, as_of, keys)
+    keys = stored(contact_keys(before, fresh, names), "contact-keys")  # read three times
+    again = contact_360(out["contact_mapping"], out["interaction_detail"], there, icp, as_of, keys)
     return out | {"contact_360": same_contact(before["contact_360"], keys, "left_anti").unionByName(again)}
 
 

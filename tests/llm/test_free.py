@@ -330,6 +330,30 @@ def test_near_copies_of_the_corpus(corpus, odd):
     assert sorted(str(r.doc_id) for r in simhash.deduplicated(odd).collect()) == ["1", "3", "5", "7", "None"] and simhash.deduplicated(odd.limit(0)).count() == 0
 
 
+def test_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
+    """Copies of one text, most a little below 0.8 of each other: all links that are there, from pairs by the number of copies."""
+    rnd = random.Random(11)
+    base, rows = [f"w{i}" for i in range(64)], []
+    for k in range(400):
+        new = list(base)
+        for _ in range(rnd.choice([1, 2, 2, 3])):
+            new[rnd.randrange(len(new))] = f"x{rnd.randint(0, 10**9)}"
+        rows.append((k, " ".join(new[rnd.choice([0, 0, 3]) : len(new) - rnd.choice([0, 0, 2])])))
+    tried, real = [], near.verified
+
+    def verified(texts, pairs):
+        tried.append(pairs.count())
+        return real(texts, pairs)
+
+    monkeypatch.setattr(near, "verified", verified)
+    texts = common.written(spark.createDataFrame(rows, "row long, text string").withColumn("sig", F.md5("text").cast("binary")), "texts")
+    roots = common.written(spark.createDataFrame([], "node long, root long"), "roots")
+    found = near.links(texts, near.prefixes(texts, near.frequent(texts)), roots)
+    ends = {r.root for r in components.components(found).collect()} | {k for k, _ in rows} - {e for r in found.collect() for e in r}
+    assert ends == brute_near(rows)[0] and 20 < len(ends) < 380
+    assert sum(tried) < 5 * len(rows), tried
+
+
 def brute_ngram(rows, order, prune):
     """Modified Kneser-Ney written out plainly: what test_ngram_like_brute_force compares with."""
     t = [[*WORD(lower(r.text or "")), "\n"] for r in rows]

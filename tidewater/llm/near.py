@@ -321,9 +321,6 @@ def candidates(met: DataFrame) -> DataFrame:
     return met.filter(F.col("met") >= least).select("a", "b")
 
 
-DIFFERENT = "pivot bigint, row bigint, n int, root bigint, alike boolean, added int, keys array<bigint>"
-
-
 def differences(rows: DataFrame, crowd: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Postings of crowded keys to links (a, b): of rows (row, text) with their pivot, if they are 4/5 alike, and with their
     roots; and to postings of all rows at their rarest differences from it. The pivot of a key is the row, of those that post it, that has the
@@ -342,22 +339,14 @@ def differences(rows: DataFrame, crowd: DataFrame) -> tuple[DataFrame, DataFrame
     centre = members.select("pivot", part).distinct().join(centre, F.col("pivot") == F.col("row")).select("pivot", "part", "centre", "p")
     both = members.select("pivot", "row", "root", part).join(sets, "row").join(centre, ["pivot", "part"])
 
-    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pivot, row, root, near = (batch.column(c).to_numpy() for c in ("pivot", "row", "root", "centre"))
-            n, alike, added, keys = [], [], [], []
-            for to, s, p in zip(pivot.view(np.uint64) * _MIX, batch.column("s"), batch.column("p"), strict=True):
-                s, p = (x.values.to_numpy().view(np.uint64) for x in (s, p))
-                more, less = np.setdiff1d(s, p, assume_unique=True), np.setdiff1d(p, s, assume_unique=True)
-                h = (np.concatenate([more, less]) ^ to) * _MIX  # a difference from one pivot is none from another
-                keys.append((h ^ h >> np.uint64(29)).view(np.int64))
-                n.append(len(s))
-                added.append(len(more))
-                alike.append(9 * len(h) <= len(s) + len(p))
-            cols = [pivot, row, pa.array(n, pa.int32()), np.where(np.array(alike, bool), near, root), pa.array(alike, pa.bool_()), pa.array(added, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["pivot", "row", "n", "root", "alike", "added", "keys"])
-
-    found = written(both.select("pivot", "row", "root", "centre", "s", "p").mapInArrow(differ, DIFFERENT), "near-differences")
+    # in SQL, a row at a time: batches of whole sets would take much of a worker's memory
+    more, less = F.array_except("s", "p"), F.array_except("p", "s")
+    found = both.select("pivot", "row", "root", "centre", F.size("s").alias("n"), F.size("p").alias("np"), more.alias("more"), less.alias("less"))
+    alike = 9 * (F.size("more") + F.size("less")) <= F.col("n") + F.col("np")
+    found = found.withColumn("alike", alike).withColumn("root", F.when(F.col("alike"), F.col("centre")).otherwise(F.col("root")))
+    # a difference from one pivot is none from another
+    keys = F.transform(F.concat("more", "less"), lambda e: F.xxhash64(F.col("pivot"), e)).alias("keys")
+    found = written(found.select("pivot", "row", "n", "root", "alike", F.size("more").alias("added"), keys), "near-differences")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -369,7 +358,7 @@ def differences(rows: DataFrame, crowd: DataFrame) -> tuple[DataFrame, DataFrame
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, times = shared.value
-        for batch in batches:
+        for batch in (b.slice(low, BLOCK) for b in batches for low in range(0, len(b), BLOCK)):
             n, added = batch.column("n").to_numpy(), batch.column("added").to_numpy()
             firsts, d, sketch = [], [], []
             for i, keys in enumerate(batch.column("keys")):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import text
 from tidewater.operators import dedup, nearest
 from tidewater.operators.nearest import Index
+from tidewater.queries import QUERIES
 
 
 def frame(spark, v, ids=None):
@@ -214,3 +215,29 @@ def test_exact_pairs_meet_in_wide_blocks(spark, monkeypatch):
     assert {(r.a, r.b) for r in dedup.similar_pairs(df, 0.7).collect()} == {(i, j) for i in range(200) for j in range(i + 1, 200) if s[i, j] >= 0.7}
     monkeypatch.setattr(dedup, "_products", counted)
     assert dedup.similar_pairs(df, -2.0).agg(F.max("similarity")).first()[0] == 7
+
+
+def test_every_pair_of_rows(spark, monkeypatch):
+    """Copies give all their pairs, whatever the chunks and parts; equal ids and rows without a block give none, names are scored in any order."""
+    rows = [(i, "blue river" if i % 3 == 0 else f"name {i % 7}" if i % 11 else None, "x" if i % 5 else "y") for i in range(120)] + [(3, "other", "x"), (200, "lost", None), (None, "lost", "x")]
+    names = spark.createDataFrame(rows, "id long, norm string, block string")
+    met = [(x, y) for x in rows for y in rows if x[0] is not None and y[0] is not None and x[0] < y[0] and x[2] and x[2] == y[2]]
+    both = lambda a, b: F.concat(F.least(a, b), F.greatest(a, b))
+    want = sorted((x[0], y[0], x[1] and y[1] and min(x[1], y[1]) + max(x[1], y[1])) for x, y in met)
+    for chunk, part in ((1000, 16_000), (4, 9)):
+        monkeypatch.setattr(dedup, "CHUNK", chunk)
+        monkeypatch.setattr(dedup, "PART", part)
+        out = dedup.every_pair(names, F.col("block"), lambda a, b: F.when(a.isNotNull() & b.isNotNull(), both(a, b)))
+        assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
+
+
+def rows_of(spark, sf_dir, name):
+    return QUERIES[name](spark, sf_dir).count()
+
+
+def same_brand(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/part.parquet").groupBy("p_brand").agg((F.count("*") * (F.count("*") - 1) / 2).alias("n")).agg(F.sum("n")).first()[0]
+
+
+def test_all_parts_of_a_brand_meet_name_levenshtein(spark, sf_dir):
+    assert rows_of(spark, sf_dir, "name_levenshtein") == same_brand(spark, sf_dir)

@@ -241,3 +241,7 @@ def same_brand(spark, sf_dir):
 
 def test_all_parts_of_a_brand_meet_name_levenshtein(spark, sf_dir):
     assert rows_of(spark, sf_dir, "name_levenshtein") == same_brand(spark, sf_dir)
+
+
+def test_all_parts_of_a_brand_meet_jaccard_tokens(spark, sf_dir):
+    assert rows_of(spark, sf_dir, "jaccard_tokens") == same_brand(spark, sf_dir)

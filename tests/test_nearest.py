@@ -245,3 +245,7 @@ def test_all_parts_of_a_brand_meet_name_levenshtein(spark, sf_dir):
 
 def test_all_parts_of_a_brand_meet_jaccard_tokens(spark, sf_dir):
     assert rows_of(spark, sf_dir, "jaccard_tokens") == same_brand(spark, sf_dir)
+
+
+def test_all_parts_of_a_brand_meet_rule_score(spark, sf_dir):
+    assert rows_of(spark, sf_dir, "rule_score") == same_brand(spark, sf_dir)

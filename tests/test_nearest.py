@@ -254,3 +254,8 @@ def test_all_parts_of_a_brand_meet_rule_score(spark, sf_dir):
 def test_all_equal_names_meet(spark, sf_dir):
     named = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy(text.normalize_name(F.concat_ws(" ", F.lit("The"), "p_name", "p_type"))).agg((F.count("*") * (F.count("*") - 1) / 2).alias("n"))
     assert rows_of(spark, sf_dir, "exact_norm_pairs") == named.agg(F.sum("n")).first()[0]
+
+
+def test_every_vector_asks(spark, sf_dir):
+    asked = QUERIES["nearest_neighbours"](spark, sf_dir).select(F.col("a").alias("vec_id")).distinct()
+    assert asked.count() == spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()

@@ -259,3 +259,34 @@ def test_all_equal_names_meet(spark, sf_dir):
 def test_every_vector_asks(spark, sf_dir):
     asked = QUERIES["nearest_neighbours"](spark, sf_dir).select(F.col("a").alias("vec_id")).distinct()
     assert asked.count() == spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+
+
+def test_vectors_ask_in_waves(spark, monkeypatch):
+    """The result is the same however few ask at a time; counts are a byte or two, and equal as they are, other numbers as directions."""
+    counts = np.random.default_rng(3).poisson(1.5, (300, 24)).astype(float)
+    counts[7], counts[8], counts[9], counts[10] = counts[6], counts[6] * 2, 300 * np.eye(24)[0], 70_000 * np.eye(24)[1]
+    index = Index(frame(spark, counts), rows=15, probes=5, counts=True)
+    assert {r.n for r in index.placed.select(F.octet_length("v").alias("n")).distinct().collect()} == {24, 48, 192}
+    members = {r.id: r.rep for r in index.members.collect()}
+    assert members[7] == 6 and members[8] == 8
+    want = sorted(map(tuple, index.neighbours(5).collect()))
+    s, _ = exact_top(counts, 5)
+    assert all(c == pytest.approx(s[a, b], abs=2e-9) for a, b, c, _ in want)
+    monkeypatch.setattr(nearest, "WAVE", 70)
+    waves = index.neighbours(5)
+    assert sorted(map(tuple, waves.collect())) == want and len({f.rsplit("/", 2)[1] for f in waves.inputFiles()}) == 5
+    whole = Index(frame(spark, np.delete(counts, 8, 0)), rows=15, probes=99)
+    packed = Index(frame(spark, np.delete(counts, 8, 0)), rows=15, probes=99, counts=True)
+    assert sorted(map(tuple, whole.neighbours(5).collect())) == sorted(map(tuple, packed.neighbours(5).collect()))
+
+
+def test_links_in_waves(spark, monkeypatch):
+    words = ["blue", "river", "foods", "quantum", "xylo", "north", "mill"]
+    names = spark.createDataFrame([(i, f"{words[i % 7]} {words[i * 3 % 5]} {i % 40}{' Ltd' if i % 3 else ''}") for i in range(120)], "id long, name string")
+    names = names.withColumn("norm", text.normalize_name(F.col("name")))
+    want = sorted(map(tuple, dedup.linked_pairs(names).collect()))
+    monkeypatch.setattr(dedup, "LINKS", 100)
+    monkeypatch.setattr(nearest, "WAVE", 50)
+    out = dedup.linked_pairs(names)
+    assert sorted(map(tuple, out.collect())) == want and len({f.rsplit("/", 2)[1] for f in out.inputFiles()}) > 3
+    assert sorted(map(tuple, dedup.linked_pairs(names, exact=True).select("a", "b").collect())) == [(a, b) for a, b, _ in want]

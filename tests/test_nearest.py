@@ -8,6 +8,7 @@ from tidewater.functions import text
 from tidewater.operators import dedup, nearest
 from tidewater.operators.nearest import Index
 from tidewater.queries import QUERIES
+from tidewater.sources.shared import stored
 
 
 def frame(spark, v, ids=None):
@@ -290,3 +291,14 @@ def test_links_in_waves(spark, monkeypatch):
     out = dedup.linked_pairs(names)
     assert sorted(map(tuple, out.collect())) == want and len({f.rsplit("/", 2)[1] for f in out.inputFiles()}) > 3
     assert sorted(map(tuple, dedup.linked_pairs(names, exact=True).select("a", "b").collect())) == [(a, b) for a, b, _ in want]
+
+
+def test_evidence_in_waves(spark, monkeypatch):
+    """What pairs share is the same however few meet at a time."""
+    contacts = spark.createDataFrame([(c, "phone", str(v), f"N{c % 4}", c) for c in range(60) for v in (c % 7, c % 11 + 20)], "company int, kind string, value string, name string, ord int")
+    pairs = stored(spark.createDataFrame([(a, b) for a in range(60) for b in range(a + 1, 60)], "a int, b int"), "pairs")
+    want = sorted(map(repr, dedup.evidence(pairs, contacts).collect()))
+    monkeypatch.setattr(dedup, "LINKS", 300)
+    monkeypatch.setattr(dedup, "MANY", 1)
+    out = dedup.shared_contacts(pairs, contacts)
+    assert sorted(map(repr, dedup.with_shared(pairs, out).collect())) == want and len({f.rsplit("/", 2)[1] for f in out.inputFiles()}) > 10

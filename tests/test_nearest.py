@@ -302,3 +302,13 @@ def test_evidence_in_waves(spark, monkeypatch):
     monkeypatch.setattr(dedup, "MANY", 1)
     out = dedup.shared_contacts(pairs, contacts)
     assert sorted(map(repr, dedup.with_shared(pairs, out).collect())) == want and len({f.rsplit("/", 2)[1] for f in out.inputFiles()}) > 10
+
+
+def test_scores_in_waves(spark, monkeypatch):
+    """Scored pairs are the same however many are scored at a time, and only they are left on disk."""
+    companies = spark.createDataFrame([(i, f"Blue River {i % 9} Foods {i % 13}") for i in range(80)], "id int, name string")
+    contacts = spark.createDataFrame([(c, "phone", str(c % 9)) for c in range(80)], "company int, kind string, value string")
+    want = sorted(map(repr, dedup.scored_pairs(companies, contacts).collect()))
+    monkeypatch.setattr(dedup, "LINKS", 200)
+    out = dedup.scored_pairs(companies, contacts)
+    assert sorted(map(repr, out.collect())) == want and len({f.rsplit("/", 2)[1] for f in out.inputFiles()}) > 3
